@@ -13,6 +13,7 @@ repeated rows are packed each; an empty table packs to an empty one; equal lengt
 from __future__ import annotations
 
 import math
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +30,8 @@ CAPACITY = 4096
 #: Id that closes every document.
 END_ID = 1
 BLOCK_PIECES = 65_536
-#: Improving steps that the local search of a block takes at most.
-STEPS = 4_000
+#: Bins that the local search of a block examines at most, improved or not.
+STEPS = 20_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -45,11 +46,11 @@ class PieceIds(PreTokens):
 
     def encoded(self, text: str) -> bytes:
         pre_tokens = self.split(text)
-        if missing := set(pre_tokens).difference(self.known):
+        if missing := [x for x in set(pre_tokens) if x not in self.known]:
             if len(self.known) + len(missing) > self.cache:
                 self.known.clear()
-                missing = set(pre_tokens)
-            self.known.update((x, np.array(ids, "<u4").tobytes()) for x, ids in self.ids(missing))
+                missing = list(set(pre_tokens))
+            self.known.update((x, struct.pack(f"<{len(ids)}I", *ids)) for x, ids in self.ids(missing))
         return b"".join(map(self.known.__getitem__, pre_tokens))
 
 
@@ -111,7 +112,9 @@ class Bins:
         size, home = self.sizes[items], self.of[items].copy()
         stuck: set[int] = set()
         taken = 0
-        while alive > least and taken < steps:
+        for _ in range(steps):
+            if alive <= least:
+                break
             free = [b for b in under[np.argsort(fill[under], kind="stable")].tolist() if fill[b] > 0 and b not in stuck]
             if not free:
                 break
@@ -127,7 +130,7 @@ class Bins:
             moved = int(size[out].sum() - (size[back].sum() if back else 0))
             fill[to] += moved
             fill[b] -= moved
-            stuck.discard(to)
+            stuck.clear()
             taken += 1
             alive -= int(fill[b] == 0)
         self.of[items] = home

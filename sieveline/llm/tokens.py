@@ -27,6 +27,9 @@ _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _DIGITS = "0-9²³¹¼½¾"
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\\t-\\r \\x85\\xa0{_LETTERS}{_DIGITS}]+")
 _BEYOND = re.compile("[^\\x00-ɏ]")
+# Fixed values of byte-level vocabularies: these bytes are written as the characters of their numbers, the rest in order from U+0100.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 
 
 class PreTokens:
@@ -57,9 +60,13 @@ class PreTokens:
         return [text[a:b] for _, (a, b) in self.whole.pre_tokenizer.pre_tokenize_str(text)]
 
     def ids(self, pre_tokens: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
-        listed = list(pre_tokens)
-        for x, e in zip(listed, self.whole.encode_batch_fast(listed, add_special_tokens=False), strict=True):
-            yield x, e.ids
+        """Each with its ids, from the vocabulary's merges alone: it is normalised and split already."""
+        merge = self.whole.model.tokenize
+        for x in pre_tokens:
+            if x in self.special:
+                yield x, [self.special[x]]
+            else:
+                yield x, [t.id for t in merge(x if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(_BYTES))]
 
 
 class PieceCounts(PreTokens):
