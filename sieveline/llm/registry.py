@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm import langid, media, packing, quality, tokens
+from sieveline.llm import langid, media, mixing, packing, quality, tokens
 from sieveline.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicated(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -40,10 +44,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_mix_sources": op3_mix_sources,
     "op6_token_counts": op6_token_counts,
     "op8_language_id": op8_language_id,
     "op9_media_columns": op9_media_columns,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_mix_sources": """
+        WITH sizes AS (SELECT source, sum(coalesce(length(text), 0))::DOUBLE AS chars FROM documents GROUP BY source),
+        shares AS (SELECT source, chars, CASE WHEN chars > 0 THEN pow(chars, 0.5) ELSE 0 END AS share FROM sizes),
+        rates AS (
+            SELECT source, CASE WHEN chars > 0 THEN share / sum(share) OVER () * sum(chars) OVER () / chars ELSE 1.0 END AS rate FROM shares
+        ),
+        parted AS (SELECT source, rate, greatest(ceil(rate / 64), 1) AS parts FROM rates),
+        terms AS (
+            SELECT source, parts, j, exp(j * ln(rate / parts) - rate / parts - lgamma(j + 1)) AS term
+            FROM parted, range(0, 250) AS t(j) WHERE rate > 0
+        ),
+        cumulative AS (SELECT source, parts, list(total ORDER BY j) AS upto FROM (SELECT *, sum(term) OVER (PARTITION BY source ORDER BY j) AS total FROM terms) GROUP BY ALL),
+        counted AS (
+            SELECT d.*, list_sum(list_transform(range(1, parts::BIGINT + 1), lambda p: len(list_filter(upto, lambda c: c <=
+                ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || p), 1, 13))::UBIGINT::DOUBLE / 4503599627370496)))) AS n
+            FROM documents d JOIN cumulative c ON d.source IS NOT DISTINCT FROM c.source
+        )
+        SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n::BIGINT + 1))::INT AS mix_copy FROM counted
+    """,
+}
