@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sieveline.llm import langid, media, mixing, packing, quality, tokens
+from sieveline.llm import chat, langid, media, mixing, packing, quality, tokens, warc
 from sieveline.llm.common import table
 
 
@@ -21,10 +22,23 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(spark, archives)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicated(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    records = rows.unionByName(added).select("conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("record"))
+    return chat.read_back(chat.formatted(chat.canonical_turns(records)))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -44,7 +58,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_warc": op2_warc,
     "op3_mix_sources": op3_mix_sources,
+    "op4_chat_formatting": op4_chat_formatting,
     "op6_token_counts": op6_token_counts,
     "op8_language_id": op8_language_id,
     "op9_media_columns": op9_media_columns,
@@ -71,4 +87,25 @@ ORACLE: dict[str, str] = {
         )
         SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n::BIGINT + 1))::INT AS mix_copy FROM counted
     """,
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, html, strlen(html) AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+            array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 10 * (k // 8) + 1, 10))::UBIGINT >> (35 - 5 * (k % 8))) & 31)::INT + 1, 1)), '') AS payload_digest,
+            CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+        FROM d
+    """,
+    "op4_chat_formatting": """
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ),
+        f AS (SELECT *, '<|turn|>' || replace(replace(role, '<|', '<||'), chr(10), '<|n|>') || chr(10) || replace(text, '<|', '<||') || '<|end|>' AS formatted FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, formatted)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, formatted) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+            sum(length(formatted))::BIGINT AS formatted_chars
+        FROM f GROUP BY conv_id
+    """,
 }
