@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows per Arrow batch. Texts can be long, so batches are kept far below Spark's default of 10,000.
 ARROW_ROWS = 512
@@ -52,3 +53,21 @@ def arrow_rows(spark: SparkSession, most: int = ARROW_ROWS) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= most:
         spark.conf.set(key, most)
+
+
+#: Rows of some 50 bytes up to which the short side of a join is broadcast.
+BROADCAST_ROWS = 200_000
+SALTS = 16
+
+
+def join_spread(many: DataFrame, few: DataFrame, key: str, spread: list[str], rows: int | None = None) -> DataFrame:
+    """`many` left join `few` (one row per key) by `key`, which may be that of most rows of `many`.
+
+    A short `few` is broadcast, after its rows are counted. Else `many` is dealt over salts hashed from the columns
+    `spread`, and `few` is repeated for each salt, so that no key's rows meet in one task.
+    """
+    if few.count() <= (BROADCAST_ROWS if rows is None else rows):
+        return many.join(F.broadcast(few), key, "left")
+    repeated = few.withColumn("join_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    salted = many.withColumn("join_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    return salted.join(repeated, [key, "join_salt"], "left").drop("join_salt")

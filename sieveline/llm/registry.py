@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import chat, langid, media, mixing, packing, quality, tokens, warc
+from sieveline.llm import chat, langid, media, mixing, neardup, packing, quality, tokens, warc
 from sieveline.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(chat.canonical_turns(records)))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_mix_sources": op3_mix_sources,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_token_counts": op6_token_counts,
     "op8_language_id": op8_language_id,
     "op9_media_columns": op9_media_columns,
