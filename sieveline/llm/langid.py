@@ -29,7 +29,7 @@ HIDDEN = 8
 LANGUAGES, SAMPLE_DOCS, PASSAGE = 64, 300, 600
 STEPS, BATCH, RATE, SEED = 320, 128, 0.02, 11
 #: Windows that the network reads at once.
-STRIDE = 4096
+STRIDE = 2048
 
 
 def _letters() -> np.ndarray:
@@ -52,8 +52,8 @@ class Network:
         self.w = rng.normal(0, 0.3, (2 * hidden, len(languages))).astype(np.float32)
         self.b = np.zeros(len(languages), np.float32)
 
-    def states(self, windows: np.ndarray) -> tuple[np.ndarray, list]:
-        """States (time, 2, batch, h), both directions in order of position, and what training needs."""
+    def states(self, windows: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+        """States (time, 2, batch, h), both directions in order of position, and, if kept, what training needs of each step."""
         n, t = windows.shape
         h = self.h
         out, kept, state = np.empty((t, 2, n, h), np.float32), [], np.zeros((2, n, h), np.float32)
@@ -63,14 +63,15 @@ class Network:
             zr = _sigmoid(x[..., : 2 * h] + g[..., : 2 * h])
             z, r, gn = zr[..., :h], zr[..., h:], g[..., 2 * h :]
             c = np.tanh(x[..., 2 * h :] + r * gn)
-            kept.append((state, z, r, gn, c))
+            if keep:
+                kept.append((state, z, r, gn, c))
             state = c + z * (state - c)
             out[k, 0], out[t - 1 - k, 1] = state[0], state[1]
         return out, kept
 
     def step(self, windows: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean cross entropy over positions, and its gradients for e, u, w and b."""
-        out, kept = self.states(windows)
+        out, kept = self.states(windows, keep=True)
         t, _, n, h = out.shape
         both = np.concatenate([out[:, 0], out[:, 1]], 2)
         logit = both @ self.w + self.b
