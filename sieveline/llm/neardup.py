@@ -10,11 +10,13 @@ all registers of a band share a bucket. Buckets are made into stars, never into
 documents, so that only one leader a bucket and task is shuffled, then among leaders. The pairs of stars are estimated
 by maximum likelihood over which register is larger, and the likely ones are confirmed on full sets of shingles.
 
-**Second search.** Links make components. A bucket whose members are then in several components may still hold links
-between members that aren't leaders: there, every member outside the bucket's largest component is compared, by its
-registers, with all members of other components, and the likely pairs are confirmed too. So the components are those of
-all links that the bands see; at the similarity of the threshold a pair is missed by all bands with probability
-(1 - s^ROWS)^BANDS, under one in a million. Large buckets are parted, with the outsiders repeated for each part.
+**Search across components.** Links make components. A bucket whose members are then in several components may still
+hold links between members that aren't leaders: there, every member outside the bucket's largest component is compared,
+by its registers, with all members of other components. First only its `BEST` likeliest are confirmed, which brings
+nearly all linked documents together; then all likely pairs that still lie across components are, each in the first
+band that the two share. So the components are those of all links that the bands see; at the similarity of the
+threshold a pair is missed by all bands with probability (1 - s^ROWS)^BANDS, under one in a million. Large buckets are
+parted, with the outsiders repeated for each part.
 
 Nulls and texts without words have empty sets and link with nothing. Rows with a null doc_id are kept unlinked, with a
 null component. Repeated rows of a doc_id are one document. An empty table gives an empty result.
@@ -36,11 +38,16 @@ from sieveline.llm.components import components
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 36, 5
+#: Registers besides those of bands, for estimates.
+MORE = 60
 #: The scale of registers: base, rate of the exponential variates, largest value less one.
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 SEED = 7
-#: Standard deviations below the threshold at which an estimate still is a candidate.
-SLACK = 4.5
+#: Standard deviations below the threshold at which an estimate still is a candidate: at first, and in the last search,
+#: whose pairs matter only where a link is the one link between two components.
+SLACK, LAST_SLACK = 4.5, 3.35
+#: Candidates of each outsider in a bucket in the first search across components.
+BEST = 2
 #: Words that a task remembers the hashes of; representatives that a task makes stars of at once; members in a part of a bucket.
 CACHE, CHUNK, PART = 1_000_000, 20_000, 20_000
 
@@ -115,7 +122,7 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """(sets, bands): the bucket of each band, as signed 64-bit numbers."""
     weights = _constants(bands * rows, SEED + 3).reshape(bands, rows)
     salts = _constants(bands, SEED + 4)
-    parts = registers.astype(np.uint64).reshape(len(registers), bands, rows)
+    parts = registers[:, : bands * rows].astype(np.uint64).reshape(len(registers), bands, rows)
     return _mixed((parts * weights).sum(2, dtype=np.uint64) + salts).view(np.int64)
 
 
@@ -140,9 +147,9 @@ def estimated(na: np.ndarray, nb: np.ndarray, larger: np.ndarray, smaller: np.nd
     return (low + high) / 2
 
 
-def margin(percent: int, m: int) -> float:
+def margin(percent: int, m: int, slack: float = SLACK) -> float:
     s = percent / 100
-    return s - SLACK * math.sqrt(s * (1 - s) / m)
+    return s - slack * math.sqrt(s * (1 - s) / m)
 
 
 _SKETCH = "doc_id long, n_shingles long, sig1 long, sig2 long, registers binary"
@@ -153,7 +160,7 @@ def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int
     arrow_rows(docs.sparkSession)
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, sketch = Shingles(words), SetSketch(bands * rows)
+        shingles, sketch = Shingles(words), SetSketch(bands * rows + MORE)
         for batch in batches:
             sets = [shingles.of(x) for x in batch.column(1).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -269,36 +276,44 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return met.select("a", "b", "t_a", "t_b").mapInArrow(tested, "a long, b long")
 
 
-def second_search(edges: DataFrame, labels: DataFrame, held: DataFrame, percent: int, m: int) -> DataFrame:
-    """Likely pairs across components within the buckets that hold several."""
+def across(edges: DataFrame, labels: DataFrame, held: DataFrame, percent: int, bands: int, rows: int, best: int | None) -> DataFrame:
+    """Likely pairs across components within the buckets that hold several; with `best`, each outsider's likeliest only."""
+    m = bands * rows + MORE
     label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}"))
     told = edges.join(label("a"), "a", "left").join(label("b"), "b", "left").select("bucket", "a", "b", F.coalesce("l_a", "a").alias("l_a"), F.coalesce("l_b", "b").alias("l_b"))
     told = checkpointed(told)
+    # A bucket of two is its star's one pair, which has been tested.
     mixed = told.groupBy("bucket").agg(F.count("*").alias("n"), F.max((F.col("l_a") != F.col("l_b")).cast("int")).alias("mixed")).where("mixed = 1 and n > 1")
     inside = told.join(mixed.select("bucket", "n"), "bucket")
     members = checkpointed(inside.select("bucket", "n", F.col("a").alias("doc_id"), F.col("l_a").alias("label")).union(inside.select("bucket", "n", "b", "l_b")).distinct())
     largest = members.groupBy("bucket", "label").agg(F.count("*").alias("size")).groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("most"))
-    rows = members.join(largest, "bucket").join(held.select("doc_id", "n_shingles", "registers"), "doc_id")
-    rows = rows.withColumn("parts", F.ceil(F.col("n") / PART).cast("int")).withColumn("outside", F.col("label") != F.col("most"))
-    own = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("asks", F.lit(False))
-    asking = rows.where("outside").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("asks", F.lit(True))
-    columns = ["bucket", "part", "doc_id", "label", "asks", "n_shingles", "registers"]
-    least = margin(percent, m)
+    joined = members.join(largest, "bucket").join(held.select("doc_id", "n_shingles", "registers"), "doc_id")
+    joined = joined.withColumn("parts", F.ceil(F.col("n") / PART).cast("int")).withColumn("outside", F.col("label") != F.col("most"))
+    own = joined.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("asks", F.lit(False))
+    asking = joined.where("outside").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("asks", F.lit(True))
+    columns = ["bucket", "part", "doc_id", "label", "asks", "outside", "n_shingles", "registers"]
+    least = margin(percent, m, LAST_SLACK if best is None else SLACK)
 
     def searched(group: pd.DataFrame) -> pd.DataFrame:
-        asks = group["asks"].to_numpy(bool)
-        doc, of, n = group["doc_id"].to_numpy(), group["label"].to_numpy(), group["n_shingles"].to_numpy()
+        asks, outside = group["asks"].to_numpy(bool), group["outside"].to_numpy(bool)
+        doc, of, n, bucket = group["doc_id"].to_numpy(), group["label"].to_numpy(), group["n_shingles"].to_numpy(), group["bucket"].iloc[0]
         registers = np.frombuffer(b"".join(group["registers"]), np.uint16).reshape(len(group), m)
+        keys = band_keys(registers, bands, rows) if best is None else None
         own = np.flatnonzero(~asks)
-        theirs, sizes, ids, labels_ = registers[own], n[own], doc[own], of[own]
         found = []
         for i in np.flatnonzero(asks).tolist():
-            at = np.flatnonzero((labels_ != of[i]) & (np.minimum(sizes, n[i]) * 100 >= np.maximum(sizes, n[i]) * percent))
+            # Two outsiders are met from the smaller one only.
+            at = own[(of[own] != of[i]) & (np.minimum(n[own], n[i]) * 100 >= np.maximum(n[own], n[i]) * percent) & (~outside[own] | (doc[own] > doc[i]))]
+            if best is None and len(at):
+                at = at[keys[i][(keys[at] == keys[i]).argmax(1)] == bucket]
             if len(at):
-                close = theirs[at]
-                larger, smaller = (registers[i] > close).sum(1), (registers[i] < close).sum(1)
-                at = at[estimated(np.full(len(at), n[i]), sizes[at], larger, smaller, m) >= least]
-                found.append(np.stack([np.minimum(ids[at], doc[i]), np.maximum(ids[at], doc[i])], 1))
+                larger, smaller = (registers[i] > registers[at]).sum(1), (registers[i] < registers[at]).sum(1)
+                s = estimated(np.full(len(at), n[i]), n[at], larger, smaller, m)
+                if best is not None and len(at) > best:
+                    top = np.argpartition(-s, best)[:best]
+                    at, s = at[top], s[top]
+                at = at[s >= least]
+                found.append(np.stack([np.minimum(doc[at], doc[i]), np.maximum(doc[at], doc[i])], 1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -307,7 +322,7 @@ def second_search(edges: DataFrame, labels: DataFrame, held: DataFrame, percent:
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs` (doc_id, text)."""
-    m = bands * rows
+    m = bands * rows + MORE
     drawn = written(sketches(docs, words, bands, rows), "sketches")
     sets = drawn.where("doc_id is not null and n_shingles > 0")
     equal = checkpointed(sets.groupBy("n_shingles", "sig1", "sig2").agg(F.min("doc_id").alias("class"), F.count("*").alias("n")).where("n > 1").select(F.struct("n_shingles", "sig1", "sig2").alias("sig"), "class"))
@@ -315,10 +330,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     held = written(named.where("class = doc_id").select("doc_id", "n_shingles", "registers"), "classes").dropDuplicates(["doc_id"])
     edges = written(stars(held, bands, rows), "stars")
     ordered = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = checkpointed(confirmed(checkpointed(likely(ordered(edges), held, percent, m)), docs, words, percent))
-    more = checkpointed(second_search(edges, components(links), held, percent, m).join(links, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = checkpointed(links.union(confirmed(more, docs, words, percent)))
+    tested = checkpointed(likely(ordered(edges), held, percent, m))
+    links = checkpointed(confirmed(tested, docs, words, percent))
+    for best in (BEST, None):
+        more = checkpointed(across(edges, components(links), held, percent, bands, rows, best).join(tested, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            links = checkpointed(links.union(confirmed(more, docs, words, percent)))
+            tested = checkpointed(tested.union(more))
     labels = components(links).select(F.col("node").alias("class"), "label")
     classes = named.select("doc_id", "class").where("class <> doc_id").distinct()
     member = classes.join(labels, "class", "left").select("doc_id", F.coalesce("label", "class").alias("component_id"))
