@@ -1,6 +1,6 @@
 """Near-duplicate groups by SetSketch registers, banded, estimated by likelihood and confirmed on full shingle sets.
 
-**Sketch.** A document's set is its distinct word shingles. Each of `BANDS * ROWS` registers holds the minimum over the
+**Sketch.** A document's set is its distinct word shingles. Each of registers holds the minimum over the
 set of an exponentially distributed hash, on an exponentially spaced scale and truncated: max(0, min(q+1,
 floor(1 - log_b(minimum)))). The maximum of two registers is the register of the union, so sketches merge, and equal
 registers are about as likely as sets are similar.
@@ -15,7 +15,7 @@ hold links between members that aren't leaders: there, every member outside the
 by its registers, with all members of other components. First only its `BEST` likeliest are confirmed, which brings
 nearly all linked documents together; then all likely pairs that still lie across components are, each in the first
 band that the two share. So the components are those of all links that the bands see; at the similarity of the
-threshold a pair is missed by all bands with probability (1 - s^ROWS)^BANDS, under one in a million. Large buckets are
+threshold a pair is missed by all bands with probability `MISSED`, under one in a million. Large buckets are
 parted, with the outsiders repeated for each part.
 
 Nulls and texts without words have empty sets and link with nothing. Rows with a null doc_id are kept unlinked, with a
@@ -37,7 +37,8 @@ from sieveline.llm.common import arrow_rows, checkpointed, join_spread, written
 from sieveline.llm.components import components
 
 WORDS, PERCENT = 5, 80
-BANDS, ROWS = 36, 5
+#: Registers in a band, and the probability that a pair at the threshold shares no band, which gives the number of bands.
+ROWS, MISSED = 5, 7e-7
 #: Registers besides those of bands, for estimates.
 MORE = 60
 #: The scale of registers: base, rate of the exponential variates, largest value less one.
@@ -152,10 +153,15 @@ def margin(percent: int, m: int, slack: float = SLACK) -> float:
     return s - slack * math.sqrt(s * (1 - s) / m)
 
 
+def bands_for(percent: int, rows: int = ROWS) -> int:
+    """Bands that miss a pair at the threshold with probability MISSED at most: 36 of 5 registers for 80 percent."""
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-((min(percent, 99) / 100) ** rows))))
+
+
 _SKETCH = "doc_id long, n_shingles long, sig1 long, sig2 long, registers binary"
 
 
-def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def sketches(docs: DataFrame, words: int = WORDS, bands: int = bands_for(PERCENT), rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, a 128-bit signature of the set and its registers (null without shingles), per row."""
     arrow_rows(docs.sparkSession)
 
@@ -180,7 +186,7 @@ def sketches(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(drawn, _SKETCH)
 
 
-def stars(held: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def stars(held: DataFrame, bands: int = bands_for(PERCENT), rows: int = ROWS) -> DataFrame:
     """`held` (doc_id, registers) -> bucket, a, b: a star for each bucket of several documents, over leaders of tasks' stars."""
     names = ["place", "bucket", "a", "b"]
 
@@ -320,8 +326,9 @@ def across(edges: DataFrame, labels: DataFrame, held: DataFrame, percent: int, b
     return own.select(columns).union(asking.select(columns)).groupBy("bucket", "part").applyInPandas(searched, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs` (doc_id, text)."""
+    bands = bands_for(percent, rows)
     m = bands * rows + MORE
     drawn = written(sketches(docs, words, bands, rows), "sketches")
     sets = drawn.where("doc_id is not null and n_shingles > 0")
@@ -333,7 +340,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     tested = checkpointed(likely(ordered(edges), held, percent, m))
     links = checkpointed(confirmed(tested, docs, words, percent))
     for best in (BEST, None):
-        more = checkpointed(across(edges, components(links), held, percent, bands, rows, best).join(tested, ["a", "b"], "left_anti"))
+        more = checkpointed(across(edges, checkpointed(components(links)), held, percent, bands, rows, best).join(tested, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             links = checkpointed(links.union(confirmed(more, docs, words, percent)))
             tested = checkpointed(tested.union(more))
