@@ -46,7 +46,7 @@ def test_the_bound_is_exact(spark):
         assert math.isclose(got, binomial(k, n, rate), rel_tol=1e-9)
 
 
-def documents(spark, n=1500):
+def documents(spark, n=4000):
     """Clean documents, some with a symbol or two, and junk full of them, in two languages."""
     alphabet, rows = string.ascii_lowercase, []
     for i in range(n):
