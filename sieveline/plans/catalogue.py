@@ -1,10 +1,6 @@
 """All queries over the driver's tables and the SQL that each must agree with."""
 
-from __future__ import annotations
+from sieveline.plans import finding_queries, inference_queries, matching_queries, metric_queries, scoring_queries, text_queries  # noqa: F401
+from sieveline.plans.registry import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
