@@ -1 +1 @@
-
+"""Passes that resume where they stopped."""
