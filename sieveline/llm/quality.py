@@ -1,11 +1,13 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Every text gets base measures (words, symbols, repeated lines, repeated eight-word windows). Each rule compares a ratio
-of them with a cutoff. Cutoffs are selected per stratum on labelled holdouts: for every candidate cutoff the good
-documents that it would reject are counted, and it passes if the exact binomial probability of so few, were the true
-rate of false rejections alpha / rules, is at most delta / (strata * rules * cutoffs) (Bonferroni). The strictest
-cutoff that passes is used; a rule with none rejects nothing in that stratum. So with probability 1 - delta all strata
-together keep their rate of false rejections at or under alpha.
+Every text gets base measures (words, symbols, repeated lines, repeated eight-word windows, echoed words). Rules compare ratios of
+them with cutoffs. The cutoffs form one sequence of ever stricter configurations: each step lets one rule reject more.
+Per stratum, a configuration passes if the exact binomial probability that it would reject as few of the good labelled
+documents as it does, were its true rate of false rejections alpha, is at most delta / strata. Steps are tested in
+order up to the first that fails, so testing many of them costs nothing (a fixed sequence), and the division by the
+strata (Bonferroni) covers all of these: with probability 1 - delta every stratum keeps its rate of false rejections, of
+all rules together, at or under alpha. Of the steps that pass, the first is taken that rejects nearly all (`ENOUGH`) of the
+labelled bad documents that any of them does; without any, none.
 
 Strata are the `STRATA` commonest languages and one for the rest and for null, so the table of cutoffs is bounded and
 is broadcast. Null text has no words and fails the base rules. Repeated rows are judged each; a doc_id with several
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sieveline.llm.common import written
 
@@ -25,20 +28,23 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Largest rate of false rejections in a stratum, and the probability that the guarantee fails anywhere.
-ALPHA, DELTA = 0.01, 0.05
+ALPHA, DELTA = 0.02, 0.05
+#: Share of the bad documents that could be rejected at which the sequence is stricter than needed.
+ENOUGH = 0.99
 STRATA = 32
-#: Rules: a ratio of measures is over a cutoff, of these.
-RULES: dict[str, tuple[float, ...]] = {
-    "symbols_per_char": (0.02, 0.04, 0.06, 0.08, 0.12, 0.16, 0.24, 0.32),
-    "dup_lines_per_word": (0.002, 0.005, 0.01, 0.02, 0.04, 0.08),
-    "repeat_share": (0.02, 0.05, 0.1, 0.15, 0.2, 0.25),
-    "chars_per_word": (8.0, 9.0, 10.0, 12.0, 15.0, 20.0),
-}
+#: The sequence: a rule rejects where its ratio of measures is over the cutoff. Later steps add to earlier ones.
+SEQUENCE: tuple[tuple[str, float], ...] = (
+    *(("symbols_per_char", c) for c in (0.32, 0.24, 0.16, 0.12, 0.1, 0.08, 0.06)),
+    *(("echo_share", c) for c in (0.6, 0.5, 0.4, 0.3, 0.2)),
+    *(("repeat_share", c) for c in (0.25, 0.2, 0.15, 0.1, 0.06)),
+    *(("dup_lines_per_word", c) for c in (0.08, 0.04, 0.02, 0.01)),
+    *(("chars_per_word", c) for c in (25.0, 18.0, 14.0)),
+)
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the five base measures of every row."""
+    """doc_id, lang, the five base measures of every row, and `n_echo_words`, its words that are those before them."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     trimmed = narrow.withColumn("bare", F.btrim("text", F.lit(WHITE)))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0)
@@ -50,6 +56,7 @@ def measured(docs: DataFrame) -> DataFrame:
     windows = worded.select(
         "doc_id", "lang", n.cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.size(F.filter("words", lambda w, i: (i > 0) & (w == F.get(F.col("words"), i - 1)))).cast("long").alias("n_echo_words"),
         F.when(n >= WINDOW, F.transform(F.slice("words", F.lit(1), n - (WINDOW - 1)), lambda _, i: F.xxhash64(F.slice(F.col("words"), i + 1, F.lit(WINDOW))))).alias("windows"),
     )
     # Positions of windows found twice or more: equal neighbours once windows and positions are sorted together.
@@ -58,7 +65,7 @@ def measured(docs: DataFrame) -> DataFrame:
     near = lambda s, i: F.coalesce(s["h"] == F.get(F.col("sorted"), i)["h"], F.lit(False))
     flagged = sorted_.withColumn("at", F.sort_array(F.transform(F.filter("sorted", lambda s, i: near(s, i - 1) | near(s, i + 1)), lambda s: s["i"])))
     covered = F.aggregate(F.transform("at", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("at"), i + 1) - p, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x)
-    return flagged.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return flagged.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_echo_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def ratio(rule: str) -> Column:
@@ -66,6 +73,7 @@ def ratio(rule: str) -> Column:
     return {
         "symbols_per_char": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)).cast("double"),
         "dup_lines_per_word": F.col("n_dup_lines") / words,
+        "echo_share": F.col("n_echo_words") / words,
         "repeat_share": F.col("n_repeat_words") / words,
         "chars_per_word": F.col("word_chars") / words,
     }[rule]
@@ -88,29 +96,33 @@ def binomial_at_most(k: Column, n: Column, rate: float) -> Column:
     return F.aggregate(terms, start, step, lambda a: a["sum"])
 
 
-def cutoffs(holdout: DataFrame, strata: int, rules: dict[str, tuple[float, ...]], alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The cutoff of every rule (null: none) per stratum, from good labelled documents that pass the base rules."""
-    tests = strata * sum(map(len, rules.values()))
-    rate = alpha / len(rules)
-    counts = holdout.groupBy("stratum").agg(F.count("*").alias("good"), *[F.count_if(ratio(r) > c).alias(f"{r}_{i}") for r, cs in rules.items() for i, c in enumerate(cs)])
-    chosen = []
-    for r, cs in rules.items():
-        passes = [F.when((F.col(f"{r}_{i}") <= rate * F.col("good")) & (binomial_at_most(F.when(F.col(f"{r}_{i}") <= rate * F.col("good"), F.col(f"{r}_{i}")).otherwise(0), F.col("good"), rate) <= delta / tests), F.lit(c)) for i, c in enumerate(cs)]
-        chosen.append(F.array_min(F.array(*passes)).alias(r))
-    return counts.select("stratum", *chosen)
+def first_step(sequence: tuple[tuple[str, float], ...]) -> Column:
+    """The first step of the sequence that rejects a document, from 1; null if none does."""
+    return F.array_min(F.array(*[F.when(ratio(r) > c, F.lit(k)) for k, (r, c) in enumerate(sequence, 1)]))
 
 
-def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, rules: dict[str, tuple[float, ...]] | None = None) -> DataFrame:
+def chosen_steps(holdout: DataFrame, strata: int, steps: int, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """`stratum` and its step (`upto`, 0: none) from labelled documents (stratum, step, good). A row per stratum and step is all that is sorted."""
+    total = holdout.groupBy("stratum").agg(F.count_if("good").alias("n"))
+    seen = holdout.where("step is not null").groupBy("stratum", "step").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    grid = total.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps)))).join(seen, ["stratum", "step"], "left")
+    so_far = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    counted = grid.select("stratum", "step", "n", F.coalesce(F.sum("good").over(so_far), F.lit(0)).alias("good"), F.coalesce(F.sum("bad").over(so_far), F.lit(0)).alias("bad"))
+    few = F.col("good") <= alpha * F.col("n")
+    passes = few & (binomial_at_most(F.when(few, F.col("good")).otherwise(0), F.col("n"), alpha) <= delta / strata)
+    certified = counted.withColumn("ok", F.min(passes.cast("int")).over(so_far)).where("ok = 1")
+    most = certified.withColumn("most", F.max("bad").over(Window.partitionBy("stratum")))
+    return most.where((F.col("bad") > 0) & (F.col("bad") >= ENOUGH * F.col("most"))).groupBy("stratum").agg(F.min("step").alias("upto"))
+
+
+def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, sequence: tuple[tuple[str, float], ...] = SEQUENCE) -> DataFrame:
     """doc_id, the base measures, base_failed and kept of every row of `docs` (doc_id, text, lang)."""
-    rules = RULES if rules is None else rules
-    table = written(measured(docs), "quality").withColumn("base_failed", base_failed())
+    table = written(measured(docs), "quality").withColumn("base_failed", base_failed()).withColumn("step", first_step(sequence))
     common = [r["lang"] for r in table.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(STRATA).collect()]
     named = F.col("lang").isin(common) if common else F.lit(False)
     table = table.withColumn("stratum", F.when(named, F.concat(F.lit("="), "lang")).otherwise(F.lit("rest")))
-    good = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    chosen = cutoffs(table.where("not base_failed").join(good, "doc_id", "left_semi"), len(common) + 1, rules, alpha, delta)
-    limits = chosen.select(F.col("stratum"), *[F.col(r).alias(f"max_{r}") for r in rules])
-    over = F.lit(False)
-    for r in rules:
-        over = over | F.coalesce(ratio(r) > F.col(f"max_{r}"), F.lit(False))
+    known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
+    holdout = table.where("not base_failed").select("doc_id", "stratum", "step").join(known, "doc_id")
+    limits = chosen_steps(holdout, len(common) + 1, len(sequence), alpha, delta)
+    over = F.coalesce(F.col("step") <= F.col("upto"), F.lit(False))
     return table.join(F.broadcast(limits), "stratum", "left").select("doc_id", *MEASURES, "base_failed", (~F.col("base_failed") & ~over).alias("kept"))

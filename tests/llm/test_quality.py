@@ -36,6 +36,11 @@ def test_measures_of_any_text(spark, texts):
     assert [tuple(r[m] for m in quality.MEASURES) for r in got] == [base(x) for x in texts]
 
 
+def test_echoes(spark):
+    frame = spark.createDataFrame([(1, "a a a b b c", None), (2, "a", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.n_echo_words for r in quality.measured(frame).collect()} == {1: 3, 2: 0, 3: 0}
+
+
 def binomial(k, n, p):
     return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
 
@@ -60,19 +65,25 @@ def documents(spark, n=4000):
 def test_cutoffs_are_those_of_brute_force(spark):
     docs = documents(spark)
     labels = docs.select("doc_id", F.col("good").alias("quality"), F.lit("x").alias("n_words"))
-    alpha, delta = 0.04, 0.05
-    got = {r.doc_id: r.kept for r in quality.judge(docs, labels, alpha, delta).collect()}
+    alpha, delta = 0.01, 0.05
     rows = [(r.doc_id, r.lang, r.good, base(r.text)) for r in docs.collect()]
-    ratios = lambda m: {"symbols_per_char": m[2] / max(m[1], 1), "dup_lines_per_word": m[3] / max(m[0], 1), "repeat_share": m[4] / max(m[0], 1), "chars_per_word": m[1] / max(m[0], 1)}
-    tests, rate = 3 * sum(map(len, quality.RULES.values())), alpha / len(quality.RULES)
-    limit = {}
-    for lang in ("en", "fr"):
-        good = [ratios(m) for _, x, g, m in rows if x == lang and g]
-        for rule, cutoffs in quality.RULES.items():
-            passing = [c for c in cutoffs if (k := sum(r[rule] > c for r in good)) <= rate * len(good) and binomial(k, len(good), rate) <= delta / tests]
-            limit[lang, rule] = min(passing, default=math.inf)
-    want = {i: not any(v > limit[x, rule] for rule, v in ratios(m).items()) for i, x, _, m in rows}
-    assert got == want
+    ratios = lambda m: {"symbols_per_char": m[2] / max(m[1], 1), "dup_lines_per_word": m[3] / max(m[0], 1), "repeat_share": m[4] / max(m[0], 1), "chars_per_word": m[1] / max(m[0], 1), "echo_share": 0.0}
+    for sequence in (quality.SEQUENCE, (("symbols_per_char", 0.5), ("chars_per_word", 7.0), ("symbols_per_char", 0.3)), (("symbols_per_char", 0.3), ("symbols_per_char", 0.0))):
+        got = {r.doc_id: r.kept for r in quality.judge(docs, labels, alpha, delta, sequence).collect()}
+        upto = {}
+        for lang in ("en", "fr"):
+            certified = []
+            for k in range(1, len(sequence) + 1):
+                out = [any(ratios(m)[r] > c for r, c in sequence[:k]) for _, x, _, m in rows if x == lang]
+                good = [bool(g) for _, x, g, _ in rows if x == lang]
+                wrong = sum(o and g for o, g in zip(out, good, strict=True))
+                if wrong > alpha * sum(good) or binomial(wrong, sum(good), alpha) > delta / 3:
+                    break
+                certified.append((k, sum(o and not g for o, g in zip(out, good, strict=True))))
+            most = max((b for _, b in certified), default=0)
+            upto[lang] = next((k for k, b in certified if b > 0 and b >= 0.99 * most), 0)
+        assert got == {i: not any(ratios(m)[r] > c for r, c in sequence[: upto[x]]) for i, x, _, m in rows}
+    got = {r.doc_id: r.kept for r in quality.judge(docs, labels, alpha, delta).collect()}
     assert not any(got[i] for i, _, g, _ in rows if not g) and all(got[i] for i, _, g, _ in rows if g)
 
 
