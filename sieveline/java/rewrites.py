@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.java.scanner import Source
+from sieveline.java.scanner import Method, Source, _Body, _expression_end, _parameters
 
 Edit = tuple[int, int, str]
 GUARD = "ReplaceNestedConditionalWithGuardClauses"
@@ -43,14 +43,20 @@ def indent(text: str, at: int) -> str:
     return re.match(r"[ \t]*", text[start:])[0]
 
 
+def located(s: Source, name: str, line: int) -> int | None:
+    """The token of a method's name, declared from this line on; None if it isn't there or the source is broken."""
+    if s.broken:
+        return None
+    return next((i for i in range(s.n) if s.name(i) and s[i] == name and s[i + 1] == "(" and s[i - 1] not in (".", "new") and s.line[s.header_start(i - 1)] <= line <= s.line[i]), None)
+
+
 def guard_clause(text: str, name: str, line: int) -> tuple[list[Edit], str | None]:
     """A void method whose whole body is one `if` without `else` returns early instead. Edits, or why there are none.
 
     The condition isn't inverted but wrapped in `!(...)`, which is right for every expression.
     """
     s = Source(text)
-    at = next((i for i in range(s.n) if s.name(i) and s[i] == name and s[i + 1] == "(" and s[i - 1] not in (".", "new") and s.line[s.header_start(i - 1)] <= line <= s.line[i]), None)
-    if s.broken or at is None:
+    if (at := located(s, name, line)) is None:
         return [], "not_located"
     if s[at - 1] != "void":
         return [], "needs_void"
@@ -81,6 +87,126 @@ def guard_clause(text: str, name: str, line: int) -> tuple[list[Edit], str | Non
     return [(s.at[first], s.at[close] + 1, new)], None
 
 
+#: Lines of the smallest block that is worth a method, and the new method's name.
+LEAST_LINES, EXTRACTED = 5, "extracted"
+_COMPOUND = ("if", "for", "while", "do", "try", "switch", "synchronized", "{")
+_ASSIGNING = ("=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "++", "--")
+
+
+def _declared(s: Source, i: int, j: int) -> dict[str, tuple[str, bool]]:
+    """Local variables declared by the tokens from i to before j: name -> type as written, and whether it is given a value."""
+    found = {}
+    for k in range(i, j):
+        if not (s[k - 1] in ("{", "}", ";", "final", ")", ":", "->") or (s[k - 1] == "(" and s[k - 2] in ("for", "try", "catch"))):
+            continue
+        at = s.skip_modifiers(k)
+        after = s.type_at(at)
+        while after > at and s.name(after) and s[after + 1] in ("=", ";", ",", ":", ")"):
+            found.setdefault(s[after], (s.slice(at, s.type_at(at) - 1), s[after + 1] != ";" and s[after + 1] != ","))
+            after = _expression_end(s, after + 1, j)
+            if s[after] != ",":
+                break
+            after += 1
+    return found
+
+
+def _used(s: Source, i: int, j: int) -> set[str]:
+    return {s[k] for k in range(i, j) if s.name(k) and s[k - 1] != "." and s[k + 1] != "("}
+
+
+def _assigned(s: Source, i: int, j: int) -> set[str]:
+    """Names that tokens i to j give a value to. The scanner parts `>>=` into tokens whose last is an assignment too."""
+    return {s[k] for k in range(i, j) if s.name(k) and s[k - 1] != "." and (s[k + 1] in _ASSIGNING or s[k - 1] in ("++", "--") or (s[k + 1] in ("<", ">") and s[k + 2] in (">", "<=", ">=")))}
+
+
+def _escapes(s: Source, i: int, j: int) -> bool:
+    """Whether control leaves the block in tokens i to j other than by its end: a return or yield, or a break or continue of something outside."""
+    for k in range(i, j):
+        if s[k] in ("return", "yield") and s[k - 1] in ("{", "}", ";", ")", "else", ":", "->"):
+            return True
+        if s[k] in ("break", "continue"):
+            if s[k + 1] != ";":
+                return True
+            inside = False
+            for opener in range(i, k):  # is there a loop (or, for break, a switch) of the block around it?
+                if s[opener] in ("for", "while", "do") or (s[opener] == "switch" and s[k] == "break"):
+                    head = s.close(opener + 1) + 1 if s[opener + 1] == "(" else opener + 1
+                    inside |= s[head] == "{" and head < k < s.close(head)
+            if not inside:
+                return True
+    return False
+
+
+def extract_method(text: str, name: str, line: int, reserved: frozenset[str] = frozenset()) -> tuple[list[Edit], str | None]:
+    """The largest compound statement at the top of a method's body becomes a private method. Edits, or why there are none.
+
+    Its inputs are the locals that it uses and that certainly have a value by then; at most one local that it assigns may
+    be used after it, and is returned.
+    """
+    s = Source(text)
+    if (at := located(s, name, line)) is None:
+        return [], "not_located"
+    k = s.close(at + 1) + 1
+    throws = k
+    while k < s.n and s[k] not in ("{", ";"):
+        k += 1
+    if s[k] != "{":
+        return [], "no_body"
+    head, end = at, s.close(k)
+    while head and s[head - 1] not in ("{", "}", ";"):
+        head -= 1
+    if s[s.skip_modifiers(head)] == "<":
+        return [], "type_parameters"
+    body, spans, i = _Body(s, Method("", None, [], [], 0, 0, False)), [], k + 1
+    while i < end:
+        after = max(body._statement(i, 0, end), i + 1)
+        spans.append((i, min(after, end)))
+        i = after
+    big = [(s.line[b - 1] - s.line[a] + 1, -a, a, b) for a, b in spans if s[a] in _COMPOUND and s.line[b - 1] - s.line[a] + 1 >= LEAST_LINES]
+    if not big:
+        return [], "no_block"
+    *_, a, b = max(big)
+    if _escapes(s, a, b):
+        return [], "escaping_control_flow"
+    parameters = {n: (s.slice(start, x - 1), True) for start, x, n in _parameter_names(s, at + 1)}
+    before = parameters | _declared(s, k + 1, a)
+    certain = set(parameters) | {n for x, y in spans if y <= a for n, (_, given) in _declared(s, x, y).items() if given and s[x] not in _COMPOUND} | {s[x] for x, y in spans if y <= a and s.name(x) and s[x + 1] == "="}
+    inputs = sorted(_used(s, a, b) & before.keys())
+    outputs = sorted(_assigned(s, a, b) & before.keys() & _used(s, b, end))
+    if len(outputs) > 1:
+        return [], "several_outputs"
+    if any(n not in certain for n in inputs):
+        return [], "not_surely_assigned"
+    if any(before[n][0] == "var" or "..." in before[n][0] for n in inputs):
+        return [], "unknown_type"
+    taken = {s[x] for x in range(s.n) if s.name(x)} | reserved
+    new = next(x for x in (EXTRACTED, *(f"{EXTRACTED}{n}" for n in range(2, 10_000))) if x not in taken)
+    outer = indent(text, s.at[head])
+    unit = indent(text, s.at[a]).removeprefix(outer) or "    "
+    out = outputs[0] if outputs else None
+    call = f"{out + ' = ' if out else ''}{new}({', '.join(inputs)});"
+    kind = "static " if "static" in s.tok[head:at] else ""
+    tail = f"{outer}{unit}return {out};\n" if out else ""
+    thrown = f" {s.slice(throws, k - 1)}" if throws < k else ""
+    made = f"\n\n{outer}private {kind}{before[out][0] if out else 'void'} {new}({', '.join(f'{before[n][0]} {n}' for n in inputs)}){thrown} {{\n{outer}{unit}{s.slice(a, b - 1)}\n{tail}{outer}}}"
+    return [(s.at[a], s.at[b - 1] + len(s[b - 1]), call), (s.at[end] + 1, s.at[end] + 1, made)], None
+
+
+def _parameter_names(s: Source, i: int) -> list[tuple[int, int, str]]:
+    """First token of the type, token of the name, and name of each parameter."""
+    out, start = [], i + 1
+    for x, n, _, _ in _parameters(s, i):
+        out.append((s.skip_modifiers(start), x, n))
+        start = x + 1
+        while s[start] in ("[", "]"):
+            start += 1
+        start += s[start] == ","
+    return out
+
+
+REWRITES = {"DeepNesting": guard_clause, "LongMethod": extract_method, "BrainMethod": extract_method}
+
+
 def planned(sites: DataFrame, files: DataFrame) -> DataFrame:
     """Sites (file, line, smell_type, method) over files (file, text): refusals, and each file's text with its edits applied.
 
@@ -95,7 +221,8 @@ def planned(sites: DataFrame, files: DataFrame) -> DataFrame:
             for file, listed, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 held, told = [], []
                 for site in listed:
-                    edits, why = guard_clause(text, site["method"], site["line"]) if site["smell_type"] == "DeepNesting" else ([], "no_rewrite")
+                    rewrite = REWRITES.get(site["smell_type"])
+                    edits, why = rewrite(text, site["method"], site["line"]) if rewrite else ([], "no_rewrite")
                     if why is None and any(overlap(a, b) for a in edits for b in held):
                         why = "deferred"
                     if why is None:

@@ -73,6 +73,61 @@ def test_verdicts(spark):
 def test_plans(spark):
     sites = spark.createDataFrame([("A.java", 2, "DeepNesting", "run"), ("A.java", 2, "DeepNesting", "run"), ("A.java", 11, "LongMethod", "go")], "file string, line int, smell_type string, method string")
     got = rewrites.planned(sites, spark.createDataFrame([("A.java", CODE)], "file string, text string")).collect()
-    assert sorted(str(r.refused) for r in got) == ["None", "deferred", "no_rewrite"]
+    assert sorted(str(r.refused) for r in got) == ["None", "deferred", "no_block"]
     assert len({r.rewritten for r in got}) == 1 and "return;" in got[0].rewritten
     assert any(line.startswith("+") for line in rewrites.unified(CODE, got[0].rewritten, "A.java"))
+
+
+LONG = """import java.util.*;
+class B {
+    private int seen;
+    int total(List<String> names, final int limit) throws java.io.IOException {
+        int sum = 0;
+        int unused;
+        String last = "";
+        for (String n : names) {
+            if (n.length() > limit) {
+                continue;
+            }
+            sum += n.length();
+            seen++;
+            Runnable r = () -> { System.out.println(n); return; };
+        }
+        return sum + last.length();
+    }
+}
+"""
+
+
+def test_extract_method():
+    edits, why = rewrites.extract_method(LONG.replace("return; };", "};"), "total", 4)
+    assert why is None
+    new = rewrites.applied(LONG.replace("return; };", "};"), edits)
+    assert "        sum = extracted(limit, names, sum);\n        return sum" in new
+    assert "    private int extracted(int limit, List<String> names, int sum) throws java.io.IOException {\n        for (String n" in new and "return sum;\n    }\n}" in new
+
+
+@pytest.mark.skipif(shutil.which("javac") is None, reason="no compiler")
+def test_the_extracted_method_compiles(tmp_path):
+    text = LONG.replace("return; };", "};")
+    (tmp_path / "B.java").write_text(rewrites.applied(text, rewrites.extract_method(text, "total", 4)[0]))
+    done = subprocess.run(["javac", "-d", str(tmp_path), str(tmp_path / "B.java")], capture_output=True, text=True, timeout=60)
+    assert done.returncode == 0, done.stderr
+
+
+@pytest.mark.parametrize(
+    "head, body, why",
+    [
+        ("void m(int a)", "go();", "no_block"),
+        ("void m(int a)", "while (a > 0) {\n\n\n\nreturn;\n}", "escaping_control_flow"),
+        ("void m(int a)", "while (a > 0) {\n\n\nif (x) {\nbreak; } }", None),
+        ("void m(int a)", "if (a > 0) {\n\n\n\nbreak;\n}", "escaping_control_flow"),
+        ("int m(int a)", "int b = 1; if (a > 0) {\n\n\na = 2; b = 3;\n}\n return a + b;", "several_outputs"),
+        ("int m(int a)", "int b; if (a > 0) {\n\n\n b = 3;\n} else { b = 4; }\n return b;", "not_surely_assigned"),
+        ("void m(int a)", "var b = f(); if (a > 0) {\n\n\n\n b.go();\n}", "unknown_type"),
+        ("<T> void m(T a)", "if (a > 0) {\n\n\n\n b.go();\n}", "type_parameters"),
+        ("static void m(int... a)", "if (x) {\n\n\n\n go(a[0]);\n}", "unknown_type"),
+    ],
+)
+def test_extractions_that_are_refused(head, body, why):
+    assert rewrites.extract_method(f"class A {{\n  {head} {{\n    {body}\n  }}\n}}", "m", 2)[1] == why
