@@ -46,21 +46,31 @@ def fingerprint(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]).cast("binary"), 256), 1, 32)
 
 
-def suppressed(lines: Column, line: Column, smell_type: Column, above: int = 10) -> Column:
-    """Whether a comment block right above a 1-based line says `smell:ignore`, for all types or for this one."""
+def suppressed(lines: Column, line: Column, smell_type: Column, marker: str = "smell:ignore", above: int = 10) -> Column:
+    """Whether a comment block right above a 1-based line carries the marker, for all types or with this one named in brackets.
+
+    Blank lines are passed over; the first line that is no comment ends the block.
+    """
     before = F.reverse(F.slice(lines, F.greatest(line - above, F.lit(1)), F.least(F.lit(above), line - 1)))
     start = F.struct(F.lit(False).alias("found"), F.lit(False).alias("stopped"))
 
     def step(a: Column, text: Column) -> Column:
         bare = F.trim(text)
         comment = bare.startswith("//") | bare.startswith("*") | bare.startswith("/*")
-        names = F.regexp_extract(bare, "smell:ignore(?:\\(([^)]*)\\))?", 1)
-        hit = bare.contains("smell:ignore") & ((names == "") | F.array_contains(F.transform(F.split(names, ","), lambda x: F.trim(x)), smell_type))
+        names = F.regexp_extract(bare, f"{marker}(?:\\(([^)]*)\\))?", 1)
+        hit = bare.contains(marker) & ((names == "") | F.array_contains(F.transform(F.split(names, ","), lambda x: F.trim(x)), smell_type))
         return F.struct((a["found"] | (~a["stopped"] & comment & hit)).alias("found"), (a["stopped"] | ~(comment | (bare == ""))).alias("stopped"))
 
     return F.aggregate(before, start, step, lambda a: a["found"])
 
 
+def suppressed_by_annotation(lines: Column, line: Column, smell_type: Column, marker: str = "smell", most: int = 20) -> Column:
+    """Whether the declaration at a 1-based line, up to the line of its first brace, has the marker (alone or with this type) in @SuppressWarnings."""
+    header = F.regexp_extract(F.array_join(F.slice(lines, line, F.lit(most)), "\n"), "^([^{]*(?:\\{[^\n]*)?)", 1)
+    names = F.regexp_extract_all(F.regexp_extract(header, "@SuppressWarnings\\s*\\(([^)]*)\\)", 1), F.lit('"([^"]*)"'), 1)
+    return F.exists(names, lambda x: (x == marker) | (x == F.concat(F.lit(f"{marker}:"), smell_type)))
+
+
 def sentences(text: Column) -> Column:
     """Parts after a full stop, exclamation or question mark and white space."""
     return F.filter(F.transform(F.split(text, "[.!?][ \\n\\t]+"), lambda x: F.trim(x)), lambda x: x != "")

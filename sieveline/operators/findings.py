@@ -63,3 +63,24 @@ def rates(found: DataFrame, by: list[str], applied: Column, refused: Column) ->
 def csv_rows(found: DataFrame, suggested: Column) -> DataFrame:
     """The rows of a findings report, in its order: worst scores first, then by place."""
     return found.select("smell_type", "severity", F.round("score", 3).alias("score"), "file", "line", "class_name", "method", F.array_join(suggested, "|").alias("refactorings")).orderBy(F.desc("score"), "file", "line", "smell_type", "class_name", "method")
+
+
+def shown(found: DataFrame, least: int = 1, types: tuple[str, ...] = (), words: str = "") -> DataFrame:
+    """All findings of the places where one matches: severity at least, type among, words in any of the names, whatever their case."""
+    matches = F.col("severity") >= least
+    if types:
+        matches = matches & F.col("smell_type").isin(*types)
+    if words:
+        matches = matches & F.lower(F.concat_ws(" ", "smell_type", "file", "class_name", "method")).contains(words.lower())
+    return found.join(found.where(matches).select(*SITE).distinct(), SITE, "left_semi")
+
+
+def gate(found: DataFrame, least: int) -> DataFrame:
+    """One row: whether any finding is at least so severe."""
+    return found.where(F.col("severity") >= least).limit(1).agg((F.count("*") > 0).alias("fails"))
+
+
+def share(part: Column, whole: Column) -> Column:
+    """A share in words: none and all only where they are exact."""
+    percent = F.floor(100 * part / F.when(whole > 0, whole) + 0.5)
+    return F.when(whole == 0, "-").when(part == 0, "0%").when(part == whole, "100%").when(100 * part < whole, "<1%").when(100 * part > 99 * whole, ">99%").otherwise(F.concat(percent.cast("long").cast("string"), F.lit("%")))

@@ -213,3 +213,45 @@ def reconcile(spark: SparkSession, d: str) -> DataFrame:
     counted = _found(spark, d).rollup("smell_type").agg(F.count("*").alias("n"), F.grouping("smell_type").alias("whole"))
     both = counted.agg(F.sum(F.when(F.col("whole") == 0, F.col("n"))).alias("parts"), F.max(F.when(F.col("whole") == 1, F.col("n"))).alias("total"))
     return both.withColumn("agrees", F.col("parts") == F.col("total"))
+
+
+@query(f"{_F} SELECT finding_id FROM findings f WHERE EXISTS (SELECT 1 FROM findings g WHERE g.file = f.file AND g.class_name = f.class_name AND g.method = f.method AND g.line = f.line AND severity >= 2 AND smell_type IN ('click', 'view') AND contains(lower(smell_type || ' ' || g.file || ' ' || g.class_name || ' ' || g.method), 'f1'))")
+def shown_findings(spark: SparkSession, d: str) -> DataFrame:
+    return findings.shown(_found(spark, d), 2, ("click", "view"), "F1").select("finding_id")
+
+
+@query(f"{_F} SELECT count(*) > 0 AS fails FROM findings WHERE severity >= 3")
+def severity_gate(spark: SparkSession, d: str) -> DataFrame:
+    return findings.gate(_found(spark, d), 3)
+
+
+@query(f"{_F}, t AS (SELECT file, count(*) FILTER (severity = 3) AS p, count(*) AS n FROM findings GROUP BY file) SELECT file, CASE WHEN p = 0 THEN '0%' WHEN p = n THEN '100%' WHEN 100 * p < n THEN '<1%' WHEN 100 * p > 99 * n THEN '>99%' ELSE floor(100 * p / n + 0.5)::BIGINT || '%' END AS critical FROM t")
+def critical_share(spark: SparkSession, d: str) -> DataFrame:
+    per = _found(spark, d).groupBy("file").agg(F.count_if(F.col("severity") == 3).alias("p"), F.count("*").alias("n"))
+    return per.select("file", findings.share(F.col("p"), F.col("n")).alias("critical"))
+
+
+@query(f"""{_F} SELECT smell_type, severity, round(score, 3) AS score, file, line, class_name, method, CASE smell_type WHEN 'click' THEN 'EncapsulateField' ELSE '' END AS refactorings FROM findings""")
+def findings_report(spark: SparkSession, d: str) -> DataFrame:
+    return findings.csv_rows(_found(spark, d), F.when(F.col("smell_type") == "click", F.array(F.lit("EncapsulateField"))).otherwise(F.array().cast("array<string>")))
+
+
+@query("""SELECT event_id, event_id % 2 = 0 AND event_type IN ('click', 'view') OR event_id % 2 = 1 AND event_id % 7 = 0 AS hidden FROM events""")
+def annotation_suppression(spark: SparkSession, d: str) -> DataFrame:
+    from sieveline.functions.text import suppressed_by_annotation
+
+    e = table(spark, d, "events")
+    named = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"x", "smell:'), "event_type", F.lit('"'))).when(F.col("event_id") % 7 == 0, '"smell"').otherwise('"other"')
+    lines = F.array(F.lit("// @SuppressWarnings(\"smell\")"), F.concat(F.lit("@SuppressWarnings("), named, F.lit(")")), F.lit("void m() {"))
+    asked = F.when(F.col("event_type").isin("click", "view"), F.col("event_type")).otherwise("none")
+    return e.select("event_id", suppressed_by_annotation(lines, F.lit(2), asked).alias("hidden"))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'not_github' WHEN 2 THEN NULL ELSE 'no_repository' END AS refused, CASE WHEN page_id % 2 = 0 THEN 'own' || page_id || '/repo' END AS repository, CASE page_id % 4 WHEN 0 THEN 'HEAD' WHEN 2 THEN 'v1/x' END AS ref FROM pages""")
+def import_links(spark: SparkSession, d: str) -> DataFrame:
+    from sieveline.sources.archives import repository
+
+    k = F.col("page_id").cast("string")
+    kind = F.col("page_id") % 4
+    link = F.when(kind == 0, F.concat(F.lit("git@github.com:own"), k, F.lit("/repo.git"))).when(kind == 1, F.col("url")).when(kind == 2, F.concat(F.lit("https://github.com/own"), k, F.lit("/repo/tree/v1/x"))).otherwise(F.concat(F.lit("own"), k))
+    return table(spark, d, "pages").select("page_id", repository(link).alias("r")).select("page_id", "r.refused", F.when(F.col("r.refused").isNull(), F.concat_ws("/", "r.owner", "r.name")).alias("repository"), "r.ref")

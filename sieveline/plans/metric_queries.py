@@ -202,3 +202,9 @@ def variant_fired(spark: SparkSession, d: str) -> DataFrame:
     fired = all_findings(spark, d).where("i = -1").groupBy("class_id").agg(F.collect_set("smell_type").alias("fired"))
     variant = lambda *names: F.coalesce(F.arrays_overlap("fired", F.array(*map(F.lit, names))), F.lit(False))
     return binding.classes(spark, d).select("class_id").join(fired, "class_id", "left").select("class_id", variant("GodClass").alias("strategy"), variant("GodClass", "LargeClass").alias("with_size"))
+
+
+@query(f"{METRICS_SQL} SELECT class_id, wmc, nom FROM cm WHERE tcc = 1 AND wmc >= 47")
+def saturated(spark: SparkSession, d: str) -> DataFrame:
+    """Classes so cohesive by definition that no limit reaches them, though they are complex."""
+    return class_entities(spark, d).where("tcc = 1 AND wmc >= 47").select("class_id", "wmc", "nom").orderBy(F.desc("wmc"), "class_id")

@@ -224,3 +224,39 @@ def test_late_events(spark, tmp_path):
     q = ingest.events_by_minute(stream).writeStream.format("memory").queryName("late").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.event_type, r.n, r.total) for r in spark.sql("SELECT * FROM late").collect()} >= {("a", 2, 3.0), ("b", 1, 4.0)}
+
+
+def test_archives(spark, tmp_path):
+    import io
+    import tarfile
+
+    from sieveline.sources import archives
+
+    links = {
+        "": "link_empty", "ftp://github.com/a/b": "bad_scheme", "https://u:p@github.com/a/b": "credentials_in_link", "https://gitlab.com/a/b": "not_github", "https://github.com/a": "no_repository", "https://github.com/-a/b": "bad_repository",
+        "https://github.com/a/b/tree/../x": "bad_ref", "https://github.com/a/b/tree/m#L1": "bad_ref", "a/b": None, "git@github.com:a/b.git": None, "https://www.github.com/a/b.git": None, "https://github.com/a/b/tree/dev": None,
+    }
+    got = {r.link: r.r for r in spark.createDataFrame([(x,) for x in links], "link string").withColumn("r", archives.repository(F.col("link"))).collect()}
+    assert {k: r.refused for k, r in got.items()} == links
+    assert got["https://github.com/a/b/tree/dev"].ref == "dev" and tuple(got["git@github.com:a/b.git"])[:3] == ("a", "b", "HEAD")
+
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as tar:
+        for name, data in (("r-1/src/A.java", b"class A {}"), ("r-1/../../x.java", b"bad"), ("/etc/Z.java", b"bad"), ("r-1/README.md", b"no"), ("r-1/Big.java", b" " * 5_000_000)):
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    (tmp_path / "a.tar.gz").write_bytes(out.getvalue())
+    (tmp_path / "b.tar.gz").write_bytes(b"nothing")
+    rows = archives.java_files(spark, f"file://{tmp_path}").collect()
+    assert sorted((r.file, r.refused) for r in rows if r.file) == [("src/A.java", None)] and [r.refused for r in rows if not r.file] == ["not_an_archive"]
+    with pytest.raises(ValueError, match="too_much_source"):
+        list(archives.java_members(out.getvalue(), files=0))
+    assert archives.vocabulary(spark).count() == len(archives.GLOSSARY)
+
+
+def test_suppression(spark):
+    lines = ["// smell:ignore(GodClass, LongMethod)", "", "/* note */", "@SuppressWarnings({\"x\", \"smell:DeepNesting\"})", "void m() {", "// smell:ignore", "int x;", "void n() {"]
+    frame = spark.createDataFrame([(lines, n, t) for n in (4, 8) for t in ("GodClass", "DeepNesting")], "l array<string>, n int, t string")
+    got = frame.select("n", "t", text.suppressed(F.col("l"), F.col("n"), F.col("t")).alias("c"), text.suppressed_by_annotation(F.col("l"), F.col("n"), F.col("t")).alias("a")).collect()
+    assert {(r.n, r.t): (r.c, r.a) for r in got} == {(4, "GodClass"): (True, False), (4, "DeepNesting"): (False, True), (8, "GodClass"): (False, False), (8, "DeepNesting"): (False, False)}
