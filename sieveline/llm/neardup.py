@@ -50,7 +50,7 @@ SLACK, LAST_SLACK = 4.5, 3.35
 #: Candidates of each outsider in a bucket in the first search across components.
 BEST = 2
 #: Words that a task remembers the hashes of; representatives that a task makes stars of at once; members in a part of a bucket.
-CACHE, CHUNK, PART = 1_000_000, 20_000, 20_000
+CACHE, CHUNK, PART = 1_000_000, 20_000, 5_000
 
 _U = np.uint64
 
@@ -263,10 +263,7 @@ def likely(pairs: DataFrame, held: DataFrame, percent: int, m: int) -> DataFrame
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Of the pairs, those whose full sets are similar enough."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    needed = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    few = needed.count() <= 2_000_000  # 8 bytes each
-    texts = written(texts.join(F.broadcast(needed) if few else needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = needed_texts(checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), docs)
     met = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("t_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t_b")), "b")
 
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +280,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
 
 def across(edges: DataFrame, labels: DataFrame, held: DataFrame, percent: int, bands: int, rows: int, best: int | None) -> DataFrame:
-    """Likely pairs across components within the buckets that hold several; with `best`, each outsider's likeliest only."""
+    """Likely pairs across components within the buckets that hold several.
+
+    With `best`, each outsider's likeliest, as (a, b). Without, all, as a row (bucket, part, doc_id, partners) for every
+    document of a pair in a bucket, where the outsider has the list of its partners: never a row for each pair.
+    """
     m = bands * rows + MORE
     label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}"))
     told = edges.join(label("a"), "a", "left").join(label("b"), "b", "left").select("bucket", "a", "b", F.coalesce("l_a", "a").alias("l_a"), F.coalesce("l_b", "b").alias("l_b"))
@@ -306,7 +307,7 @@ def across(edges: DataFrame, labels: DataFrame, held: DataFrame, percent: int, b
         registers = np.frombuffer(b"".join(group["registers"]), np.uint16).reshape(len(group), m)
         keys = band_keys(registers, bands, rows) if best is None else None
         own = np.flatnonzero(~asks)
-        found = []
+        found: dict[int, np.ndarray] = {}
         for i in np.flatnonzero(asks).tolist():
             # Two outsiders are met from the smaller one only.
             at = own[(of[own] != of[i]) & (np.minimum(n[own], n[i]) * 100 >= np.maximum(n[own], n[i]) * percent) & (~outside[own] | (doc[own] > doc[i]))]
@@ -318,12 +319,50 @@ def across(edges: DataFrame, labels: DataFrame, held: DataFrame, percent: int, b
                 if best is not None and len(at) > best:
                     top = np.argpartition(-s, best)[:best]
                     at, s = at[top], s[top]
-                at = at[s >= least]
-                found.append(np.stack([np.minimum(doc[at], doc[i]), np.maximum(doc[at], doc[i])], 1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                if len(at := at[s >= least]):
+                    found[i] = doc[at]
+        if best is not None:
+            pairs = [(min(doc[i], x), max(doc[i], x)) for i, partners in found.items() for x in partners.tolist()]
+            return pd.DataFrame(pairs, columns=["a", "b"], dtype=np.int64)
+        partners = {int(doc[i]): x.tolist() for i, x in found.items()}
+        docs = sorted({*partners, *(x for listed in partners.values() for x in listed)})
+        return pd.DataFrame({"bucket": bucket, "part": group["part"].iloc[0], "doc_id": np.array(docs, np.int64), "partners": pd.Series([partners.get(x, []) for x in docs], dtype=object)})
+
+    grouped = own.select(columns).union(asking.select(columns)).groupBy("bucket", "part")
+    if best is not None:
+        return grouped.applyInPandas(searched, "a long, b long").distinct()
+    return grouped.applyInPandas(searched, "bucket long, part int, doc_id long, partners array<long>")
+
+
+def needed_texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id and text (bytes) of the documents in `ids`, one row each."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    few = ids.count() <= 2_000_000  # 8 bytes each
+    return written(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+
+
+def confirmed_within(listed: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of `listed` (bucket, part, doc_id, partners) whose full sets are similar enough, part by part."""
+    listed = checkpointed(listed)
+    texts = needed_texts(checkpointed(listed.select("doc_id").distinct()), docs)
+
+    def tested(group: pd.DataFrame) -> pd.DataFrame:
+        shingles, text, sets = Shingles(words), dict(zip(group["doc_id"], group["text"], strict=True)), {}
+
+        def of(x: int) -> np.ndarray:
+            if x not in sets:
+                sets[x] = shingles.of(text[x])
+            return sets[x]
+
+        kept = []
+        for x, partners in zip(group["doc_id"], group["partners"], strict=True):
+            for y in partners:
+                both = len(np.intersect1d(of(x), of(y), assume_unique=True))
+                if both and 100 * both >= percent * (len(of(x)) + len(of(y)) - both):
+                    kept.append((min(x, y), max(x, y)))
+        return pd.DataFrame(kept, columns=["a", "b"], dtype=np.int64)
 
-    return own.select(columns).union(asking.select(columns)).groupBy("bucket", "part").applyInPandas(searched, "a long, b long").distinct()
+    return listed.join(texts, "doc_id").select("bucket", "part", "doc_id", "partners", "text").groupBy("bucket", "part").applyInPandas(tested, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
@@ -339,11 +378,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     ordered = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tested = checkpointed(likely(ordered(edges), held, percent, m))
     links = checkpointed(confirmed(tested, docs, words, percent))
-    for best in (BEST, None):
-        more = checkpointed(across(edges, checkpointed(components(links)), held, percent, bands, rows, best).join(tested, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            links = checkpointed(links.union(confirmed(more, docs, words, percent)))
-            tested = checkpointed(tested.union(more))
+    more = checkpointed(across(edges, checkpointed(components(links)), held, percent, bands, rows, BEST).join(tested, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        links = checkpointed(links.union(confirmed(more, docs, words, percent)))
+    rest = across(edges, checkpointed(components(links)), held, percent, bands, rows, None)
+    links = checkpointed(links.union(confirmed_within(rest, docs, words, percent)))
     labels = components(links).select(F.col("node").alias("class"), "label")
     classes = named.select("doc_id", "class").where("class <> doc_id").distinct()
     member = classes.join(labels, "class", "left").select("doc_id", F.coalesce("label", "class").alias("component_id"))
