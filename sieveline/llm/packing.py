@@ -30,6 +30,8 @@ CAPACITY = 4096
 #: Id that closes every document.
 END_ID = 1
 BLOCK_PIECES = 65_536
+#: Stands for a null doc_id while packing.
+NO_ID = -(1 << 63)
 #: Bins that the local search of a block examines at most, improved or not.
 STEPS = 20_000
 
@@ -179,7 +181,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     """
     cut = checkpointed(pieces(docs, tokenizer, capacity, end_id))
     blocks = max(1, math.ceil(cut.count() / block_pieces))
-    dealt = cut.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
+    dealt = cut.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))  # pandas would make floats of ids beside nulls
 
     def packed(block: pd.DataFrame) -> pd.DataFrame:
         number = int(block["block"].iloc[0])
@@ -190,4 +192,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         block["sequence_id"] = (number << 32) + block["bin"]
         return block[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    return dealt.groupBy("block").applyInPandas(packed, PACKED)
+    return dealt.groupBy("block").applyInPandas(packed, PACKED).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

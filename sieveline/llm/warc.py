@@ -108,7 +108,7 @@ def parse_block(fields: dict[str, str], block: bytes) -> dict:
     at = block.find(b"\r\n\r\n")
     head, payload = (block[:at], block[at + 4 :]) if at >= 0 else (b"", block)
     said = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    number = lambda x: None if (y := x.removeprefix(f"<{PAGE}").removesuffix(">")) in ("null", "") else int(y)
+    number = lambda x: None if (y := x.removeprefix(f"<{PAGE}").removesuffix(">")) in ("null", "") else str(int(y))  # noqa: E731  text, as pandas would make floats of numbers beside nulls
     if fields.get("warc-type") == "revisit":
         sizes = [x.partition(b":")[2] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
         size, digest = (int(sizes[0]) if sizes else None), said
@@ -117,7 +117,7 @@ def parse_block(fields: dict[str, str], block: bytes) -> dict:
     return {"page_id": number(fields.get("warc-record-id", "")), "payload_bytes": size, "payload_digest": digest, "record_type": fields.get("warc-type"), "refers_to": number(fields.get("warc-refers-to", "")), "sound": digest == said}
 
 
-_CANDIDATE = "file string, size long, block long, ordinal long, at long, bytes long, span long, whole boolean, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, sound boolean"
+_CANDIDATE = "file string, size long, block long, ordinal long, at long, bytes long, span long, whole boolean, page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, sound boolean"
 _KINDS = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
 _FIELDS = [x.split() for x in _CANDIDATE.split(", ")]
 
@@ -235,5 +235,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     records = found.where("chain and not parted").select(*_RESULT)
     if not broken.isEmpty():
         records = records.unionByName(assembled(spark, path, broken))
-    tested = F.when(F.coalesce("sound", F.lit(False)), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("the payload's digest is another: page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))))
-    return records.select("page_id", "payload_bytes", tested.alias("payload_digest"), "record_type", "refers_to")
+    tested = F.when(F.coalesce("sound", F.lit(False)), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("the payload's digest is another: page "), F.coalesce("page_id", F.lit("null")))))
+    return records.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", tested.alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"))

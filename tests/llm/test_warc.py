@@ -28,7 +28,7 @@ def expected(rows, min_bytes=0):
 @pytest.mark.parametrize("split", ["128m", "700"])
 @pytest.mark.parametrize("min_bytes", [0, 2])
 def test_round_trip(spark, split, min_bytes):
-    rows = [(i if i != 7 else None, h) for i, h in enumerate(HTML)] + [(2, "a")]
+    rows = [(i if i != 7 else None, h) for i, h in enumerate(HTML)] + [(2, "a"), (2**62 + 1, "big"), (2**62 + 3, "big")]
     pages = spark.createDataFrame([(i, "http://x/ \n%d" % (i or 0) if i != 1 else None, h, "d", 1, 2) for i, h in rows], SCHEMA).repartition(3)
     spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     try:
