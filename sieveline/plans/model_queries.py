@@ -108,3 +108,28 @@ def resolution(spark: SparkSession, d: str) -> DataFrame:
     """Whether what was found before is found after: unknown where the name is ambiguous."""
     n = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count_if(F.col("event_id") % 2 == 0).alias("before"), F.count_if(F.col("event_id") % 2 == 1).alias("after"), F.countDistinct(F.col("value") > 50).alias("names")).where("before > 0")
     return n.select("user_id", "event_type", F.when((F.col("names") > 1) & (F.col("before") > 3), "unknown").when(F.col("after") == 0, "resolved").otherwise("persists").alias("resolution"))
+
+
+def _extractable(kind: str, key: str, inner: str, rewritten: bool) -> str:
+    """The SQL text of a method with a loop, before or after the loop becomes a method."""
+    loop = f"'    for (int i = 0; i < a; i++) {{' || chr(10) || '      sum += i;' || chr(10) || '      {inner}' || chr(10) || '      go();' || chr(10) || '    }}' || chr(10)"
+    start = f"'class O' || {key} || ' {{' || chr(10) || '  int run(int a) {{' || chr(10) || '    {kind} sum = ' || {key} || ';' || chr(10)"
+    if not rewritten:
+        return f"{start} || {loop} || '    return sum;' || chr(10) || '  }}' || chr(10) || '}}' || chr(10)"
+    made = f"chr(10) || chr(10) || '  private int extracted(int a, int sum) {{' || chr(10) || {loop} || '    return sum;' || chr(10) || '  }}'"
+    return f"{start} || '    sum = extracted(a, sum);' || chr(10) || '    return sum;' || chr(10) || '  }}' || {made} || chr(10) || '}}' || chr(10)"
+
+
+@query(f"""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN NULL WHEN 'O' THEN 'escaping_control_flow' ELSE 'unknown_type' END AS refused,
+    CASE o_orderstatus WHEN 'F' THEN {_extractable('int', 'o_orderkey', 'go();', True)} WHEN 'O' THEN {_extractable('int', 'o_orderkey', 'if (sum > 9) return i;', False)} ELSE {_extractable('var', 'o_orderkey', 'go();', False)} END AS rewritten FROM orders""")
+def extract_method(spark: SparkSession, d: str) -> DataFrame:
+    """The loop of each order's class becomes a method, or stays for a reason."""
+    orders = table(spark, d, "orders")
+    variants = {"F": ("int", "go();"), "O": ("int", "if (sum > 9) return i;"), "P": ("var", "go();")}
+    text = F.lit(None).cast("string")
+    for status, (kind, inner) in variants.items():
+        body = f" {{\n  int run(int a) {{\n    {kind} sum = %s;\n    for (int i = 0; i < a; i++) {{\n      sum += i;\n      {inner}\n      go();\n    }}\n    return sum;\n  }}\n}}\n"
+        text = F.when(F.col("o_orderstatus") == status, F.format_string("class O%s" + body, F.col("o_orderkey").cast("string"), F.col("o_orderkey").cast("string"))).otherwise(text)
+    key = F.col("o_orderkey").cast("string")
+    sites = orders.select(key.alias("file"), F.lit(2).alias("line"), F.lit("LongMethod").alias("smell_type"), F.lit("run").alias("method"))
+    return rewrites.planned(sites, orders.select(key.alias("file"), text.alias("text"))).select(F.col("file").cast("long").alias("o_orderkey"), "refused", "rewritten")
