@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions import text
-from sieveline.operators import textops
+from sieveline.operators import diffs, textops
 from sieveline.plans.registry import query
 from sieveline.sources.binding import table
 
@@ -52,3 +52,24 @@ def suppression(spark: SparkSession, d: str) -> DataFrame:
     lines = F.array(F.concat(F.lit("// smell:ignore("), "event_type", F.lit(")")), filler, F.lit("void m() {"))
     asked = F.when(F.col("event_type").isin("click", "view"), F.col("event_type")).otherwise("none")
     return e.select("event_id", text.suppressed(lines, F.lit(3), asked).alias("hidden"))
+
+
+@query()
+def similar_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark texts alike by matching blocks, of those that share vocabulary."""
+    return diffs.alike(table(spark, d, "benchmark"), "item_id", "text", share=0.1, ratio=0.2).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(left(text, 400), chr(10)) AS lines FROM documents) SELECT doc_id AS key, len(lines)::BIGINT AS removed, (len(lines) + 1)::BIGINT AS added FROM l WHERE doc_id % 2 = 0
+    UNION ALL SELECT doc_id, 0, 1 FROM l WHERE doc_id % 2 = 1""")
+def line_differences(spark: SparkSession, d: str) -> DataFrame:
+    """Every second text with all its lines changed, the others with one line more."""
+    head = F.substring("text", 1, 400)
+    changed = F.concat(F.lit("# "), F.replace(head, F.lit("\n"), F.lit("\n# ")))
+    texts = table(spark, d, "documents").select("doc_id", head.alias("old"), F.concat(F.when(F.col("doc_id") % 2 == 0, changed).otherwise(head), F.lit("\n#")).alias("new"))
+    return diffs.differences(texts, "doc_id", "old", "new").groupBy("key").agg(F.count_if(F.col("op") == "removed").alias("removed"), F.count_if(F.col("op") == "added").alias("added"))
+
+
+@query("SELECT doc_id, lower(strip_accents(left(text, 300))) AS folded FROM documents WHERE lang IN ('fr', 'es')")
+def folded_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("lang IN ('fr', 'es')").select("doc_id", diffs.folded(F.substring("text", 1, 300)).alias("folded"))

@@ -260,3 +260,22 @@ def test_suppression(spark):
     frame = spark.createDataFrame([(lines, n, t) for n in (4, 8) for t in ("GodClass", "DeepNesting")], "l array<string>, n int, t string")
     got = frame.select("n", "t", text.suppressed(F.col("l"), F.col("n"), F.col("t")).alias("c"), text.suppressed_by_annotation(F.col("l"), F.col("n"), F.col("t")).alias("a")).collect()
     assert {(r.n, r.t): (r.c, r.a) for r in got} == {(4, "GodClass"): (True, False), (4, "DeepNesting"): (False, True), (8, "GodClass"): (False, False), (8, "DeepNesting"): (False, False)}
+
+
+def test_diffs(spark):
+    import random
+
+    from sieveline.operators import diffs
+
+    random.seed(1)
+    for _ in range(60):
+        old, new = ([random.choice("abc") for _ in range(random.randrange(9))] for _ in range(2))
+        steps = diffs.line_diff(old, new)
+        assert [old[i] for op, i, _ in steps if op != "added"] == old and [new[j] for op, _, j in steps if op != "removed"] == new
+        assert all(old[i] == new[j] for op, i, j in steps if op == "kept")
+    assert [op for op, *_ in diffs.line_diff(list("xaby"), list("xcdy"), cells=1)] == ["kept", "removed", "removed", "added", "added", "kept"]
+    frame = spark.createDataFrame([(1, "a\nb\nc", "a\nc\nd"), (2, None, "x")], "id long, o string, n string")
+    assert [(r.op, r.old_line, r.new_line) for r in diffs.differences(frame, "id", "o", "n").where("key = 1").orderBy("place").collect()] == [("kept", 0, 0), ("removed", 1, None), ("kept", 2, 1), ("added", None, 2)]
+    texts = spark.createDataFrame([(1, "the window function ranks rows"), (2, "the window function ranks many rows"), (3, "nothing like other sentences")], "id long, text string")
+    assert [(r.a, r.b) for r in diffs.alike(texts, "id", "text").collect()] == [(1, 2)]
+    assert one(spark, diffs.folded(F.lit("Érić Ñ")))[0] == "eric n"

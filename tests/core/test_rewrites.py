@@ -131,3 +131,13 @@ def test_the_extracted_method_compiles(tmp_path):
 )
 def test_extractions_that_are_refused(head, body, why):
     assert rewrites.extract_method(f"class A {{\n  {head} {{\n    {body}\n  }}\n}}", "m", 2)[1] == why
+
+
+@pytest.mark.skipif(shutil.which("javac") is None, reason="no compiler")
+def test_checked_rewrites(spark):
+    from sieveline.java import verify
+
+    fine, worse, old = "class A { int f() { return 1; } }", "class A { int f() { return x; } }", "class A { int f() { return y; } }"
+    rows = [("ok/A.java", fine, fine, "compiles"), ("b/A.java", fine, worse, "new_errors"), ("c/A.java", old, old, "no_new_errors"), ("d/A.java", fine, fine[:-1], "broken_syntax")]
+    frame = spark.createDataFrame(rows, "file string, before string, after string, want string").coalesce(1)
+    assert {r.file: r.verdict for r in verify.checked(frame).collect()} == {f: w for f, _, _, w in rows}
