@@ -50,7 +50,7 @@ SLACK, LAST_SLACK = 4.5, 3.35
 #: Candidates of each outsider in a bucket in the first search across components.
 BEST = 2
 #: Words that a task remembers the hashes of; representatives that a task makes stars of at once; members in a part of a bucket.
-CACHE, CHUNK, PART = 1_000_000, 20_000, 5_000
+CACHE, CHUNK, PART = 250_000, 20_000, 5_000
 
 _U = np.uint64
 

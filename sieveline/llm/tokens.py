@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sieveline.llm.common import arrow_rows
 
 #: Pre-tokens that a task remembers at most.
-CACHE = 400_000
+CACHE = 250_000
 TOKENIZER = "word_bpe_49k.json"
 
 # Fixed values of the tokenizer file: its split pattern over characters below U+0250, where letters are these ranges.
