@@ -18,13 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`, which all executors reach; a temporary one only where that is unset."""
+    context = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        where = "file://" + tempfile.mkdtemp(prefix="sieveline-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        context.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="sieveline-"))
+        held = context._jsc.sc().getCheckpointDir()
+    return where or held.get()
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
