@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.java.scanner import Method, Source, _Body, _expression_end, _parameters
+from sieveline.java.scanner import PRIMITIVES, Method, Source, _Body, _expression_end, _parameters
 
 Edit = tuple[int, int, str]
 GUARD = "ReplaceNestedConditionalWithGuardClauses"
@@ -50,6 +51,11 @@ def located(s: Source, name: str, line: int) -> int | None:
     return next((i for i in range(s.n) if s.name(i) and s[i] == name and s[i + 1] == "(" and s[i - 1] not in (".", "new") and s.line[s.header_start(i - 1)] <= line <= s.line[i]), None)
 
 
+def fresh(name: str, taken: set[str]) -> str:
+    """The name, or the first of name2, name3 and so on, that isn't taken."""
+    return next(x for x in chain([name], (f"{name}{n}" for n in count(2))) if x not in taken)
+
+
 def guard_clause(text: str, name: str, line: int) -> tuple[list[Edit], str | None]:
     """A void method whose whole body is one `if` without `else` returns early instead. Edits, or why there are none.
 
@@ -180,7 +186,7 @@ def extract_method(text: str, name: str, line: int, reserved: frozenset[str] = f
     if any(before[n][0] == "var" or "..." in before[n][0] for n in inputs):
         return [], "unknown_type"
     taken = {s[x] for x in range(s.n) if s.name(x)} | reserved
-    new = next(x for x in (EXTRACTED, *(f"{EXTRACTED}{n}" for n in range(2, 10_000))) if x not in taken)
+    new = fresh(EXTRACTED, taken)
     outer = indent(text, s.at[head])
     unit = indent(text, s.at[a]).removeprefix(outer) or "    "
     out = outputs[0] if outputs else None
@@ -204,7 +210,66 @@ def _parameter_names(s: Source, i: int) -> list[tuple[int, int, str]]:
     return out
 
 
-REWRITES = {"DeepNesting": guard_clause, "LongMethod": extract_method, "BrainMethod": extract_method}
+def parameter_object(text: str, name: str, line: int, reserved: frozenset[str] = frozenset()) -> tuple[list[Edit], str | None]:
+    """A private method's parameters become one record: its signature, its body and all its calls change. Edits, or why there are none.
+
+    Every use must be seen, so the method must be private, of a class that isn't nested, and without overloads.
+    """
+    s = Source(text)
+    if (at := located(s, name, line)) is None:
+        return [], "not_located"
+    head = at
+    while head and s[head - 1] not in ("{", "}", ";"):
+        head -= 1
+    if "private" not in s.tok[head:at]:
+        return [], "not_private"
+    if s[s.skip_modifiers(head)] == "<":
+        return [], "type_parameters"
+    around = [k for k in range(s.n) if s[k] == "{" and k < head < s.close(k)]
+    if len(around) != 1:
+        return [], "nested_class"
+    parameters = _parameter_names(s, at + 1)
+    if len(parameters) < 2:
+        return [], "too_few_parameters"
+    kinds = {n: s.slice(start, x - 1) for start, x, n in parameters}
+    if any("..." in k for k in kinds.values()):
+        return [], "varargs"
+    uses = [k for k in range(s.n) if s[k] == name and s.name(k) and k != at]
+    if any(s[k + 1] == "(" and (s.name(k - 1) or s[k - 1] in PRIMITIVES or s[k - 1] == "]" or s[s.close(k + 1) + 1] in ("{", "throws")) for k in uses):
+        return [], "overloaded"
+    if any(s[k + 1] != "(" or (s[k - 1] == "." and s[k - 2] != "this") for k in uses):
+        return [], "unresolved_reference"
+    body = s.close(at + 1) + 1
+    while body < s.n and s[body] not in ("{", ";"):
+        body += 1
+    if s[body] != "{":
+        return [], "no_body"
+    end = s.close(body)
+    if _assigned(s, body, end) & kinds.keys():
+        return [], "parameter_assigned"
+    named = [k for k in range(body, end) if s[k] in kinds and s.name(k) and s[k - 1] != "." and s[k + 1] != "("]
+    shadowed = _declared(s, body, end).keys() | {s[k] for k in named if s[k + 1] == "->" or (s[k - 1] in ("(", ",") and s[k + 1] in (",", ")") and s[s.close(next((o for o in range(k, body, -1) if s[o] == "(" and s.close(o) > k), k)) + 1] == "->")}
+    if shadowed & kinds.keys():
+        return [], "shadowed"
+    taken = {s[k] for k in range(s.n) if s.name(k)} | reserved
+    base = name[:1].upper() + name[1:] + "Parameters"
+    record = fresh(base, taken)
+    held = fresh("parameters", taken)
+    edits: list[Edit] = [(s.at[at + 1], s.at[s.close(at + 1)] + 1, f"({record} {held})")]
+    edits += [(s.at[k], s.at[k] + len(s[k]), f"{held}.{s[k]}()") for k in named]
+    for k in uses:
+        opening, close = k + 1, s.close(k + 1)
+        if any(k2 in uses for k2 in range(opening, close)):
+            return [], "nested_call"
+        inside = [(a - s.at[opening] - 1, b - s.at[opening] - 1, new) for a, b, new in edits if s.at[opening] < a < s.at[close]]
+        arguments = applied(text[s.at[opening] + 1 : s.at[close]], inside)
+        edits = [e for e in edits if not s.at[opening] < e[0] < s.at[close]] + [(s.at[opening], s.at[close] + 1, f"(new {record}({arguments}))")]
+    outer = indent(text, s.at[head])
+    edits.append((s.at[head], s.at[head], f"private record {record}({', '.join(f'{k} {n}' for n, k in kinds.items())}) {{}}\n\n{outer}"))
+    return sorted(edits), None
+
+
+REWRITES = {"DeepNesting": guard_clause, "LongMethod": extract_method, "BrainMethod": extract_method, "LongParameterList": parameter_object}
 
 
 def planned(sites: DataFrame, files: DataFrame) -> DataFrame:

@@ -133,3 +133,15 @@ def extract_method(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("o_orderkey").cast("string")
     sites = orders.select(key.alias("file"), F.lit(2).alias("line"), F.lit("LongMethod").alias("smell_type"), F.lit("run").alias("method"))
     return rewrites.planned(sites, orders.select(key.alias("file"), text.alias("text"))).select(F.col("file").cast("long").alias("o_orderkey"), "refused", "rewritten")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'not_private' END AS refused, CASE WHEN o_orderstatus = 'P'
+    THEN 'class O' || o_orderkey || ' {' || chr(10) || '  void run(int a, int b) { go(a + b); }' || chr(10) || '  void all() { run(' || o_orderkey || ', 2); }' || chr(10) || '}' || chr(10)
+    ELSE 'class O' || o_orderkey || ' {' || chr(10) || '  private record RunParameters(int a, int b) {}' || chr(10) || chr(10) || '  private void run(RunParameters parameters) { go(parameters.a() + parameters.b()); }' || chr(10) || '  void all() { run(new RunParameters(' || o_orderkey || ', 2)); }' || chr(10) || '}' || chr(10) END AS rewritten FROM orders""")
+def parameter_object(spark: SparkSession, d: str) -> DataFrame:
+    """The parameters of each order's class's method become a record, if it is private."""
+    orders, key = table(spark, d, "orders"), F.col("o_orderkey").cast("string")
+    visible = F.when(F.col("o_orderstatus") == "P", "").otherwise("private ")
+    text = F.concat(F.lit("class O"), key, F.lit(" {\n  "), visible, F.lit("void run(int a, int b) { go(a + b); }\n  void all() { run("), key, F.lit(", 2); }\n}\n"))
+    sites = orders.select(key.alias("file"), F.lit(2).alias("line"), F.lit("LongParameterList").alias("smell_type"), F.lit("run").alias("method"))
+    return rewrites.planned(sites, orders.select(key.alias("file"), text.alias("text"))).select(F.col("file").cast("long").alias("o_orderkey"), "refused", "rewritten")

@@ -141,3 +141,52 @@ def test_checked_rewrites(spark):
     rows = [("ok/A.java", fine, fine, "compiles"), ("b/A.java", fine, worse, "new_errors"), ("c/A.java", old, old, "no_new_errors"), ("d/A.java", fine, fine[:-1], "broken_syntax")]
     frame = spark.createDataFrame(rows, "file string, before string, after string, want string").coalesce(1)
     assert {r.file: r.verdict for r in verify.checked(frame).collect()} == {f: w for f, _, _, w in rows}
+
+
+WIDE = """class D {
+    int go() { return join(1, "a" + 2, null) + this.join(3, "b", new int[] {4}); }
+    private int join(int a, final String b, int[] c) {
+        java.util.function.IntSupplier s = () -> a + b.length();
+        return a > 3 ? join(a - 1, b, c) : s.getAsInt();
+    }
+}
+"""
+
+
+def test_parameter_object():
+    edits, why = rewrites.parameter_object(WIDE, "join", 3)
+    assert why is None
+    new = rewrites.applied(WIDE, edits)
+    assert "    private record JoinParameters(int a, String b, int[] c) {}\n\n    private int join(JoinParameters parameters) {" in new
+    assert 'join(new JoinParameters(1, "a" + 2, null)) + this.join(new JoinParameters(3, "b", new int[] {4}))' in new
+    assert "parameters.a() > 3 ? join(new JoinParameters(parameters.a() - 1, parameters.b(), parameters.c()))" in new
+
+
+@pytest.mark.skipif(shutil.which("javac") is None, reason="no compiler")
+def test_the_parameter_object_compiles(tmp_path):
+    (tmp_path / "D.java").write_text(rewrites.applied(WIDE, rewrites.parameter_object(WIDE, "join", 3)[0]))
+    done = subprocess.run(["javac", "-d", str(tmp_path), str(tmp_path / "D.java")], capture_output=True, text=True, timeout=60)
+    assert done.returncode == 0, done.stderr
+
+
+@pytest.mark.parametrize(
+    "member, more, why",
+    [
+        ("void m(int a, int b) { }", "", "not_private"),
+        ("private void m(int a) { }", "", "too_few_parameters"),
+        ("private <T> void m(T a, int b) { }", "", "type_parameters"),
+        ("private void m(int a, int... b) { }", "", "varargs"),
+        ("private void m(int a, int b) { a = 1; }", "", "parameter_assigned"),
+        ("private void m(int a, int b) { f(a -> b); }", "", "shadowed"),
+        ("private void m(int a, int b) { }", "void m(int a) { }", "overloaded"),
+        ("private void m(int a, int b) { }", "void n() { other.m(1, 2); }", "unresolved_reference"),
+        ("private void m(int a, int b) { }", "Object n() { return this::m; }", "unresolved_reference"),
+        ("private int m(int a, int b) { return 1; }", "int n() { return m(m(1, 2), 3); }", "nested_call"),
+    ],
+)
+def test_parameter_objects_that_are_refused(member, more, why):
+    assert rewrites.parameter_object(f"class A {{\n  {member}\n  {more}\n}}", "m", 2) == ([], why)
+
+
+def test_a_nested_class_is_refused():
+    assert rewrites.parameter_object("class A { class B {\n  private void m(int a, int b) { }\n} }", "m", 2) == ([], "nested_class")
