@@ -23,7 +23,7 @@ def sweep(rows: DataFrame, by: list[str], fired: dict[str, Column], truth: Colum
 
 def folds(groups: DataFrame, key: str, k: int) -> DataFrame:
     """Groups dealt to folds by their place in order. Groups are few beside rows; they are distinct first."""
-    return groups.select(key).distinct().withColumn("fold", (F.dense_rank().over(Window.orderBy(key)) - 1) % k)
+    return groups.select(key).distinct().withColumn("fold", ((F.dense_rank().over(Window.orderBy(key)) - 1) % k).cast("long"))
 
 
 def calibrated(rows: DataFrame, group: str, by: list[str], fired: dict[str, Column], truth: Column, k: int) -> DataFrame:
