@@ -113,8 +113,16 @@ def dit(classes: DataFrame, doublings: int = 6) -> DataFrame:
 
 
 def class_metrics(classes: DataFrame, methods: DataFrame, fields: DataFrame) -> DataFrame:
-    """What the class strategies need, for every class."""
+    """What the class strategies need, for every class. All that is summed over methods comes from one aggregate of them."""
+    m = methods.groupBy("class_id").agg(
+        F.count_if(~F.col("ctor")).alias("nom"), F.count_if("accessor").alias("noam"), F.sum("cc").alias("wmc"), F.avg("cc").alias("amw"), F.max("cc").alias("maxcc"), F.sum("mloc").alias("cloc"),
+        F.count_if(F.col("public") & ~F.col("ctor")).alias("open_"), F.count_if(F.col("public") & ~F.col("ctor") & ~F.col("accessor")).alias("functional_"),
+    )
+    f = fields.groupBy("class_id").agg(F.count("*").alias("nof"), F.count_if(F.col("public") & ~F.col("constant")).alias("nopa"))
+    summed = f.join(m, "class_id", "full")
+    woc_ = ratio_or(zero("functional_"), zero("open_") + zero("nopa"), 1.0)
+    summed = summed.select("class_id", *[zero(c).alias(c) for c in ("nom", "nof", "noam", "nopa")], "wmc", "amw", "maxcc", "cloc", woc_.alias("woc"))
     out = classes
-    for part in (size(methods, fields), complexity(methods), tcc(methods), atfd(methods), woc(methods, fields)):
+    for part in (summed, tcc(methods), atfd(methods)):
         out = out.join(part, "class_id", "left")
     return out
