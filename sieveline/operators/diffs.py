@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import unicodedata
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -31,16 +32,20 @@ def line_diff(old: list[str], new: list[str], cells: int = CELLS) -> list[tuple[
     if len(x) * len(y) > cells:
         out += [("removed", a + i, None) for i in range(len(x))] + [("added", None, a + j) for j in range(len(y))]
     else:
-        best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                best[i, j] = best[i + 1, j + 1] + 1 if x[i] == y[j] else max(best[i + 1, j], best[i, j + 1])
+        # Lines of one side alone are in no common subsequence: the table is over the others, found by how many of them come before.
+        both = set(x) & set(y)
+        cx, cy = [v for v in x if v in both], [v for v in y if v in both]
+        at_x, at_y = ([0, *accumulate(int(v in both) for v in side)] for side in (x, y))
+        best = np.zeros((len(cx) + 1, len(cy) + 1), np.int32)
+        for i in range(len(cx) - 1, -1, -1):
+            for j in range(len(cy) - 1, -1, -1):
+                best[i, j] = best[i + 1, j + 1] + 1 if cx[i] == cy[j] else max(best[i + 1, j], best[i, j + 1])
         i = j = 0
         while i < len(x) or j < len(y):
             if i < len(x) and j < len(y) and x[i] == y[j]:
                 out.append(("kept", a + i, a + j))
                 i, j = i + 1, j + 1
-            elif i < len(x) and (j == len(y) or best[i + 1, j] >= best[i, j + 1]):
+            elif i < len(x) and (j == len(y) or best[at_x[i + 1], at_y[j]] >= best[at_x[i], at_y[j + 1]]):
                 out.append(("removed", a + i, None))
                 i += 1
             else:

@@ -123,8 +123,10 @@ def group_sizes(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH p AS (SELECT doc_id, list_distinct(string_split(left(text, 200), ' ')) AS old, list_distinct(string_split(left(text, 400), ' ')) AS new FROM documents)
     SELECT doc_id, array_to_string(list_sort(list_filter(new, lambda x: NOT list_contains(old, x))), ' ') AS members FROM p""")
 def introduced_members(spark: SparkSession, d: str) -> DataFrame:
-    part = lambda n: F.array_distinct(F.split(F.substring("text", 1, n), " "))
-    return table(spark, d, "documents").select("doc_id", part(200).alias("old"), part(400).alias("new")).select("doc_id", F.array_join(setops.introduced(F.col("old"), F.col("new")), " ").alias("members"))
+    """Words of the whole text that its first half doesn't have; the SQL compares 200 characters with 400."""
+    words = F.split("text", " ")
+    sides = table(spark, d, "documents").select("doc_id", words.alias("new")).select("doc_id", F.slice("new", F.lit(1), F.floor(F.size("new") / 2).cast("int")).alias("old"), "new")
+    return sides.select("doc_id", F.array_join(setops.introduced(F.col("old"), F.col("new")), " ").alias("members"))
 
 
 _CHANGE = f"{_F}, n AS (SELECT file, smell_type, count(*) FILTER (finding_id % 2 = 0) AS before, count(*) FILTER (finding_id % 2 = 1) AS after FROM findings GROUP BY ALL)"
