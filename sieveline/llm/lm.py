@@ -4,14 +4,16 @@
 in one end token. The commonest words, at most `HEAD`, are broadcast with their counts; the others' counts stay a table
 and reach the texts by a shuffled join. So common words never meet in one task, and what is broadcast is bounded.
 
-**Model.** A class bigram model, normalised by construction: the commonest `CLASSES` words and the end are classes of
-their own, all other words form one more, within which they keep their smoothed unigram shares. P(class | class before)
-is a Dirichlet mixture of bigram counts and class unigrams. A bigram's count c is quantised to q = 1 + floor(log_b c);
-the filter holds (bigram, 1) ... (bigram, q), and the largest j that is still a member gives the count back, to the middle
-of its interval. A factor for each first class, found while building, scales these to its true total.
+**Model.** A bigram model of all words: P(word | word before) is a Dirichlet mixture of bigram counts and unigram shares.
+A bigram, named by a hash of its two words' hashes, has its count c quantised to q = 1 + floor(log_b c); the filter holds
+(bigram, 1) ... (bigram, q), and the largest j that is still a member gives the count back, to the middle of its interval.
+The filter holds all words' own counts as well, for those that aren't broadcast. A factor for each broadcast first word
+scales its bigrams to its true total, one more the shares of the other words to theirs. The counts of other first words
+are small, where quantisation is exact or nearly so; they go unscaled.
 
-**Filter.** It has `FILTER_BITS` bits at every input's size: its parts are built by groups of bigrams and broadcast
-(32 MB). As classes are bounded, so are the bigrams that it can ever hold; it never fills by more than about a half.
+**Filter.** Its size follows from the counted levels, `LEVEL_BITS` bits each, so that it is a member by mistake in 0.9 percent
+of questions, at every input's size. Its parts are built by groups of events and broadcast in slices of `SLICE_BITS` at
+most. A task asks one slice after the other, so its memory is bounded and nothing is cut.
 
 Null text is empty (its end token alone). A null doc_id is trained on, and kept. Repeated rows are scored each. With
 nothing to train on, every token is unseen. An empty table gives an empty result.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import math
 import pickle
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,14 +36,18 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.common import arrow_rows, written
 
-HEAD, CLASSES = 1 << 18, 8192
-FILTER_BITS, PARTS, PROBES = 1 << 28, 256, 2
+HEAD = 1 << 18
+PARTS, PROBES = 256, 2
+#: Bits of the filter for each level that it holds: (1 - exp(-2 / 20)) ** 2 is 0.009. Bits that are broadcast at once.
+LEVEL_BITS, SLICE_BITS = 20, 1 << 30
 #: Base of the quantisation, weight of the class unigrams, and what is added to unigram counts.
 QUANTUM, PRIOR, ADDED = 1.5, 300.0, 0.1
 #: Distinct words or bigrams that a task counts before it passes them on.
 FLUSH = 1_000_000
 #: Steps of the histogram by which the least count of the broadcast words is found, to a factor of e.
 STEPS = 64
+#: Bytes of text for which a task asks all slices in turn, where there are several.
+GATHERED = 1 << 25
 
 # The end token can't be a word, as it has white space in it.
 END_WORD = b" "
@@ -70,11 +77,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class LogFrequencyFilter:
-    """Bits in `PARTS` parts; all that is asked of an event lies in one part."""
+    """Bits in `PARTS` parts, or a slice of them from `first` on; all that is asked of an event lies in one part."""
 
-    def __init__(self, bits: np.ndarray, quantum: float = QUANTUM, probes: int = PROBES):
-        self.bits, self.quantum, self.probes = bits, quantum, probes
-        self.part_bits = len(bits) * 8 // PARTS
+    def __init__(self, bits: np.ndarray, quantum: float = QUANTUM, probes: int = PROBES, parts: int = PARTS, first: int = 0):
+        self.bits, self.quantum, self.probes, self.first = bits, quantum, probes, first
+        self.part_bits = len(bits) * 8 // parts
 
     @staticmethod
     def part(events: np.ndarray) -> np.ndarray:
@@ -106,7 +113,7 @@ class LogFrequencyFilter:
     def levels(self, events: np.ndarray) -> np.ndarray:
         """The largest level up to which all are members: repeated probes, of those still in."""
         q = np.zeros(len(events), np.int64)
-        at, start = np.arange(len(events)), self.part(events) * _U(self.part_bits)
+        at, start = np.arange(len(events)), (self.part(events) - _U(self.first)) * _U(self.part_bits)
         level = 0
         while len(at):
             level += 1
@@ -156,18 +163,28 @@ class Head:
         return int(self.ranks[i]) if i < len(self.hashes) and self.hashes[i] == h else -1
 
 
-class Ranks(dict):
-    """Word to rank, remembered."""
+class Words(dict):
+    """Word to its place in the lists of hashes and ranks, remembered."""
 
     def __init__(self, head: Head):
         super().__init__()
-        self.head = head
+        self.head, self.hashes, self.ranks = head, array("q"), array("q")
 
     def __missing__(self, word: bytes) -> int:
+        h = word_hash(word)
+        self[word] = at = len(self.hashes)
+        self.hashes.append(h), self.ranks.append(self.head.rank(h))
+        return at
+
+    def of(self, listed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and ranks."""
         if len(self) > FLUSH:
             self.clear()
-        self[word] = rank = self.head.rank(word_hash(word))
-        return rank
+            self.hashes, self.ranks = array("q"), array("q")
+        if not listed:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.fromiter(map(self.__getitem__, listed), np.int64, len(listed))
+        return np.frombuffer(self.hashes, np.int64)[at], np.frombuffer(self.ranks, np.int64)[at]
 
 
 def head_words(counts: DataFrame, most: int) -> Head:
@@ -191,50 +208,60 @@ def classes_of(ranks: np.ndarray, classes: int) -> np.ndarray:
     return np.where((ranks >= 0) & (ranks < classes), ranks + 2, 0)
 
 
+def pair_events(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Names of bigrams, of the hashes of their words."""
+    return _mixed(_mixed(first.astype(np.uint64) + _U(0x9E3779B97F4A7C15)) * _U(3) + second.astype(np.uint64)).astype(np.int64)
+
+
+def word_events(hashes: np.ndarray) -> np.ndarray:
+    """Names of words among the bigrams."""
+    return _mixed(hashes.astype(np.uint64) ^ _U(0xD1B54A32D192ED03)).astype(np.int64)
+
+
 def bigram_counts(train: DataFrame, head, classes: int) -> DataFrame:
-    """e (first class << 20 | second class), c over all training texts."""
+    """e (name of the bigram), first (class of its first word), c over all training texts."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = Ranks(pickle.loads(head.value))
-        keys: list[np.ndarray] = []
-        totals: list[np.ndarray] = []
+        known = Words(pickle.loads(head.value))
+        end = np.array([word_hash(END_WORD)])
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            return k, np.bincount(inverse, np.concatenate(totals), len(k)).astype(np.int64)
+        def merged() -> tuple[np.ndarray, ...]:
+            e, first, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(e)
+            e, first, n = e[order], first[order], n[order]
+            at = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
+            return e[at], first[at], np.add.reduceat(n, at)
 
         def out() -> pa.RecordBatch:
-            k, n = merged()
-            keys.clear(), totals.clear()
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["e", "c"])
+            rows = merged()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1].astype(np.int32)), pa.array(rows[2])], ["e", "first", "c"])
 
-        held = 0
         for batch in batches:
-            chains = []
+            chains, firsts = [], []
             for text in batch.column(0).to_pylist():
-                listed = words(text)
-                chains.append(np.concatenate([[1], classes_of(np.fromiter(map(ranks.__getitem__, listed), np.int64, len(listed)), classes), [1]]))
+                h, r = known.of(words(text))
+                chains.append(pair_events(np.concatenate([end, h]), np.concatenate([h, end])))
+                firsts.append(np.concatenate([[1], classes_of(r, classes)]))
             if not chains:
                 continue
-            k, n = np.unique(np.concatenate([(c[:-1] << 20) | c[1:] for c in chains]), return_counts=True)
-            keys.append(k), totals.append(n)
-            held += len(k)
-            if held > 4 * FLUSH:
-                k, n = merged()
-                keys[:], totals[:], held = [k], [n], len(k)
-                if held > 2 * FLUSH:
+            e = np.concatenate(chains)
+            held.append((e, np.concatenate(firsts), np.ones(len(e), np.int64)))
+            if sum(len(x[0]) for x in held) > FLUSH:
+                held[:] = [merged()]
+                if len(held[0][0]) > FLUSH // 2:
                     yield out()
-                    held = 0
-        if keys:
+        if held:
             yield out()
 
-    return train.select("text").mapInArrow(counted, "e long, c long").groupBy("e").agg(F.sum("c").alias("c"))
+    return train.select("text").mapInArrow(counted, "e long, first int, c long").groupBy("e", "first").agg(F.sum("c").alias("c"))
 
 
 class Model:
-    """What scoring needs, bounded in size: the filter, and arrays over head words and classes."""
+    """What scoring needs but for the filter's slices, bounded in size: arrays over head words and classes, those with exact counts."""
 
-    def __init__(self, head: Head, total: int, distinct: int, ends: int, classes: int, bits: np.ndarray, sums: dict[int, float], prior: float):
+    def __init__(self, head: Head, total: int, distinct: int, ends: int, classes: int, bits: np.ndarray, sums: dict[int, float], prior: float, rare_scale: float = 1.0):
         self.head, self.classes, self.prior = head, min(classes, len(head.counts)), prior
         mass = total + ADDED * (distinct + 1)
         self.log_base = np.log10((head.counts + ADDED) / mass) if len(head.counts) else np.empty(0)
@@ -247,20 +274,72 @@ class Model:
         self.unigram = np.zeros(k)
         self.unigram[1:] = (self.totals[1:] + ADDED) / mass
         self.unigram[0] = max(1 - self.unigram.sum(), 1e-12)
+        self.mass, self.rare_scale = mass, rare_scale
         self.filter = LogFrequencyFilter(bits)
         self.scale = np.ones(k)
         for first, middle in sums.items():
             self.scale[first] = self.totals[first] / middle if middle else 1.0
 
     def log_bigrams(self, events: np.ndarray) -> np.ndarray:
-        """log10 P(second class | first class)."""
+        """log10 P(second class | first class), of events that are first class << 20 | second class."""
         first, second = events >> 20, events & 0xFFFFF
         held = self.filter.middle(self.filter.levels(events)) * self.scale[first]
         return np.log10((held + self.prior * self.unigram[second]) / (self.totals[first] + self.prior))
 
-
-def score(docs: DataFrame, head_size: int = HEAD, classes: int = CLASSES, bits: int = FILTER_BITS, prior: float = PRIOR) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of `docs` (doc_id, text)."""
+    def log_pairs(self, q: np.ndarray, first: np.ndarray, second: np.ndarray, q_first: np.ndarray, q_second: np.ndarray) -> np.ndarray:
+        """log10 P(word | word before) from the level of the pair, both classes and, for words of class 0, their own levels."""
+        total = np.where(first > 0, self.totals[first], self.filter.middle(q_first))
+        share = np.where(second > 0, self.unigram[second], np.minimum((self.filter.middle(q_second) * self.rare_scale + ADDED) / self.mass, 1.0))
+        held = np.minimum(self.filter.middle(q) * np.where(first > 0, self.scale[first], 1.0), total)  # a pair isn't commoner than its first word
+        return np.log10((held + self.prior * share) / (total + self.prior))
+
+
+def slices_of(spark, parts: DataFrame, part_bits: int, slice_bits: int) -> list[tuple[int, int, object]]:
+    """First part, number of parts and broadcast bits of each slice; the driver holds one at a time."""
+    each = max(1, min(PARTS, slice_bits // part_bits))
+    out = []
+    for first in range(0, PARTS, each):
+        n = min(each, PARTS - first)
+        bits = np.zeros(n * part_bits // 8, np.uint8)
+        for r in parts.where(F.col("part").between(first, first + n - 1)).toLocalIterator():
+            at = (r["part"] - first) * part_bits // 8
+            bits[at : at + part_bits // 8] = np.frombuffer(r["bits"], np.uint8)
+        out.append((first, n, spark.sparkContext.broadcast(bits)))
+    return out
+
+
+def levels_in(slices: list[tuple[int, int, object]], events: np.ndarray) -> np.ndarray:
+    """The levels of events, by asking each slice for its own."""
+    if len(slices) == 1:
+        return LogFrequencyFilter(slices[0][2].value).levels(events)
+    q, part = np.zeros(len(events), np.int64), LogFrequencyFilter.part(events).astype(np.int64)
+    for first, n, bits in slices:
+        at = np.flatnonzero((part >= first) & (part < first + n))
+        if len(at):
+            q[at] = LogFrequencyFilter(bits.value, parts=n, first=first).levels(events[at])
+            bits.__dict__.pop("_value", None)  # read again from the executor's disk when it is needed
+    return q
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Batches together up to about so many bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if held and sum(b.nbytes for b in held) >= size:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def score(docs: DataFrame, head_size: int = HEAD, classes: int = HEAD, bits: int | None = None, prior: float = PRIOR, slice_bits: int = SLICE_BITS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of `docs` (doc_id, text).
+
+    The commonest `classes` of the broadcast words have exact counts in the pairs, the others those of the filter. `bits` fixes
+    the filter's size, which else follows from what it holds.
+    """
     spark = docs.sparkSession
     arrow_rows(spark)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), held_out().alias("held_out"))
@@ -270,12 +349,19 @@ def score(docs: DataFrame, head_size: int = HEAD, classes: int = CLASSES, bits:
     ends = vocabulary.where(F.col("h") == word_hash(END_WORD)).first()
     head = head_words(vocabulary, head_size)
     shared_head = spark.sparkContext.broadcast(cloudpickle.dumps(head))  # by value, as executors may lack this package
-    events = written(bigram_counts(train, shared_head, min(classes, len(head.counts))).withColumn("first", F.shiftright("e", 20)), "bigrams")
-    blank = LogFrequencyFilter(np.zeros(bits // 8, np.uint8))
+    events = written(bigram_counts(train, shared_head, min(classes, len(head.counts))), "bigrams")
     q = F.floor(F.log(F.col("c").cast("double")) / math.log(QUANTUM) + 1e-9) + 1
     low, high = F.ceil(F.pow(F.lit(QUANTUM), q - 1) - 1e-6), F.ceil(F.pow(F.lit(QUANTUM), q) - 1e-6) - 1
-    sums = {r["first"]: r["middle"] for r in events.groupBy("first").agg(F.sum((low + F.greatest(low, high)) / 2).alias("middle")).collect()}  # a row per class
-    part_bits = blank.part_bits
+    held_sums = [F.sum(q).alias("levels"), F.sum((low + F.greatest(low, high)) / 2).alias("middle")]
+    per_class = events.groupBy("first").agg(*held_sums).collect()  # a row per class
+    sums = {r["first"]: r["middle"] for r in per_class if r["first"] > 0}
+    of_words = vocabulary.agg(*held_sums).first()
+    levels = sum(r["levels"] for r in per_class) + (of_words["levels"] or 0)
+    part_bits = max(1024, -(-(levels * LEVEL_BITS if bits is None else bits) // (PARTS * 8)) * 8)
+    blank = Model(head, total, distinct, ends["c"] if ends else 0, classes, np.zeros(0, np.uint8), sums, prior)
+    own_middle = blank.filter.middle(LogFrequencyFilter.quantised(blank.totals[1:][blank.totals[1:] > 0])).sum()
+    rare_middle = (of_words["middle"] or 0) - own_middle
+    blank.rare_scale = float(blank.totals[0] / rare_middle) if rare_middle > 0 and blank.totals[0] > 0 else 1.0
 
     def built(rows: pd.DataFrame) -> pd.DataFrame:
         e = rows["e"].to_numpy()
@@ -286,38 +372,48 @@ def score(docs: DataFrame, head_size: int = HEAD, classes: int = CLASSES, bits:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(LogFrequencyFilter.part(batch.column(0).to_numpy()).astype(np.int64)), batch.column(0), batch.column(1)], ["part", "e", "c"])
 
-    parts = events.select("e", "c").mapInArrow(parted, "part long, e long, c long").groupBy("part").applyInPandas(built, "part long, bits binary")
-    for r in parts.toLocalIterator():  # the filter's size in all
-        blank.bits[r["part"] * part_bits // 8 : (r["part"] + 1) * part_bits // 8] = np.frombuffer(r["bits"], np.uint8)
-    model = spark.sparkContext.broadcast(cloudpickle.dumps(Model(head, total, distinct, ends["c"] if ends else 0, classes, blank.bits, sums, prior)))
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(word_events(batch.column(0).to_numpy())), batch.column(1)], ["e", "c"])
+
+    every = events.select("e", "c").unionByName(vocabulary.select("h", "c").mapInArrow(named, "e long, c long"))
+    parts = every.mapInArrow(parted, "part long, e long, c long").groupBy("part").applyInPandas(built, "part long, bits binary")
+    slices = slices_of(spark, written(parts, "filter"), part_bits, slice_bits)
+    model = spark.sparkContext.broadcast(cloudpickle.dumps(blank))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(model.value)
-        ranks = Ranks(m.head)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n, known, base, own, chains, tails = [], [], [], [], [], []
-            for text in batch.column(2).to_pylist():
+        ranks, end = Words(m.head), np.array([word_hash(END_WORD)])
+        for table in gathered(batches, GATHERED if len(slices) > 1 else 0):
+            n, known, base, hashes, classed, tails = [], [], [], [], [], []
+            for text in table.column(2).to_pylist():
                 listed = words(text)
-                r = np.fromiter(map(ranks.__getitem__, listed), np.int64, len(listed))
-                c = classes_of(r, m.classes)
+                h, r = ranks.of(listed)
                 seen = r >= 0
-                of_rest = seen & (c == 0)  # broadcast words that are no class: by their share in the rest
                 n.append(len(listed) + 1)
                 known.append(int(seen.sum()) + int(m.totals[1] > 0))
                 base.append(m.log_base[r[seen]].sum() + m.log_end)
-                own.append(m.log_base[r[of_rest]].sum() - math.log10(m.unigram[0]) * int((c == 0).sum()))
-                chains.append(np.concatenate([[1], c, [1]]))
-                tail = Counter(listed[i] for i in np.flatnonzero(~seen).tolist())
-                tails.append([{"h": word_hash(x), "n": k} for x, k in tail.items()])
-            events, inverse = np.unique(np.concatenate([(c[:-1] << 20) | c[1:] for c in chains]), return_inverse=True)
-            by_event = m.log_bigrams(events)[inverse]
-            pairs = np.add.reduceat(by_event, np.cumsum([0] + n[:-1]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(pairs + np.array(own)), pa.array(tails, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))],
+                hashes += [end, h]
+                classed += [np.array([1]), classes_of(r, m.classes)]
+                tail, k = np.unique(h[~seen], return_counts=True)
+                tails.append([{"h": x, "n": y} for x, y in zip(tail.tolist(), k.tolist(), strict=True)])
+            # Of texts in a row, each with the end before it: what follows the last word is the end again.
+            first, h = np.concatenate(classed), np.concatenate(hashes)
+            starts = np.cumsum([0] + n[:-1])
+            follows = np.arange(1, len(h) + 1)
+            follows[np.cumsum(n) - 1] = starts
+            pairs, at_pair = np.unique(pair_events(h, h[follows]), return_inverse=True)
+            rare = np.flatnonzero(first == 0)
+            own, at_own = np.unique(word_events(h[rare]), return_inverse=True)
+            q = levels_in(slices, np.concatenate([pairs, own]))
+            q_word = np.zeros(len(h), np.int64)
+            q_word[rare] = q[len(pairs) :][at_own]
+            by_pair = m.log_pairs(q[: len(pairs)][at_pair], first, first[follows], q_word, q_word[follows])
+            scores = np.add.reduceat(by_pair, starts)
+            yield from pa.Table.from_arrays(
+                [table.column(0), table.column(1), table.column(3), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array(tails, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))],
                 ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "pairs", "tail"],
-            )
+            ).combine_chunks().to_batches()
 
     numbered = narrow.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", "held_out")
     local = written(numbered.mapInArrow(scored, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, pairs double, tail array<struct<h:long,n:long>>"), "scores")
@@ -328,5 +424,5 @@ def score(docs: DataFrame, head_size: int = HEAD, classes: int = CLASSES, bits:
     rare_score = F.coalesce("rare", F.lit(0.0))
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + rare_score).alias("base_score"), (F.col("pairs") + rare_score).alias("score"),
+        (F.col("base") + rare_score).alias("base_score"), F.col("pairs").alias("score"),
     )

@@ -83,3 +83,32 @@ def test_word_order_is_learned(spark):
     got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), bits=1 << 20).collect()
     held = [r for r in got if r.held_out]
     assert len(held) > 40 and all(r.score > r.base_score / 1.8 for r in held)
+
+
+def _rare_chains(spark):
+    """Many words, each always after the same other one; all are far from the commonest."""
+    rows = [(i, " ".join(f"a{(i * 7 + k) % 3000} b{(i * 7 + k) % 3000}" for k in range(20))) for i in range(1500)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_rare_words_keep_their_bigrams_and_slices_cut_nothing(spark):
+    docs = _rare_chains(spark)
+    own = {r.doc_id: r.score for r in lm.score(docs, head_size=10, classes=5, prior=2.0).collect()}
+    sliced = {r.doc_id: r.score for r in lm.score(docs, head_size=10, classes=5, prior=2.0, slice_bits=1 << 14).collect()}
+    exact = {r.doc_id: r.score for r in lm.score(docs, prior=2.0).collect()}
+    swapped = docs.selectExpr("doc_id", "array_join(reverse(split(text, ' ')), ' ') as text").where("doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 10 = 0")
+    trained = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0")
+    backwards = {r.doc_id: r.score for r in lm.score(trained.unionByName(swapped), head_size=10, classes=5, prior=2.0).collect() if r.held_out}
+    assert own.keys() == sliced.keys() and all(math.isclose(own[i], sliced[i], rel_tol=1e-12) for i in own)
+    assert all(own[i] > 0.6 * backwards[i] for i in backwards)  # the order of words that aren't broadcast counts
+    assert abs(sum(own.values()) / sum(exact.values()) - 1) < 0.03  # counts from the filter are near those held exactly
+
+
+def test_the_filter_grows_with_its_levels(spark, monkeypatch):
+    sizes = []
+    kept = lm.slices_of
+    monkeypatch.setattr(lm, "slices_of", lambda spark, parts, part_bits, slice_bits: sizes.append(part_bits) or kept(spark, parts, part_bits, slice_bits))
+    for n in (4000, 16000):
+        rng = np.random.default_rng(5)
+        lm.score(spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 10 * n, 20))) for i in range(n)], "doc_id long, text string")).count()
+    assert sizes[1] > 3.5 * sizes[0]
