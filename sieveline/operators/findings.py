@@ -27,6 +27,21 @@ def sites(found: DataFrame, automated: Column) -> DataFrame:
     return found.groupBy(*SITE).agg(F.count("*").alias("findings"), F.max("severity").alias("worst"), F.max("score").alias("score"), F.bool_or(automated).alias("automated"))
 
 
+def placed(rows: DataFrame, order: list[Column | str]) -> DataFrame:
+    """All rows with their place in a total order, from 1. Sorted by ranges and numbered within each, so no task has them all."""
+    low = 33  # bits of a row's number in its partition
+    own = rows.orderBy(*order).withColumn("own", F.monotonically_increasing_id())
+    own = own.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else own.persist()
+    part = F.shiftright("own", low)
+    before, total = [], 0
+    for r in sorted(own.groupBy(part.alias("part")).count().collect()):  # a row per partition
+        before.append((r["part"], total))
+        total += r["count"]
+    starts = F.broadcast(rows.sparkSession.createDataFrame(before, "part long, start long"))
+    place = F.col("start") + F.col("own").bitwiseAND((1 << low) - 1) + 1
+    return own.withColumn("part", part).join(starts, "part").withColumn("place", place).drop("own", "part", "start")
+
+
 def hotspots(found: DataFrame, n: int) -> DataFrame:
     """The files with most sites, then most findings, then by name."""
     per = found.groupBy("file").agg(F.countDistinct(*SITE[1:]).alias("sites"), F.count("*").alias("findings"))

@@ -51,8 +51,7 @@ def sites(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_F}{_SITES} SELECT *, row_number() OVER (ORDER BY worst DESC, findings DESC, score DESC, file, class_name, method, line) AS place FROM sites ORDER BY place LIMIT 50")
 def sites_by_severity(spark: SparkSession, d: str) -> DataFrame:
     order = [F.desc("worst"), F.desc("findings"), F.desc("score"), *findings.SITE]
-    top = findings.sites(_found(spark, d), _auto()).orderBy(*order).limit(50)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return findings.placed(findings.sites(_found(spark, d), _auto()), order)
 
 
 @query(f"{_F}{_SITES} SELECT worst, count(*) AS sites, count(*) FILTER (automated) AS automated FROM sites GROUP BY worst")
@@ -117,7 +116,7 @@ def refusal_rates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_custkey AS repository, count(*) AS samples FROM orders GROUP BY o_custkey ORDER BY samples DESC, repository LIMIT 100")
 def group_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("repository")).agg(F.count("*").alias("samples")).orderBy(F.desc("samples"), "repository").limit(100)
+    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("repository")).agg(F.count("*").alias("samples")).orderBy(F.desc("samples"), "repository")
 
 
 @query("""WITH p AS (SELECT doc_id, list_distinct(string_split(left(text, 200), ' ')) AS old, list_distinct(string_split(left(text, 400), ' ')) AS new FROM documents)
