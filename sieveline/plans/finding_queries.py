@@ -68,8 +68,10 @@ _MODEL = ", model AS (SELECT file, class_name, line, smell_type, score / 100 AS
 
 
 def _model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Findings of the least severity are the model's, all others the rules'."""
     found = _found(spark, d)
-    return found.where("finding_id % 3 = 0").select("file", "class_name", "line", "smell_type", (F.col("score") / 100).alias("probability")), found.where("finding_id % 3 = 1 AND line < 20")
+    model = F.coalesce(F.col("severity") < 2, F.lit(False))
+    return found.where(model).select("file", "class_name", "line", "smell_type", (F.col("score") / 100).alias("probability")), found.where(~model)
 
 
 @query(f"{_F}{_MODEL}, r AS (SELECT DISTINCT file, class_name, line, smell_type FROM rules), m AS (SELECT file, class_name, line, smell_type, max(probability) AS p FROM model GROUP BY ALL) SELECT r.*, m.p IS NOT NULL AS agreed, round(m.p, 6) AS probability FROM r LEFT JOIN m USING (file, class_name, line, smell_type)")
@@ -191,7 +193,9 @@ def ordinal_in_file(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_F} SELECT finding_id, upper(left(smell_type, 3)) || '-' || lpad((row_number() OVER (PARTITION BY smell_type ORDER BY finding_id))::VARCHAR, 5, '0') AS label FROM findings WHERE line < 5")
 def review_labels(spark: SparkSession, d: str) -> DataFrame:
     at = F.row_number().over(Window.partitionBy("smell_type").orderBy("finding_id"))
-    return _found(spark, d).where("line < 5").select("finding_id", F.concat(F.upper(F.substring("smell_type", 1, 3)), F.lit("-"), F.lpad(at.cast("string"), 5, "0")).alias("label"))
+    number = at.cast("string")
+    filled = F.lpad(number, F.greatest(F.length(number), F.lit(5)), F.lit("0"))  # longer numbers aren't cut
+    return _found(spark, d).select("finding_id", F.concat(F.upper(F.substring("smell_type", 1, 3)), F.lit("-"), filled).alias("label"))
 
 
 @query("""WITH l AS (SELECT conv_id, turn, role, length(text) > 1000 AS changed FROM conversations), c AS (SELECT conv_id, turn, role, bool_or(changed) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS shown FROM l) SELECT conv_id, turn, role FROM c WHERE shown""")
@@ -203,7 +207,7 @@ def diff_context(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT 'cited' AS side, count(*) AS n FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 10 < 6) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 1000)
     UNION ALL SELECT 'listed', count(*) FROM customer WHERE c_acctbal > 1000 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 10 < 6)""")
 def referential_audit(spark: SparkSession, d: str) -> DataFrame:
-    cited = table(spark, d, "orders").where("o_custkey % 10 < 6").select(F.col("o_custkey").alias("k")).distinct()
+    cited = table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct()
     listed = table(spark, d, "customer").where("c_acctbal > 1000").select(F.col("c_custkey").alias("k"))
     one = lambda side, rows: rows.agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "n")
     return one("cited", cited.join(listed, "k", "left_anti")).unionByName(one("listed", listed.join(cited, "k", "left_anti")))

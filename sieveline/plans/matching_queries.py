@@ -101,7 +101,7 @@ def repo_moves(spark: SparkSession, d: str) -> DataFrame:
     SELECT DISTINCT f.file, f.class_name, coalesce(r.fired, false) AS fired FROM findings f LEFT JOIN r ON r.file = f.file AND r.class_name = f.class_name""")
 def external_verdicts(spark: SparkSession, d: str) -> DataFrame:
     found = binding.findings(spark, d)
-    rules = found.where("line < 10").groupBy("file", "class_name").agg(F.collect_set("smell_type").alias("rules"))
+    rules = found.groupBy("file", "class_name").agg(F.collect_set("smell_type").alias("rules"))
     fired = F.coalesce(F.arrays_overlap("rules", F.array(F.lit("click"), F.lit("view"))), F.lit(False))
     return found.select("file", "class_name").distinct().join(rules, ["file", "class_name"], "left").select("file", "class_name", fired.alias("fired"))
 
