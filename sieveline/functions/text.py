@@ -46,12 +46,12 @@ def fingerprint(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]).cast("binary"), 256), 1, 32)
 
 
-def suppressed(lines: Column, line: Column, smell_type: Column, marker: str = "smell:ignore", above: int = 10) -> Column:
+def suppressed(lines: Column, line: Column, smell_type: Column, marker: str = "smell:ignore") -> Column:
     """Whether a comment block right above a 1-based line carries the marker, for all types or with this one named in brackets.
 
-    Blank lines are passed over; the first line that is no comment ends the block.
+    Blank lines are passed over, however many; the first line that is no comment ends the block.
     """
-    before = F.reverse(F.slice(lines, F.greatest(line - above, F.lit(1)), F.least(F.lit(above), line - 1)))
+    before = F.reverse(F.slice(lines, F.lit(1), line - 1))
     start = F.struct(F.lit(False).alias("found"), F.lit(False).alias("stopped"))
 
     def step(a: Column, text: Column) -> Column:
