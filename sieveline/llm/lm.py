@@ -28,7 +28,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -47,7 +46,9 @@ FLUSH = 1_000_000
 #: Steps of the histogram by which the least count of the broadcast words is found, to a factor of e.
 STEPS = 64
 #: Bytes of text for which a task asks all slices in turn, where there are several.
-GATHERED = 1 << 25
+GATHERED = 1 << 23
+#: Tokens for each part of the filter, where that makes more than `PARTS`.
+PART_TOKENS = 1 << 19
 
 # The end token can't be a word, as it has white space in it.
 END_WORD = b" "
@@ -77,15 +78,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class LogFrequencyFilter:
-    """Bits in `PARTS` parts, or a slice of them from `first` on; all that is asked of an event lies in one part."""
+    """Bits in `parts` parts, a slice of all `of` from `first` on; all that is asked of an event lies in one part."""
 
-    def __init__(self, bits: np.ndarray, quantum: float = QUANTUM, probes: int = PROBES, parts: int = PARTS, first: int = 0):
-        self.bits, self.quantum, self.probes, self.first = bits, quantum, probes, first
+    def __init__(self, bits: np.ndarray, quantum: float = QUANTUM, probes: int = PROBES, parts: int = PARTS, first: int = 0, of: int | None = None):
+        self.bits, self.quantum, self.probes, self.first, self.of = bits, quantum, probes, first, of or parts
         self.part_bits = len(bits) * 8 // parts
 
     @staticmethod
-    def part(events: np.ndarray) -> np.ndarray:
-        return (_mixed(events.astype(np.uint64) + _U(1)) >> _U(40)) % _U(PARTS)
+    def part(events: np.ndarray, parts: int = PARTS) -> np.ndarray:
+        return (_mixed(events.astype(np.uint64) + _U(1)) >> _U(40)) % _U(parts)
 
     @staticmethod
     def quantised(counts: np.ndarray, quantum: float = QUANTUM) -> np.ndarray:
@@ -113,7 +114,7 @@ class LogFrequencyFilter:
     def levels(self, events: np.ndarray) -> np.ndarray:
         """The largest level up to which all are members: repeated probes, of those still in."""
         q = np.zeros(len(events), np.int64)
-        at, start = np.arange(len(events)), (self.part(events) - _U(self.first)) * _U(self.part_bits)
+        at, start = np.arange(len(events)), (self.part(events, self.of) - _U(self.first)) * _U(self.part_bits)
         level = 0
         while len(at):
             level += 1
@@ -208,54 +209,96 @@ def classes_of(ranks: np.ndarray, classes: int) -> np.ndarray:
     return np.where((ranks >= 0) & (ranks < classes), ranks + 2, 0)
 
 
+#: Bytes of an event and of a class number. Two events meet by chance far more rarely than the filter errs.
+EVENT_BYTES, CLASS_BYTES = 6, 3
+
+
 def pair_events(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Names of bigrams, of the hashes of their words."""
-    return _mixed(_mixed(first.astype(np.uint64) + _U(0x9E3779B97F4A7C15)) * _U(3) + second.astype(np.uint64)).astype(np.int64)
+    mixed = _mixed(_mixed(first.astype(np.uint64) + _U(0x9E3779B97F4A7C15)) * _U(3) + second.astype(np.uint64))
+    return (mixed >> _U(64 - 8 * EVENT_BYTES)).astype(np.int64)
 
 
 def word_events(hashes: np.ndarray) -> np.ndarray:
     """Names of words among the bigrams."""
-    return _mixed(hashes.astype(np.uint64) ^ _U(0xD1B54A32D192ED03)).astype(np.int64)
+    return (_mixed(hashes.astype(np.uint64) ^ _U(0xD1B54A32D192ED03)) >> _U(64 - 8 * EVENT_BYTES)).astype(np.int64)
+
+
+def packed(values: np.ndarray, width: int) -> bytes:
+    """Whole numbers in so many bytes each."""
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.reshape(-1).view("<i8")
+
 
+def summed(e: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal events in one, in order."""
+    order = np.argsort(e)
+    e, first, n = e[order], first[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]])) if len(e) else order
+    return e[at], first[at], np.add.reduceat(n, at) if len(at) else n
 
-def bigram_counts(train: DataFrame, head, classes: int) -> DataFrame:
-    """e (name of the bigram), first (class of its first word), c over all training texts."""
+
+BLOBS = "part long, e binary, first binary, c binary"
+
+
+def dealt(e: np.ndarray, first: np.ndarray, n: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row per part of the filter, its events in bytes: rows of a table would cost more than what they hold."""
+    part = LogFrequencyFilter.part(e, parts).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    e, first, n, part = e[order], first[order], n[order], part[order]
+    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    columns = [[packed(x[a:b], w) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(e)], strict=True)] for x, w in ((e, EVENT_BYTES), (first, CLASS_BYTES), (n, 8))]
+    return pa.RecordBatch.from_arrays([pa.array(part[at]), *(pa.array(x, pa.binary()) for x in columns)], ["part", "e", "first", "c"])
+
+
+def bigram_counts(train: DataFrame, head, classes: int, parts: int) -> DataFrame:
+    """`BLOBS` of bigrams: their names, classes of the first words, counts in some of the training texts."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(pickle.loads(head.value))
         end = np.array([word_hash(END_WORD)])
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def merged() -> tuple[np.ndarray, ...]:
-            e, first, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(e)
-            e, first, n = e[order], first[order], n[order]
-            at = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
-            return e[at], first[at], np.add.reduceat(n, at)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
         def out() -> pa.RecordBatch:
-            rows = merged()
+            e, first = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1].astype(np.int32)), pa.array(rows[2])], ["e", "first", "c"])
+            return dealt(*summed(e, first, np.ones(len(e), np.int64)), parts)
 
         for batch in batches:
-            chains, firsts = [], []
             for text in batch.column(0).to_pylist():
                 h, r = known.of(words(text))
-                chains.append(pair_events(np.concatenate([end, h]), np.concatenate([h, end])))
-                firsts.append(np.concatenate([[1], classes_of(r, classes)]))
-            if not chains:
-                continue
-            e = np.concatenate(chains)
-            held.append((e, np.concatenate(firsts), np.ones(len(e), np.int64)))
-            if sum(len(x[0]) for x in held) > FLUSH:
-                held[:] = [merged()]
-                if len(held[0][0]) > FLUSH // 2:
+                held.append((pair_events(np.concatenate([end, h]), np.concatenate([h, end])), np.concatenate([[1], classes_of(r, classes)])))
+                size += len(h) + 1
+                if size > 2 * FLUSH:
                     yield out()
+                    size = 0
         if held:
             yield out()
 
-    return train.select("text").mapInArrow(counted, "e long, first int, c long").groupBy("e", "first").agg(F.sum("c").alias("c"))
+    return train.select("text").mapInArrow(counted, BLOBS)
+
+
+def merged_counts(blobs: DataFrame) -> DataFrame:
+    """A row per part: its events, their levels q, the sum of these, and by class what quantisation takes from its bigrams."""
+
+    def merged(table: pa.Table) -> pa.Table:
+        e, first, n = (unpacked(b"".join(table.column(c).to_pylist()), w) for c, w in (("e", EVENT_BYTES), ("first", CLASS_BYTES), ("c", 8)))
+        e, first, n = summed(e, first, n)
+        q = LogFrequencyFilter.quantised(n)
+        lost = n - LogFrequencyFilter(np.zeros(0, np.uint8)).middle(q)
+        at = (lost != 0) & (first > 0)
+        own, place = np.unique(first[at], return_inverse=True)
+        row = {"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "e": pa.array([packed(e, EVENT_BYTES)], pa.binary()), "q": pa.array([q.astype(np.uint8).tobytes()], pa.binary()), "levels": pa.array([int(q.sum())], pa.int64())}
+        row |= {"first": pa.array([own], pa.list_(pa.int64())), "lost": pa.array([np.bincount(place, lost[at], len(own))], pa.list_(pa.float64()))}
+        return pa.table(row)
+
+    return blobs.groupBy("part").applyInArrow(merged, "part long, e binary, q binary, levels long, first array<long>, lost array<double>")
 
 
 class Model:
@@ -294,29 +337,32 @@ class Model:
         return np.log10((held + self.prior * share) / (total + self.prior))
 
 
-def slices_of(spark, parts: DataFrame, part_bits: int, slice_bits: int) -> list[tuple[int, int, object]]:
-    """First part, number of parts and broadcast bits of each slice; the driver holds one at a time."""
-    each = max(1, min(PARTS, slice_bits // part_bits))
+#: First part, number of parts, parts of the whole filter, and the broadcast bits of a slice.
+Slice = tuple[int, int, int, object]
+
+
+def slices_of(spark, built: DataFrame, parts: int, part_bits: int, slice_bits: int) -> list[Slice]:
+    """The driver holds one at a time."""
+    each = max(1, min(parts, slice_bits // part_bits))
     out = []
-    for first in range(0, PARTS, each):
-        n = min(each, PARTS - first)
+    for first in range(0, parts, each):
+        n = min(each, parts - first)
         bits = np.zeros(n * part_bits // 8, np.uint8)
-        for r in parts.where(F.col("part").between(first, first + n - 1)).toLocalIterator():
+        for r in built.where(F.col("part").between(first, first + n - 1)).toLocalIterator():
             at = (r["part"] - first) * part_bits // 8
             bits[at : at + part_bits // 8] = np.frombuffer(r["bits"], np.uint8)
-        out.append((first, n, spark.sparkContext.broadcast(bits)))
+        out.append((first, n, parts, spark.sparkContext.broadcast(bits)))
     return out
 
 
-def levels_in(slices: list[tuple[int, int, object]], events: np.ndarray) -> np.ndarray:
+def levels_in(slices: list[Slice], events: np.ndarray) -> np.ndarray:
     """The levels of events, by asking each slice for its own."""
-    if len(slices) == 1:
-        return LogFrequencyFilter(slices[0][2].value).levels(events)
-    q, part = np.zeros(len(events), np.int64), LogFrequencyFilter.part(events).astype(np.int64)
-    for first, n, bits in slices:
+    q, part = np.zeros(len(events), np.int64), LogFrequencyFilter.part(events, slices[0][2]).astype(np.int64)
+    for first, n, parts, bits in slices:
         at = np.flatnonzero((part >= first) & (part < first + n))
         if len(at):
-            q[at] = LogFrequencyFilter(bits.value, parts=n, first=first).levels(events[at])
+            q[at] = LogFrequencyFilter(bits.value, parts=n, first=first, of=parts).levels(events[at])
+        if len(slices) > 1:
             bits.__dict__.pop("_value", None)  # read again from the executor's disk when it is needed
     return q
 
@@ -349,36 +395,38 @@ def score(docs: DataFrame, head_size: int = HEAD, classes: int = HEAD, bits: int
     ends = vocabulary.where(F.col("h") == word_hash(END_WORD)).first()
     head = head_words(vocabulary, head_size)
     shared_head = spark.sparkContext.broadcast(cloudpickle.dumps(head))  # by value, as executors may lack this package
-    events = written(bigram_counts(train, shared_head, min(classes, len(head.counts))), "bigrams")
+    parts = max(PARTS, 1 << (total // PART_TOKENS).bit_length())
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield dealt(word_events(batch.column(0).to_numpy()), np.zeros(batch.num_rows, np.int64), batch.column(1).to_numpy(), parts)
+
+    # Words in large batches, as each batch makes a row for each part.
+    named_words = vocabulary.select("h", "c").mapInArrow(lambda batches: named(b for t in gathered(batches, 1 << 23) for b in t.combine_chunks().to_batches()), BLOBS)
+    events = written(merged_counts(bigram_counts(train, shared_head, min(classes, len(head.counts)), parts).unionByName(named_words)), "bigrams")
+    levels = events.agg(F.sum("levels")).first()[0] or 0
+    lost = events.select(F.explode(F.arrays_zip("first", "lost")).alias("x")).groupBy("x.first").agg(F.sum("x.lost").alias("lost")).toArrow()  # a row per class
+    blank = Model(head, total, distinct, ends["c"] if ends else 0, classes, np.zeros(0, np.uint8), {}, prior)
+    # A first word's bigrams sum to its count, less what quantisation takes.
+    middles = blank.totals.copy()
+    middles[lost.column("first").to_numpy()] -= lost.column("lost").to_numpy()
+    blank.scale = np.where(middles > 0, blank.totals / np.maximum(middles, 1e-9), 1.0)
     q = F.floor(F.log(F.col("c").cast("double")) / math.log(QUANTUM) + 1e-9) + 1
     low, high = F.ceil(F.pow(F.lit(QUANTUM), q - 1) - 1e-6), F.ceil(F.pow(F.lit(QUANTUM), q) - 1e-6) - 1
-    held_sums = [F.sum(q).alias("levels"), F.sum((low + F.greatest(low, high)) / 2).alias("middle")]
-    per_class = events.groupBy("first").agg(*held_sums).collect()  # a row per class
-    sums = {r["first"]: r["middle"] for r in per_class if r["first"] > 0}
-    of_words = vocabulary.agg(*held_sums).first()
-    levels = sum(r["levels"] for r in per_class) + (of_words["levels"] or 0)
-    part_bits = max(1024, -(-(levels * LEVEL_BITS if bits is None else bits) // (PARTS * 8)) * 8)
-    blank = Model(head, total, distinct, ends["c"] if ends else 0, classes, np.zeros(0, np.uint8), sums, prior)
-    own_middle = blank.filter.middle(LogFrequencyFilter.quantised(blank.totals[1:][blank.totals[1:] > 0])).sum()
-    rare_middle = (of_words["middle"] or 0) - own_middle
+    of_words = vocabulary.agg(F.sum((low + F.greatest(low, high)) / 2)).first()[0] or 0
+    own = blank.totals[1:][blank.totals[1:] > 0]
+    rare_middle = of_words - blank.filter.middle(LogFrequencyFilter.quantised(own)).sum()
     blank.rare_scale = float(blank.totals[0] / rare_middle) if rare_middle > 0 and blank.totals[0] > 0 else 1.0
+    part_bits = max(1024, -(-(levels * LEVEL_BITS if bits is None else bits) // (parts * 8)) * 8)
 
-    def built(rows: pd.DataFrame) -> pd.DataFrame:
-        e = rows["e"].to_numpy()
-        held = LogFrequencyFilter.build_part(e, LogFrequencyFilter.quantised(rows["c"].to_numpy()), part_bits)
-        return pd.DataFrame({"part": [int(LogFrequencyFilter.part(e[:1])[0])], "bits": [held.tobytes()]})
-
-    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(LogFrequencyFilter.part(batch.column(0).to_numpy()).astype(np.int64)), batch.column(0), batch.column(1)], ["part", "e", "c"])
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(word_events(batch.column(0).to_numpy())), batch.column(1)], ["e", "c"])
+            for part, e, q in zip(*(batch.column(i) for i in range(3)), strict=True):
+                held = LogFrequencyFilter.build_part(unpacked(e.as_py(), EVENT_BYTES), np.frombuffer(q.as_py(), np.uint8), part_bits)
+                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int64()), pa.array([held.tobytes()], pa.binary())], ["part", "bits"])
 
-    every = events.select("e", "c").unionByName(vocabulary.select("h", "c").mapInArrow(named, "e long, c long"))
-    parts = every.mapInArrow(parted, "part long, e long, c long").groupBy("part").applyInPandas(built, "part long, bits binary")
-    slices = slices_of(spark, written(parts, "filter"), part_bits, slice_bits)
+    slices = slices_of(spark, written(events.select("part", "e", "q").mapInArrow(built, "part long, bits binary"), "filter"), parts, part_bits, slice_bits)
     model = spark.sparkContext.broadcast(cloudpickle.dumps(blank))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -107,7 +107,7 @@ def test_rare_words_keep_their_bigrams_and_slices_cut_nothing(spark):
 def test_the_filter_grows_with_its_levels(spark, monkeypatch):
     sizes = []
     kept = lm.slices_of
-    monkeypatch.setattr(lm, "slices_of", lambda spark, parts, part_bits, slice_bits: sizes.append(part_bits) or kept(spark, parts, part_bits, slice_bits))
+    monkeypatch.setattr(lm, "slices_of", lambda spark, built, parts, part_bits, slice_bits: sizes.append(parts * part_bits) or kept(spark, built, parts, part_bits, slice_bits))
     for n in (4000, 16000):
         rng = np.random.default_rng(5)
         lm.score(spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 10 * n, 20))) for i in range(n)], "doc_id long, text string")).count()
