@@ -38,7 +38,7 @@ from sieveline.llm.common import arrow_rows, written
 HEAD = 1 << 18
 PARTS, PROBES = 256, 2
 #: Bits of the filter for each level that it holds: (1 - exp(-2 / 20)) ** 2 is 0.009. Bits that are broadcast at once.
-LEVEL_BITS, SLICE_BITS = 20, 1 << 30
+LEVEL_BITS, SLICE_BITS = 20, 1 << 28
 #: Base of the quantisation, weight of the class unigrams, and what is added to unigram counts.
 QUANTUM, PRIOR, ADDED = 1.5, 300.0, 0.1
 #: Distinct words or bigrams that a task counts before it passes them on.
@@ -46,7 +46,7 @@ FLUSH = 1_000_000
 #: Steps of the histogram by which the least count of the broadcast words is found, to a factor of e.
 STEPS = 64
 #: Bytes of text for which a task asks all slices in turn, where there are several.
-GATHERED = 1 << 23
+GATHERED = 1 << 22
 #: Tokens for each part of the filter, where that makes more than `PARTS`.
 PART_TOKENS = 1 << 19
 
