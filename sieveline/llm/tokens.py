@@ -1,12 +1,17 @@
 """Token counts: pieces are counted once per distinct pre-token, joined to each text's pre-token frequencies and summed.
 
 The join is map-side. Every task keeps a dictionary from pre-token to piece count (bounded at `CACHE` entries, emptied
-when full), so no token ids are made for a text and nothing is shuffled: one pass, linear in the text, whatever the
-vocabulary's size. Null text counts as empty; an empty table gives an empty result; repeated rows give repeated rows.
+when full), so a pre-token is counted once per task that meets it, and again after the dictionary was emptied; no ids of
+a text are made and nothing is shuffled: one pass, linear in the text, whatever the vocabulary's size. Null text counts
+as empty; an empty table gives an empty result; repeated rows give repeated rows.
+
+The split is that of one family of tokenizer files (lower case, words, single digits, runs of other characters, byte-level
+merges). A file with another normaliser, split or model is refused with ValueError, never miscounted.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import Counter
@@ -22,6 +27,16 @@ from sieveline.llm.common import arrow_rows
 CACHE = 250_000
 TOKENIZER = "word_bpe_49k.json"
 
+# Fixed values of the tokenizer file: its normaliser and split, as its JSON states them.
+_NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 # Fixed values of the tokenizer file: its split pattern over characters below U+0250, where letters are these ranges.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _DIGITS = "0-9²³¹¼½¾"
@@ -39,6 +54,10 @@ class PreTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        if said["normalizer"] != _NORMALISER or said["pre_tokenizer"] != _SPLITTER or said["model"]["type"] != "BPE" or any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in said["added_tokens"]):
+            raise ValueError(f"{path}: its normaliser, split or added tokens aren't those that are counted here")
         self.whole = Tokenizer.from_file(path)
         special = {t.content: i for i, t in self.whole.get_added_tokens_decoder().items()}
         self.special = special
@@ -54,8 +73,9 @@ class PreTokens:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        if _BEYOND.search(text) is None:
-            return _SPLIT.findall(text.lower())
+        lowered = text.lower()  # some letters under U+0250 have their lower case beyond it
+        if text.isascii() or _BEYOND.search(text) is None and _BEYOND.search(lowered) is None:
+            return _SPLIT.findall(lowered)
         text = self.whole.normalizer.normalize_str(text)
         return [text[a:b] for _, (a, b) in self.whole.pre_tokenizer.pre_tokenize_str(text)]
 

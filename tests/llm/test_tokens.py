@@ -29,6 +29,36 @@ def test_any_text(text):
     assert np.frombuffer(CODER.encoded(text), "<u4").tolist() == library(text)
 
 
+#: Letters under U+0250 whose lower case lies beyond it, and what they stand beside.
+FAR = [chr(c) for c in range(0x250) if any(ord(x) >= 0x250 for x in chr(c).lower())]
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.lists(st.sampled_from([*FAR, *"aZ19!.'-_ \n²½éß\u0301\u212a\u212b\u1e9e<|"]), max_size=12).map("".join))
+def test_letters_whose_lower_case_leaves_the_block(text):
+    assert len(FAR) >= 23
+    assert np.frombuffer(CODER.encoded(text), "<u4").tolist() == library(text)
+    assert COUNTER.count(text) == len(library(text))
+
+
+def test_every_capital_beside_every_kind_of_character():
+    for c in map(chr, range(0x250)):
+        text = "".join(f"{c}{x}{c} {x}{c}" for x in "!a9'-é½\u0301")
+        assert np.frombuffer(CODER.encoded(text), "<u4").tolist() == library(text)
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    with open(vocabulary(), encoding="utf-8") as file:
+        said = json.load(file)
+    for key, value in (("normalizer", None), ("pre_tokenizer", {"type": "Whitespace"}), ("added_tokens", [said["added_tokens"][0] | {"normalized": True}])):
+        path = tmp_path / f"{key}.json"
+        path.write_text(json.dumps(said | {key: value}))
+        with pytest.raises(ValueError, match="aren't those"):
+            PieceCounts(str(path))
+
+
 def frame(spark, texts):
     return spark.createDataFrame([(i if i != 3 else None, x, None, None, None, 7, "x") for i, x in enumerate(texts)], SCHEMA)
 
