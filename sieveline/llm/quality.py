@@ -9,9 +9,13 @@ strata (Bonferroni) covers all of these: with probability 1 - delta every stratu
 all rules together, at or under alpha. Of the steps that pass, the first is taken that rejects nearly all (`ENOUGH`) of the
 labelled bad documents that any of them does; without any, none.
 
-Strata are the `STRATA` commonest languages and one for the rest and for null, so the table of cutoffs is bounded and
-is broadcast. Null text has no words and fails the base rules. Repeated rows are judged each; a doc_id with several
-labels is good if all say so. With no labels, or none good, only the base rules apply. Empty tables give empty results.
+A trial is a distinct text: rows that repeat a labelled doc_id, and labelled copies of one text, count once (as good only
+if all labels say so), since the bound is of independent trials. Near copies are trials of their own, so a corpus whose
+labelled part is full of them should be deduplicated first.
+
+Strata are the languages, and one for null; their cutoffs (a row for each) are broadcast if counted to be few, else joined.
+Null text has no words and fails the base rules. Repeated rows are judged each; a doc_id with several labels is good if
+all say so. With no labels, or none good, only the base rules apply. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sieveline.llm.common import written
+from sieveline.llm.common import join_spread, written
 
 WHITE = " \t\n\x0b\f\r"
 _GAP = "[\\x20\\x09-\\x0D]+"
@@ -31,7 +35,6 @@ MAX_REPEAT_PERCENT = 30
 ALPHA, DELTA = 0.02, 0.05
 #: Share of the bad documents that could be rejected at which the sequence is stricter than needed.
 ENOUGH = 0.99
-STRATA = 32
 #: The sequence: a rule rejects where its ratio of measures is over the cutoff. Later steps add to earlier ones.
 SEQUENCE: tuple[tuple[str, float], ...] = (
     *(("symbols_per_char", c) for c in (0.32, 0.24, 0.16, 0.12, 0.1, 0.08, 0.06)),
@@ -44,17 +47,17 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the five base measures of every row, and `n_echo_words`, its words that are those before them."""
+    """doc_id, lang, the text's hash, the five base measures of every row, and `n_echo_words`, its words that are those before them."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    trimmed = narrow.withColumn("bare", F.btrim("text", F.lit(WHITE)))
+    trimmed = narrow.withColumn("bare", F.btrim("text", F.lit(WHITE))).withColumn("text_hash", F.xxhash64("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0)
     worded = trimmed.select(
-        "doc_id", "lang", F.when(F.col("bare") == "", F.array().cast("array<string>")).otherwise(F.split("bare", _GAP)).alias("words"), lines.alias("lines"),
+        "doc_id", "lang", "text_hash", F.when(F.col("bare") == "", F.array().cast("array<string>")).otherwise(F.split("bare", _GAP)).alias("words"), lines.alias("lines"),
         F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
     )
     n = F.size("words")
     windows = worded.select(
-        "doc_id", "lang", n.cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols",
+        "doc_id", "lang", "text_hash", n.cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("words", lambda w, i: (i > 0) & (w == F.get(F.col("words"), i - 1)))).cast("long").alias("n_echo_words"),
         F.when(n >= WINDOW, F.transform(F.slice("words", F.lit(1), n - (WINDOW - 1)), lambda _, i: F.xxhash64(F.slice(F.col("words"), i + 1, F.lit(WINDOW))))).alias("windows"),
@@ -65,7 +68,7 @@ def measured(docs: DataFrame) -> DataFrame:
     near = lambda s, i: F.coalesce(s["h"] == F.get(F.col("sorted"), i)["h"], F.lit(False))
     flagged = sorted_.withColumn("at", F.sort_array(F.transform(F.filter("sorted", lambda s, i: near(s, i - 1) | near(s, i + 1)), lambda s: s["i"])))
     covered = F.aggregate(F.transform("at", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("at"), i + 1) - p, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x)
-    return flagged.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_echo_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return flagged.select("doc_id", "lang", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_echo_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def ratio(rule: str) -> Column:
@@ -115,14 +118,19 @@ def chosen_steps(holdout: DataFrame, strata: int, steps: int, alpha: float = ALP
     return most.where((F.col("bad") > 0) & (F.col("bad") >= ENOUGH * F.col("most"))).groupBy("stratum").agg(F.min("step").alias("upto"))
 
 
+def trials(table: DataFrame, labels: DataFrame) -> DataFrame:
+    """stratum, step, good: one row per distinct labelled text of the judged `table` that passes the base rules."""
+    known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
+    labelled = table.where("not base_failed and doc_id is not null").join(known, "doc_id")
+    one = labelled.groupBy("doc_id").agg(F.min(F.struct("text_hash", "stratum", "step")).alias("x"), F.first("good").alias("good")).select("x.*", "good")
+    return one.groupBy("stratum", "text_hash").agg(F.min("step").alias("step"), F.min("good").alias("good")).drop("text_hash")
+
+
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, sequence: tuple[tuple[str, float], ...] = SEQUENCE) -> DataFrame:
     """doc_id, the base measures, base_failed and kept of every row of `docs` (doc_id, text, lang)."""
     table = written(measured(docs), "quality").withColumn("base_failed", base_failed()).withColumn("step", first_step(sequence))
-    common = [r["lang"] for r in table.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(STRATA).collect()]
-    named = F.col("lang").isin(common) if common else F.lit(False)
-    table = table.withColumn("stratum", F.when(named, F.concat(F.lit("="), "lang")).otherwise(F.lit("rest")))
-    known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
-    holdout = table.where("not base_failed").select("doc_id", "stratum", "step").join(known, "doc_id")
-    limits = chosen_steps(holdout, len(common) + 1, len(sequence), alpha, delta)
+    table = table.withColumn("stratum", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("none")))
+    strata = table.where("lang is not null").select("lang").distinct().count() + 1
+    limits = written(chosen_steps(trials(table, labels), strata, len(sequence), alpha, delta), "cutoffs")
     over = F.coalesce(F.col("step") <= F.col("upto"), F.lit(False))
-    return table.join(F.broadcast(limits), "stratum", "left").select("doc_id", *MEASURES, "base_failed", (~F.col("base_failed") & ~over).alias("kept"))
+    return join_spread(table, limits, "stratum", ["doc_id", "text_hash"]).select("doc_id", *MEASURES, "base_failed", (~F.col("base_failed") & ~over).alias("kept"))

@@ -93,6 +93,26 @@ def test_without_labels_only_the_base_rules_hold(spark):
     assert all(r.kept for r in quality.judge(docs, none).collect())
 
 
+def test_repeated_rows_are_one_trial(spark):
+    docs = documents(spark, 25).withColumn("good", F.lit(1))  # every fifth is full of symbols, and labelled good all the same
+    docs = docs.where("doc_id % 5 <> 0").unionByName(spark.createDataFrame([(1000 + i, " ".join(f"bad{i}x{k}###" for k in range(40)), "en", 0) for i in range(5)], docs.schema))
+    labels = docs.select("doc_id", F.col("good").alias("quality"))
+    kept = lambda d, lab: {(r.doc_id, r.kept) for r in quality.judge(d, lab).collect()}
+    assert all(k for _, k in kept(docs, labels))  # 20 good documents guarantee nothing
+    many = docs.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(30)))).drop("i")
+    assert all(k for _, k in kept(many, labels))
+    copies = docs.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(30)))).withColumn("doc_id", F.col("doc_id") + 10_000 * F.col("i")).drop("i")
+    assert all(k for _, k in kept(copies, copies.select("doc_id", F.col("good").alias("quality"))))
+
+
+def test_every_language_has_its_own_cutoffs(spark):
+    docs = documents(spark, 4000)
+    rare = docs.withColumn("lang", F.concat(F.lit("x"), (F.col("doc_id") % 4).cast("string")))
+    more = spark.range(100).select((F.col("id") + 100_000).alias("doc_id"), F.lit("short").alias("text"), F.concat(F.lit("z"), F.col("id").cast("string")).alias("lang"), F.lit(1).alias("good"))
+    got = {r.doc_id: r.kept for r in quality.judge(rare.unionByName(more), docs.select("doc_id", F.col("good").alias("quality"))).collect()}
+    assert all(got[r.doc_id] == bool(r.good) for r in docs.collect())
+
+
 def test_cases(spark):
     labels = spark.createDataFrame([(0, 1, 0), (0, None, 0), (1, 0, None), (None, 1, 1), (6, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
     got = quality.judge(cases.frame(spark), labels).collect()
