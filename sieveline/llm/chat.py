@@ -1,9 +1,9 @@
-"""Chat formatting: records of any known layout become canonical turns, and turns become one templated text and back.
+r"""Chat formatting: records of any known layout become canonical turns, and turns become one templated text and back.
 
 **Layouts.** A record is a JSON object. Its fingerprint is a hash of the sorted set of its nested field paths (array
 elements share the path `[]`; fields that are null don't count). A registry maps fingerprints to declarative mappings:
 where the turns lie, or which fields are turns of which role. Unknown fingerprints give no turns and are returned as
-such, never guessed.
+such (with a null part), never guessed and never formatted. In paths, a key's own `.`, `[` and `\` are escaped.
 
 **Template.** A turn is `<|turn|>role` newline text `<|end|>`. Inside texts and roles every `<|` becomes `<||`, and
 every `<||` (so any run) gets one more bar, so no control string can occur there; reading takes the bar away again. A line
@@ -13,7 +13,8 @@ The loss mask covers the texts of assistant turns, without their marks.
 Each turn is formatted by itself, so formatting is a map. Reading a conversation back folds over its turns in order,
 one turn at a time in memory, as one conversation can hold most of the rows. Ties in the order of turns are broken by
 role and text; a null turn comes first, a null role is an empty one, a null text is empty; a null conv_id is a
-conversation of its own; repeated rows are repeated turns; an empty table gives an empty result.
+conversation of its own; repeated rows are repeated turns; an empty table gives an empty result. One conversation is read
+by one task, as the digest runs over its turns in order. A lone surrogate in a record becomes the replacement character.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import arrow_rows
+from sieveline.llm.common import slices
 
 OPEN, MIDDLE, CLOSE, BREAK = "<|turn|>", "\n", "<|end|>", "<|n|>"
 LEARNED = "assistant"
@@ -64,17 +65,30 @@ def _known() -> dict[str, str]:
 KNOWN = _known()
 
 
-def json_paths(value: object, at: str = "") -> Iterator[str]:
-    if isinstance(value, dict):
-        for k, v in value.items():
-            if v is not None:
-                yield from json_paths(v, f"{at}.{k}" if at else k)
-    elif isinstance(value, list) and any(x is not None for x in value):
-        for x in value:
-            if x is not None:
-                yield from json_paths(x, f"{at}[]")
-    else:
-        yield at
+def json_paths(value: object) -> Iterator[str]:
+    """Paths of the fields that hold something; a stack, not recursion, as records can be nested deeply."""
+    stack = [("", value)]
+    while stack:
+        at, value = stack.pop()
+        if isinstance(value, dict) and (value or not at):
+            for k, v in value.items():
+                if v is not None:
+                    key = re.sub(r"[.\[\\]", r"\\\g<0>", k)
+                    stack.append((f"{at}.{key}" if at else key, v))
+        elif isinstance(value, list) and any(x is not None for x in value):
+            stack += [(f"{at}[]", x) for x in value if x is not None]
+        else:
+            yield at + "{}" if isinstance(value, dict) else at
+
+
+def sound(value: object) -> str:
+    """As text that can be encoded."""
+    text = str(value)
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
 
 
 def canonical(record: dict) -> tuple[str | None, list[tuple[str, str]]]:
@@ -97,30 +111,32 @@ def canonical(record: dict) -> tuple[str | None, list[tuple[str, str]]]:
         if name != "row":
             turns = [x for x in turns if x[0] != "system" or x[1] is not None]
     named = {} if name == "row" else ROLES
-    return name, [(named.get(r or "", r or ""), str(t) if t is not None else "") for r, t in turns]
+    turns = [(r if isinstance(r, str) or r is None else str(r), t) for r, t in turns]
+    return name, [(sound(named.get(r or "", r or "")), sound(t) if t is not None else "") for r, t in turns]
 
 
 def canonical_turns(records: DataFrame) -> DataFrame:
     """Records (conv_id, turn, record: JSON text) as canonical turns: conv_id, turn, part, layout, role, text.
 
-    A record that is null, isn't a JSON object or has an unknown fingerprint gives one row with a null layout.
+    A record that is null, isn't a JSON object, is nested too deeply to be read or has an unknown fingerprint gives one row
+    with a null layout and a null part, for the caller to look at; so does one of a known layout without turns. `formatted`
+    leaves such rows out.
     """
     import json
 
-    arrow_rows(records.sparkSession)
     names = ["conv_id", "turn", "part", "layout", "role", "text"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for conv, turn, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 try:
                     record = json.loads(text) if text is not None else None
-                except ValueError:
+                except (ValueError, RecursionError):
                     record = None
                 layout, turns = canonical(record) if isinstance(record, dict) else (None, [])
-                out += [(conv, turn, k, layout, r, t) for k, (r, t) in enumerate(turns)] or [(conv, turn, 0, layout, None, None)]
+                out += [(conv, turn, k, layout, r, t) for k, (r, t) in enumerate(turns)] or [(conv, turn, None, layout, None, None)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
 
     return records.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "record").mapInArrow(mapped, "conv_id long, turn long, part int, layout string, role string, text string")
@@ -139,10 +155,10 @@ def escaped(text: Column) -> Column:
 
 
 def formatted(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, part, role, text -> those keys, `formatted` (the templated turn) and its loss span (loss_start, loss_length; null: no loss)."""
+    """conv_id, turn, part (null: no turn, left out), role, text -> those keys, `formatted` (the templated turn) and its loss span (loss_start, loss_length; null: no loss)."""
     role, body = F.replace(escaped(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit(BREAK)), escaped(F.coalesce("text", F.lit("")))
     learned = F.coalesce("role", F.lit("")) == LEARNED
-    return turns.select(
+    return turns.where("part is not null").select(
         "conv_id", "turn", "part", F.concat(F.lit(OPEN), role, F.lit(MIDDLE), body, F.lit(CLOSE)).alias("formatted"),
         F.when(learned, F.length(role) + len(OPEN) + len(MIDDLE)).alias("loss_start"), F.when(learned, F.length(body)).alias("loss_length"),
     )
@@ -163,8 +179,6 @@ def parse(text: str) -> list[tuple[str, str]]:
 
 def read_back(templated: DataFrame) -> DataFrame:
     """Per conversation, from the formatted turns alone: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    spark = templated.sparkSession
-    arrow_rows(spark)
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
@@ -175,7 +189,7 @@ def read_back(templated: DataFrame) -> DataFrame:
             if turns is not None:
                 done.append((key[0], n, turns.hexdigest(), loss_n, loss.hexdigest(), chars))
 
-        for batch in batches:
+        for batch in slices(batches):
             for conv, text, start, size in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if (conv,) != key:
                     flush()

@@ -50,6 +50,32 @@ def test_layouts_of_a_table(spark):
     assert sorted(r.conv_id for r in got if r.layout is None) == [90, 91, 92, 93]
 
 
+def test_unknown_records_make_no_turns(spark):
+    deep = '{"a":' * 3000 + "1" + "}" * 3000
+    rows = [(1, 0, '{"foo": 1}'), (1, 1, "not json"), (1, 2, '{"prompt": "q", "completion": "a"}'), (1, 3, deep), (1, 4, '{"messages": []}'), (1, 5, '{"messages[]": [{"role": "user", "content": "x"}]}'), (2, 0, deep)]
+    turns = chat.canonical_turns(spark.createDataFrame(rows, "conv_id long, turn long, record string"))
+    assert sorted((r.conv_id, r.turn) for r in turns.where("part is null").collect()) == [(1, 0), (1, 1), (1, 3), (1, 4), (1, 5), (2, 0)]
+    (got,) = chat.read_back(chat.formatted(turns)).collect()
+    assert (got.conv_id, got.n_turns, got.loss_chars) == (1, 2, 1)
+
+
+def test_paths_tell_keys_from_structure():
+    paths = lambda x: sorted(chat.json_paths(x))
+    assert paths({"a.b": 1}) != paths({"a": {"b": 1}}) and paths({"a[]": 1}) != paths({"a": [1]}) and paths({"a": {}}) != paths({})
+    assert paths({"a": None}) == paths({}) and paths({"a": []}) == ["a"] == paths({"a": [None]})
+    nested = {}
+    for _ in range(50_000):
+        nested = {"x": nested}
+    assert len(paths(nested)) == 1
+    assert chat.canonical({"prompt": "q", "completion": "a", "x": {}}) == (None, [])
+
+
+def test_lone_surrogates_and_other_values(spark):
+    rows = [(1, 0, '{"prompt": "\\ud800x", "completion": 5}'), (2, 0, '{"messages": [{"role": 1, "content": true}]}')]
+    got = chat.canonical_turns(spark.createDataFrame(rows, "conv_id long, turn long, record string")).orderBy("conv_id", "part").collect()
+    assert [(r.role, r.text) for r in got] == [("user", "\ufffdx"), ("assistant", "5"), ("1", "True")]
+
+
 def test_conversations_of_a_table(spark):
     rows = [(1, 1, "assistant", "b<|end|>"), (1, 0, "user", "é"), (1, 2, "assistant", None), (2, 0, None, "x" * 50_000), (2, 0, "a\nb", "<||"), (2, None, "system", "<|"), (None, 0, "assistant", "z"), (None, 0, "assistant", "z")]
     frame = spark.createDataFrame([(c, t, 0, r, x, "y") for c, t, r, x in rows], "conv_id long, turn long, part int, role string, text string, formatted string")
