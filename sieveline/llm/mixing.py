@@ -15,6 +15,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,9 @@ SEED = 17
 SPLIT = 64.0
 #: Sources (a few bytes each) up to which their rates are broadcast.
 BROADCAST_SOURCES = 10_000
-_COPY, _RATE, _PLACE, _ORDER = "mix_copy", "mix_rate", "mix_place", "mix_order"
+COPY, RATE = "mix_copy", "mix_rate"
+#: Characters of a partition of the mixture: a larger input gets more partitions than the session's number.
+PART_CHARS = 1 << 27
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -39,6 +43,11 @@ def uniform(*parts: Column | str) -> Column:
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, budget: float = BUDGET, temperature: float = TEMPERATURE) -> DataFrame:
     """source and its mean repetition rate in `mix_rate`. With `weights`, sources that they don't name have weight 0."""
+    return _rates(docs, weights, budget, temperature)[0]
+
+
+def _rates(docs: DataFrame, weights: dict[str | None, float] | None, budget: float, temperature: float) -> tuple[DataFrame, float]:
+    """The rates, and all characters of `docs`."""
     sizes = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("double")).alias("chars"))
     if weights is None:
         share = F.pow("chars", F.lit(temperature))
@@ -49,9 +58,9 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, budge
     weighed = written(sizes.withColumn("share", F.when(F.col("chars") > 0, share).otherwise(0.0)), "sources")
     total = weighed.agg(F.sum("chars").alias("chars"), F.sum("share").alias("share")).first()
     if not total["share"]:
-        return weighed.select("source", F.lit(1.0).alias(_RATE))
+        return weighed.select("source", F.lit(1.0).alias(RATE)), total["chars"] or 0.0
     rate = F.lit(budget) * F.col("share") / F.lit(total["share"]) * F.lit(total["chars"]) / F.col("chars")
-    return weighed.select("source", F.when(F.col("chars") > 0, rate).otherwise(1.0).alias(_RATE))
+    return weighed.select("source", F.when(F.col("chars") > 0, rate).otherwise(1.0).alias(RATE)), total["chars"]
 
 
 def poisson(rate: Column, u: Column) -> Column:
@@ -73,21 +82,37 @@ def copies(rate: Column, key: Column, seed: int) -> Column:
     return F.when(rate > 0, F.aggregate(F.transform(F.sequence(F.lit(1), parts), lambda i: poisson(rate / parts, uniform(F.lit(seed), key, i))), F.lit(0), lambda a, x: a + x)).otherwise(0)
 
 
+def column(docs: DataFrame, name: str) -> int:
+    """The place of a column: the one of exactly this name, else the first that Spark takes for it."""
+    same = [i for i, c in enumerate(docs.columns) if c == name] or [i for i, c in enumerate(docs.columns) if c.lower() == name.lower()]
+    if not same:
+        raise ValueError(f"there is no column {name}")
+    return same[0]
+
+
 def replicated(docs: DataFrame, weights: dict[str | None, float] | None = None, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
-    """The columns of `docs`, and the copy's number from 1 in `mix_copy`, shuffled. `docs` needs doc_id, source and text."""
-    spark = docs.sparkSession
-    table = rates(docs, weights, budget).withColumnRenamed("source", "mix_source")
-    key = F.col("doc_id").cast("string")
+    """The columns of `docs`, and the copy's number from 1 in `mix_copy`, shuffled. `docs` needs doc_id, source and text.
+
+    Whatever other columns `docs` has are kept as they are; if one is called `mix_copy` already (in any case), the new
+    column's name gets underscores until it is free.
+    """
+    names, copy = docs.columns, COPY
+    while copy in {c.lower() for c in names}:
+        copy += "_"
+    # Within, columns are named by their places, so that no name of the caller's can clash.
+    doc_id, source, text = (f"c{column(docs, x)}" for x in ("doc_id", "source", "text"))
+    own = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    table, chars = _rates(own.select(F.col(source).alias("source"), F.col(text).alias("text")), weights, budget, TEMPERATURE)
+    key = F.col(doc_id).cast("string")
     # The table goes to all executors only if it is short; else both sides are shuffled, and AQE parts a source with most rows.
     table = F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table
-    joined = docs.join(table, docs["source"].eqNullSafe(table["mix_source"]), "left")
-    drawn = joined.withColumn(_COPY, copies(F.col(_RATE), key, seed))
-    exploded = drawn.where(F.col(_COPY) > 0).withColumn(_COPY, F.explode(F.sequence(F.lit(1), F.col(_COPY))))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = own.join(table, own[source].eqNullSafe(table["source"]), "left").withColumn("copy", copies(F.col(RATE), key, seed))
+    exploded = drawn.where(F.col("copy") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copy"))))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(budget * chars / PART_CHARS))
     return (
-        exploded.withColumn(_PLACE, F.xxhash64(F.lit(seed), key, _COPY))
-        .withColumn(_ORDER, F.xxhash64(F.lit(~seed), key, _COPY))
-        .repartition(parts, _PLACE)
-        .sortWithinPartitions(_ORDER)
-        .select(*[F.col(f"`{c}`") for c in docs.columns], _COPY)
+        exploded.withColumn("place", F.xxhash64(F.lit(seed), key, "copy"))
+        .withColumn("order", F.xxhash64(F.lit(~seed), key, "copy"))
+        .repartition(parts, "place")
+        .sortWithinPartitions("order")
+        .select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("copy").alias(copy))
     )

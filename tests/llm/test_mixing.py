@@ -46,6 +46,24 @@ def test_counts_are_those_of_brute_force(spark, weights, budget):
     assert Counter((r.doc_id, r.mix_copy) for r in got.collect()) == expected([(r[0], r[1], r[3]) for r in cases.rows()], weights, budget)
 
 
+@pytest.mark.parametrize("extra", ["mix_rate", "MIX_RATE", "mix_source", "mix_place", "mix_order", "mix_copy", "Mix_Copy", "copy", "c0", "place", "a.b", "`q`"])
+def test_any_extra_column_is_kept(spark, extra):
+    docs = spark.createDataFrame([(*r[:4], float(i)) for i, r in enumerate(cases.rows())], "doc_id long, text string, lang string, source string, extra double").withColumnRenamed("extra", extra)
+    got = mixing.replicated(docs)
+    assert got.columns[:5] == docs.columns and got.columns[5] == ("mix_copy_" if extra.lower() == "mix_copy" else "mix_copy")
+    want = {i: (r[0], r[1]) for i, r in enumerate(cases.rows())}
+    rows = [tuple(r) for r in got.collect()]
+    assert rows and all(want[int(r[4])] == (r[0], r[1]) for r in rows)
+    assert Counter((r[0], r[5]) for r in rows) == expected([(r[0], r[1], r[3]) for r in cases.rows()])
+
+
+def test_partitions_follow_the_size(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_CHARS", 10_000)
+    got = mixing.replicated(cases.frame(spark))
+    assert got.rdd.getNumPartitions() > 20
+    assert Counter((r.doc_id, r.mix_copy) for r in got.collect()) == expected([(r[0], r[1], r[3]) for r in cases.rows()])
+
+
 def test_shuffled_rates_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
     got = mixing.replicated(cases.frame(spark))
