@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch. Texts can be long, so batches are kept far below Spark's default of 10,000.
+#: Rows of a batch that Python workers take in hand at once. Texts can be long, so it is far below Spark's default of 10,000.
 ARROW_ROWS = 512
+#: Paths written within each of the blocks of `intermediates` that are open.
+_open: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,42 +22,86 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`, which all executors reach; a temporary one only where that is unset."""
+    """The folder of `spark.checkpoint.dir`, which all executors reach. Where it is unset, a temporary one, but only on a local master."""
     context = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     held = context._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not where and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="sieveline-"))
         held = context._jsc.sc().getCheckpointDir()
     return where or held.get()
 
 
+def _filesystem(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; it is deleted when the driver ends."""
+    """A new path in the shared folder. It is deleted when the block of `intermediates` around it ends, or else the driver."""
     path = f"{shared_dir(spark)}/sieveline/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    files, at = _filesystem(spark, path)
+    files.deleteOnExit(at)
+    if _open:
+        _open[-1].append(path)
     return path
 
 
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are deleted at the end: nothing that is read later may depend on them."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            files, at = _filesystem(spark, path)
+            files.delete(at, True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int = ARROW_ROWS) -> Iterator[None]:
+    """Within, a plan that is run sends at most `most` rows in an Arrow batch; the session's setting comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(most, int(before)) if int(before) > 0 else most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of at most `most` rows, whatever size they come in (Spark bounds their bytes); nothing is copied."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: lineage is cut, and a lost executor costs no recomputation."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What `make` returns, written; whatever tables it wrote on the way are deleted then."""
+    path = shared_path(spark, label)
+    with intermediates(spark), small_batches(spark):
+        df = make()
+        schema = df.schema
+        df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
-def arrow_rows(spark: SparkSession, most: int = ARROW_ROWS) -> None:
-    """Bounds the rows of an Arrow batch, as a batch of texts lies in a worker's memory whole."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= most:
-        spark.conf.set(key, most)
+def checkpointed(df: DataFrame) -> DataFrame:
+    shared_dir(df.sparkSession)
+    with small_batches(df.sparkSession):
+        return df.checkpoint()
 
 
 #: Rows of some 50 bytes up to which the short side of a join is broadcast.

@@ -2,7 +2,7 @@
 
 A payload becomes an 8-bit greyscale image of `WIDTH` columns: rows are filtered (none, sub or up, whichever leaves the
 smaller residue), deflated and framed in chunks with CRC-32. The reader tests the signature, every chunk's CRC and the
-stream's own checksum, and undoes all five filters with numpy. The feature is a 64-bit hash of the signs of the image's
+stream's own checksum, and undoes all five filters with numpy. It reads the table that the images were written to. The feature is a 64-bit hash of the signs of the image's
 8 x 8 lowest cosine-transform frequencies against their median. All work is within a row, so nothing is shuffled.
 
 Null text is an empty payload, padded like any other to one row of 255s; equal texts give equal values; an empty table
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import arrow_rows
+from sieveline.llm.common import slices, written
 
 #: Samples in an image row; payloads are padded to whole rows.
 WIDTH = 576
@@ -151,22 +151,38 @@ def cosine_hash(samples: np.ndarray) -> str:
     return np.packbits(low > np.median(low[1:])).tobytes().hex()
 
 
-def media_columns(docs: DataFrame, width: int = WIDTH, level: int = LEVEL) -> DataFrame:
-    """Per row of `docs` (doc_id, text): the PNG in the binary column `media`, and what was read back from it."""
-    arrow_rows(docs.sparkSession)
-    kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("media", pa.binary())]
+def stored(docs: DataFrame, width: int = WIDTH, level: int = LEVEL) -> DataFrame:
+    """Per row of `docs` (doc_id, text): doc_id, n_bytes of the text, and the PNG in the binary column `media`."""
+    kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())]
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            data = batch.column(1).to_pylist()
+            images = [write_png(padded(x, width), width, level) for x in data]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, data), pa.int64()), pa.array(images, pa.binary())], [k for k, _ in kinds])
+
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    return narrow.mapInArrow(drawn, "doc_id long, n_bytes long, media binary")
+
 
-    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+def read_back(images: DataFrame) -> DataFrame:
+    """Per row of `images` (doc_id, n_bytes, media): what its PNG says once its chunks are tested and its filters undone."""
+    kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in kinds]
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                image = write_png(padded(data, width), width, level)
+            for doc_id, n, image in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 samples, _ = read_png(image)
                 back = samples.tobytes()
-                row = (doc_id, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(image), hashlib.sha256(image).hexdigest(), cosine_hash(samples), image)
+                row = (doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(image), hashlib.sha256(image).hexdigest(), cosine_hash(samples))
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(out, kinds, strict=True)], [k for k, _ in kinds])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, (_, t) in zip(out, kinds, strict=True)), batch.column(2)], [*(k for k, _ in kinds), "media"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
-    return narrow.mapInArrow(stored, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary")
+    return images.select("doc_id", "n_bytes", "media").mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary")
+
+
+def media_columns(docs: DataFrame, width: int = WIDTH, level: int = LEVEL) -> DataFrame:
+    """Texts are stored as PNG in a table with a binary column; what is returned is read back from that table."""
+    return read_back(written(stored(docs, width, level), "media"))

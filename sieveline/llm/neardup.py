@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import arrow_rows, checkpointed, join_spread, written
+from sieveline.llm.common import checkpointed, intermediates, join_spread, slices, written
 from sieveline.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -163,11 +163,10 @@ _SKETCH = "doc_id long, n_shingles long, sig1 long, sig2 long, registers binary"
 
 def sketches(docs: DataFrame, words: int = WORDS, bands: int = bands_for(PERCENT), rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, a 128-bit signature of the set and its registers (null without shingles), per row."""
-    arrow_rows(docs.sparkSession)
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, sketch = Shingles(words), SetSketch(bands * rows + MORE)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles.of(x) for x in batch.column(1).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             held: list[bytes | None] = [None] * len(sets)

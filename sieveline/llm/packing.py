@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import arrow_rows, checkpointed
+from sieveline.llm.common import checkpointed, slices
 from sieveline.llm.tokens import CACHE, PreTokens
 
 CAPACITY = 4096
@@ -58,11 +58,10 @@ class PieceIds(PreTokens):
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32."""
-    arrow_rows(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end, names = PieceIds(tokenizer), np.array([end_id], "<u4").tobytes(), ["doc_id", "piece", "start", "length", "ids_crc32"]
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = memoryview(coder.encoded(text) + end)

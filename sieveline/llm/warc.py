@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import arrow_rows, checkpointed, shared_path, written
+from sieveline.llm.common import checkpointed, shared_path, written
 
 MAGIC = b"WARC/1.0\r\n"
 BREAK = "\r\n"
@@ -229,7 +229,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     Raises if a chain breaks off before a file's end or a response's payload has another digest than its header says.
     """
-    arrow_rows(spark)
     found = written(chained(candidates(pieces(spark, path))), "records")
     broken = found.where("parted")
     records = found.where("chain and not parted").select(*_RESULT)

@@ -22,6 +22,36 @@ def test_a_folder_is_found_where_none_is_set(tmp_path):
     assert done.returncode == 0, done.stderr[-1500:]
 
 
+def test_other_masters_need_a_shared_folder():
+    from types import SimpleNamespace as Made
+
+    import pytest
+
+    from sieveline.llm.common import shared_dir
+
+    unset = Made(getCheckpointDir=lambda: Made(isEmpty=lambda: True))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        session = Made(sparkContext=Made(master=master, _jsc=Made(sc=lambda: unset)), conf=Made(get=lambda *_: None))
+        with pytest.raises(RuntimeError, match="checkpoint.dir"):
+            shared_dir(session)
+
+
+def test_settings_come_back_and_tables_go(spark):
+    from pathlib import Path
+
+    from sieveline.llm.common import intermediates, settled, shared_dir, written
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with intermediates(spark):
+        path = Path(written(spark.range(5), "gone").inputFiles()[0].removeprefix("file://")).parent
+        assert path.exists()
+    assert not path.exists() and spark.conf.get(key) == before
+    kept = settled(spark, lambda: written(spark.range(7), "between"), "whole")
+    assert kept.count() == 7
+    assert not list(Path(shared_dir(spark).removeprefix("file://")).glob("sieveline/between-*"))
+
+
 def test_the_set_folder_is_used(spark):
     from sieveline.llm.common import shared_dir, shared_path
 

@@ -61,6 +61,17 @@ def test_hash_is_stable_under_small_changes():
     assert bits(h, media.cosine_hash(near)) <= 4 < 12 < bits(h, media.cosine_hash(far))
 
 
+@pytest.mark.parametrize("height", [1, 3, 31, 32, 50])
+def test_hash_is_that_of_a_plain_transform(height):
+    samples = np.random.default_rng(height).integers(0, 256, (height, 576)).astype(np.uint8)
+    cell = lambda size, k: range(k * size // 32, max((k + 1) * size // 32, k * size // 32 + 1))
+    small = [[np.mean([float(samples[y, x]) for y in cell(height, i) for x in cell(576, j)]) for j in range(32)] for i in range(32)]
+    wave = lambda f, at: np.cos(np.pi / 32 * (at + 0.5) * f)
+    low = [round(sum(small[i][j] * wave(f, i) * wave(g, j) for i in range(32) for j in range(32)), 6) for f in range(8) for g in range(8)]
+    middle = float(np.median(low[1:]))
+    assert media.cosine_hash(samples) == f"{int(''.join(str(int(x > middle)) for x in low), 2):016x}"
+
+
 def test_a_table(spark):
     got = media.media_columns(cases.frame(spark)).collect()
     want = sorted((r[0] if r[0] is not None else -1, hashlib.sha256(media.padded((r[1] or "").encode())).hexdigest()) for r in cases.rows())
