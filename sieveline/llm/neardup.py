@@ -12,11 +12,18 @@ by maximum likelihood over which register is larger, and the likely ones are con
 
 **Search across components.** Links make components. A bucket whose members are then in several components may still
 hold links between members that aren't leaders: there, every member outside the bucket's largest component is compared,
-by its registers, with all members of other components. First only its `BEST` likeliest are confirmed, which brings
-nearly all linked documents together; then all likely pairs that still lie across components are, each in the first
-band that the two share. So the components are those of all links that the bands see; at the similarity of the
-threshold a pair is missed by all bands with probability `MISSED`, under one in a million. Large buckets are
-parted, with the outsiders repeated for each part.
+by its registers, with the members of other components. Of a likely pair nothing is stored but that its two documents
+take part, in the first band that the two share. Those documents meet once more in the same part of the bucket with their
+texts, and an exact join of their full sets (prefixes of the rarest shingles, by size) finds the links between components;
+a pair that other links have joined by then is skipped, so a part returns a forest, never its pairs. So the components are
+those of all links that the bands see; at the similarity of the threshold a pair is missed by all bands with probability
+`MISSED`, under one in a million, and ruled out by its estimate with 3.4e-6 (`SLACK` standard deviations).
+
+Buckets are parted into blocks of members by blocks of outsiders, by number and by size of sets, and a task holds one pair
+of blocks. What is stored is a row for each member and block that it meets: for buckets under `BLOCK` members as many rows
+as members, beyond that as many times more as there are blocks of outsiders. Families of very many documents that all
+lie near the threshold without a link are the dear case: time grows with the square of such a family, rows with the square
+over `BLOCK`.
 
 Nulls and texts without words have empty sets and link with nothing. Rows with a null doc_id are kept unlinked, with a
 null component. Repeated rows of a doc_id are one document. An empty table gives an empty result.
@@ -44,13 +51,12 @@ MORE = 60
 #: The scale of registers: base, rate of the exponential variates, largest value less one.
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 SEED = 7
-#: Standard deviations below the threshold at which an estimate still is a candidate: at first, and in the last search,
-#: whose pairs matter only where a link is the one link between two components.
-SLACK, LAST_SLACK = 4.5, 3.35
-#: Candidates of each outsider in a bucket in the first search across components.
-BEST = 2
-#: Words that a task remembers the hashes of; representatives that a task makes stars of at once; members in a part of a bucket.
-CACHE, CHUNK, PART = 250_000, 20_000, 5_000
+#: Standard deviations below the threshold at which an estimate still is a candidate.
+SLACK = 4.5
+#: Words that a task remembers the hashes of; representatives that a task makes stars of at once.
+CACHE, CHUNK = 250_000, 20_000
+#: Members, and shingles of these, in a block of a bucket.
+BLOCK, BLOCK_SHINGLES = 1_000, 1 << 20
 
 _U = np.uint64
 
@@ -148,9 +154,9 @@ def estimated(na: np.ndarray, nb: np.ndarray, larger: np.ndarray, smaller: np.nd
     return (low + high) / 2
 
 
-def margin(percent: int, m: int, slack: float = SLACK) -> float:
+def margin(percent: int, m: int) -> float:
     s = percent / 100
-    return s - slack * math.sqrt(s * (1 - s) / m)
+    return s - SLACK * math.sqrt(s * (1 - s) / m)
 
 
 def bands_for(percent: int, rows: int = ROWS) -> int:
@@ -278,59 +284,119 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return met.select("a", "b", "t_a", "t_b").mapInArrow(tested, "a long, b long")
 
 
-def across(edges: DataFrame, labels: DataFrame, held: DataFrame, percent: int, bands: int, rows: int, best: int | None) -> DataFrame:
-    """Likely pairs across components within the buckets that hold several.
+def blocks(edges: DataFrame, labels: DataFrame, held: DataFrame) -> DataFrame:
+    """The members of the buckets that hold several components, as (bucket, i, j, doc_id, label, asks, outside, n_shingles).
 
-    With `best`, each outsider's likeliest, as (a, b). Without, all, as a row (bucket, part, doc_id, partners) for every
-    document of a pair in a bucket, where the outsider has the list of its partners: never a row for each pair.
+    Each is in its block i with every block j of outsiders; an outsider also asks, from its block j, every block i.
     """
-    m = bands * rows + MORE
     label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}"))
     told = edges.join(label("a"), "a", "left").join(label("b"), "b", "left").select("bucket", "a", "b", F.coalesce("l_a", "a").alias("l_a"), F.coalesce("l_b", "b").alias("l_b"))
     told = checkpointed(told)
     # A bucket of two is its star's one pair, which has been tested.
     mixed = told.groupBy("bucket").agg(F.count("*").alias("n"), F.max((F.col("l_a") != F.col("l_b")).cast("int")).alias("mixed")).where("mixed = 1 and n > 1")
-    inside = told.join(mixed.select("bucket", "n"), "bucket")
-    members = checkpointed(inside.select("bucket", "n", F.col("a").alias("doc_id"), F.col("l_a").alias("label")).union(inside.select("bucket", "n", "b", "l_b")).distinct())
-    largest = members.groupBy("bucket", "label").agg(F.count("*").alias("size")).groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("most"))
-    joined = members.join(largest, "bucket").join(held.select("doc_id", "n_shingles", "registers"), "doc_id")
-    joined = joined.withColumn("parts", F.ceil(F.col("n") / PART).cast("int")).withColumn("outside", F.col("label") != F.col("most"))
-    own = joined.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("asks", F.lit(False))
-    asking = joined.where("outside").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("asks", F.lit(True))
-    columns = ["bucket", "part", "doc_id", "label", "asks", "outside", "n_shingles", "registers"]
-    least = margin(percent, m, LAST_SLACK if best is None else SLACK)
+    inside = told.join(mixed.select("bucket"), "bucket")
+    members = inside.select("bucket", F.col("a").alias("doc_id"), F.col("l_a").alias("label")).union(inside.select("bucket", "b", "l_b")).distinct()
+    members = checkpointed(members.join(held.select("doc_id", "n_shingles"), "doc_id"))
+    by_label = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("t"))
+    sizes = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max(F.struct("n", "label", "t")).alias("x"), F.sum("n").alias("n"), F.sum("t").alias("t"))
+    parts = lambda n, t: F.greatest(F.ceil(n / BLOCK), F.ceil(t / BLOCK_SHINGLES)).cast("int")
+    sizes = sizes.select("bucket", "most", parts(F.col("n"), F.col("t")).alias("own"), parts(F.col("n") - F.col("x.n"), F.col("t") - F.col("x.t")).alias("asking"))
+    placed = members.join(sizes, "bucket").withColumn("outside", F.col("label") != F.col("most"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
+    own = placed.withColumn("i", one("own", 1)).withColumn("j", every("asking")).withColumn("asks", F.lit(False))
+    asking = placed.where("outside").withColumn("i", every("own")).withColumn("j", one("asking", 2)).withColumn("asks", F.lit(True))
+    columns = ["bucket", "i", "j", "doc_id", "label", "asks", "outside", "n_shingles"]
+    return own.select(columns).union(asking.select(columns))
+
+
+_TAKING_PART = "bucket long, i int, j int, doc_id long, label long, asks boolean, outside boolean"
+
+
+def taking_part(placed: DataFrame, held: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
+    """Of the rows of `blocks`, those whose document is in a likely pair across components that shares no earlier band."""
+    m = bands * rows + MORE
+    least = margin(percent, m)
 
     def searched(group: pd.DataFrame) -> pd.DataFrame:
         asks, outside = group["asks"].to_numpy(bool), group["outside"].to_numpy(bool)
         doc, of, n, bucket = group["doc_id"].to_numpy(), group["label"].to_numpy(), group["n_shingles"].to_numpy(), group["bucket"].iloc[0]
         registers = np.frombuffer(b"".join(group["registers"]), np.uint16).reshape(len(group), m)
-        keys = band_keys(registers, bands, rows) if best is None else None
+        keys = band_keys(registers, bands, rows)
         own = np.flatnonzero(~asks)
-        found: dict[int, np.ndarray] = {}
+        taken = np.zeros(len(group), bool)
         for i in np.flatnonzero(asks).tolist():
             # Two outsiders are met from the smaller one only.
             at = own[(of[own] != of[i]) & (np.minimum(n[own], n[i]) * 100 >= np.maximum(n[own], n[i]) * percent) & (~outside[own] | (doc[own] > doc[i]))]
-            if best is None and len(at):
+            if len(at):
                 at = at[keys[i][(keys[at] == keys[i]).argmax(1)] == bucket]
             if len(at):
                 larger, smaller = (registers[i] > registers[at]).sum(1), (registers[i] < registers[at]).sum(1)
-                s = estimated(np.full(len(at), n[i]), n[at], larger, smaller, m)
-                if best is not None and len(at) > best:
-                    top = np.argpartition(-s, best)[:best]
-                    at, s = at[top], s[top]
-                if len(at := at[s >= least]):
-                    found[i] = doc[at]
-        if best is not None:
-            pairs = [(min(doc[i], x), max(doc[i], x)) for i, partners in found.items() for x in partners.tolist()]
-            return pd.DataFrame(pairs, columns=["a", "b"], dtype=np.int64)
-        partners = {int(doc[i]): x.tolist() for i, x in found.items()}
-        docs = sorted({*partners, *(x for listed in partners.values() for x in listed)})
-        return pd.DataFrame({"bucket": bucket, "part": group["part"].iloc[0], "doc_id": np.array(docs, np.int64), "partners": pd.Series([partners.get(x, []) for x in docs], dtype=object)})
-
-    grouped = own.select(columns).union(asking.select(columns)).groupBy("bucket", "part")
-    if best is not None:
-        return grouped.applyInPandas(searched, "a long, b long").distinct()
-    return grouped.applyInPandas(searched, "bucket long, part int, doc_id long, partners array<long>")
+                at = at[estimated(np.full(len(at), n[i]), n[at], larger, smaller, m) >= least]
+                taken[at] = True
+                taken[i] |= len(at) > 0
+        return group.loc[taken, [x.split()[0] for x in _TAKING_PART.split(", ")]]
+
+    return placed.join(held.select("doc_id", "registers"), "doc_id").groupBy("bucket", "i", "j").applyInPandas(searched, _TAKING_PART)
+
+
+class Joined:
+    """Components by their least members; `join` says whether two were apart."""
+
+    def __init__(self, labels: np.ndarray):
+        self.parent = np.unique(labels, return_inverse=True)[1].tolist()
+        self.up = list(range(max(self.parent, default=-1) + 1))
+
+    def root(self, i: int) -> int:
+        x = self.parent[i]
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        self.parent[i] = x
+        return x
+
+    def join(self, i: int, k: int) -> bool:
+        x, y = self.root(i), self.root(k)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def exact_links(sets: list[np.ndarray], labels: np.ndarray, percent: int, meets: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between sets of different labels, as few as join all that are similar enough.
+
+    Sets so similar share one of the rarest elements of each, as many as the smaller may lack and one more. Sets come by
+    size; each asks an index of such elements of the smaller ones before it. With `meets` (asks, owns: a row of each) only
+    pairs of one that asks and one that owns count.
+    """
+    size = np.array([len(x) for x in sets])
+    order = np.argsort(size, kind="stable")
+    sets, size, labels = [sets[i] for i in order], size[order], labels[order]
+    groups = Joined(labels)
+    element, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(element), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(element))
+    owner = np.repeat(np.arange(len(sets)), size)
+    key = np.sort((owner << 32) | rank[place])  # by set, rarest first
+    rank, at = key & 0xFFFFFFFF, np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+    held = at <= (size - (2 * percent * size + 99 + percent) // (100 + percent))[owner]
+    asked = at <= (size - (percent * size + 99) // 100)[owner]
+    by = np.argsort(rank[held], kind="stable")
+    index_rank, index_set = rank[held][by], owner[held][by]
+    low, high = np.searchsorted(index_rank, rank[asked], "left"), np.searchsorted(index_rank, rank[asked], "right")
+    ends = np.cumsum(np.bincount(owner[asked], minlength=len(sets)))
+    links = []
+    for y, (a, b) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)):
+        found = [index_set[p:q] for p, q in zip(low[a:b].tolist(), high[a:b].tolist(), strict=True) if q > p]
+        near = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        near = near[(near < y) & (size[near] * 100 >= size[y] * percent)]
+        if meets is not None and len(near):
+            asks, owns = meets[:, order[near]]
+            near = near[(asks & meets[1, order[y]]) | (owns & meets[0, order[y]])]
+        for x in near.tolist():
+            if groups.root(x) != groups.root(y):
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if both and 100 * both >= percent * (size[x] + size[y] - both) and groups.join(x, y):
+                    links.append((int(order[x]), int(order[y])))
+    return links
 
 
 def needed_texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -340,48 +406,43 @@ def needed_texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return written(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
 
-def confirmed_within(listed: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of `listed` (bucket, part, doc_id, partners) whose full sets are similar enough, part by part."""
-    listed = checkpointed(listed)
-    texts = needed_texts(checkpointed(listed.select("doc_id").distinct()), docs)
+def confirmed_within(taking: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) across components among the documents of `taking` that meet in a pair of blocks."""
+    taking = checkpointed(taking)
+    texts = needed_texts(checkpointed(taking.select("doc_id").distinct()), docs)
 
     def tested(group: pd.DataFrame) -> pd.DataFrame:
-        shingles, text, sets = Shingles(words), dict(zip(group["doc_id"], group["text"], strict=True)), {}
+        shingles = Shingles(words)
+        asks = group.groupby("doc_id")["asks"]
+        meets = np.array([asks.max().to_numpy(bool), ~asks.min().to_numpy(bool)])
+        one = group.drop_duplicates("doc_id").sort_values("doc_id")
+        doc = one["doc_id"].to_numpy()
+        links = exact_links([shingles.of(x) for x in one["text"]], one["label"].to_numpy(), percent, meets)
+        return pd.DataFrame([(min(doc[i], doc[k]), max(doc[i], doc[k])) for i, k in links], columns=["a", "b"], dtype=np.int64)
 
-        def of(x: int) -> np.ndarray:
-            if x not in sets:
-                sets[x] = shingles.of(text[x])
-            return sets[x]
+    return taking.join(texts, "doc_id").select("bucket", "i", "j", "doc_id", "label", "asks", "text").groupBy("bucket", "i", "j").applyInPandas(tested, "a long, b long")
 
-        kept = []
-        for x, partners in zip(group["doc_id"], group["partners"], strict=True):
-            for y in partners:
-                both = len(np.intersect1d(of(x), of(y), assume_unique=True))
-                if both and 100 * both >= percent * (len(of(x)) + len(of(y)) - both):
-                    kept.append((min(x, y), max(x, y)))
-        return pd.DataFrame(kept, columns=["a", "b"], dtype=np.int64)
 
-    return listed.join(texts, "doc_id").select("bucket", "part", "doc_id", "partners", "text").groupBy("bucket", "part").applyInPandas(tested, "a long, b long")
+def all_links(held: DataFrame, docs: DataFrame, words: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """Links (a, b) whose components are those of all links between the representatives `held`."""
+    m = bands * rows + MORE
+    edges = written(stars(held, bands, rows), "stars")
+    pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = checkpointed(confirmed(checkpointed(likely(pairs, held, percent, m)), docs, words, percent))
+    placed = blocks(edges, checkpointed(components(links)), held)
+    return checkpointed(links.union(confirmed_within(taking_part(placed, held, percent, bands, rows), docs, words, percent)))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs` (doc_id, text)."""
     bands = bands_for(percent, rows)
-    m = bands * rows + MORE
     drawn = written(sketches(docs, words, bands, rows), "sketches")
     sets = drawn.where("doc_id is not null and n_shingles > 0")
     equal = checkpointed(sets.groupBy("n_shingles", "sig1", "sig2").agg(F.min("doc_id").alias("class"), F.count("*").alias("n")).where("n > 1").select(F.struct("n_shingles", "sig1", "sig2").alias("sig"), "class"))
     named = join_spread(sets.withColumn("sig", F.struct("n_shingles", "sig1", "sig2")), equal, "sig", ["doc_id"]).withColumn("class", F.coalesce("class", "doc_id"))
     held = written(named.where("class = doc_id").select("doc_id", "n_shingles", "registers"), "classes").dropDuplicates(["doc_id"])
-    edges = written(stars(held, bands, rows), "stars")
-    ordered = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tested = checkpointed(likely(ordered(edges), held, percent, m))
-    links = checkpointed(confirmed(tested, docs, words, percent))
-    more = checkpointed(across(edges, checkpointed(components(links)), held, percent, bands, rows, BEST).join(tested, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = checkpointed(links.union(confirmed(more, docs, words, percent)))
-    rest = across(edges, checkpointed(components(links)), held, percent, bands, rows, None)
-    links = checkpointed(links.union(confirmed_within(rest, docs, words, percent)))
+    with intermediates(docs.sparkSession):
+        links = all_links(held, docs, words, percent, bands, rows)
     labels = components(links).select(F.col("node").alias("class"), "label")
     classes = named.select("doc_id", "class").where("class <> doc_id").distinct()
     member = classes.join(labels, "class", "left").select("doc_id", F.coalesce("label", "class").alias("component_id"))

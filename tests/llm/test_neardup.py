@@ -57,7 +57,7 @@ def test_groups_are_those_of_brute_force(spark, words, percent):
 
 
 def test_chains_and_parted_buckets(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "PART", 8)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
     monkeypatch.setattr(neardup, "CHUNK", 50)
     words = [f"w{k}" for k in range(400)]
     rows = [(1000 - i, " ".join(words[i * 3 : i * 3 + 60])) for i in range(60)] + [(2000 + i, x) for i, x in enumerate(copies(80, 60, 7, 5))]
@@ -65,6 +65,70 @@ def test_chains_and_parted_buckets(spark, monkeypatch):
     assert got(neardup.near_duplicates(frame, 4, 80)) == brute(rows, 4, 80)
 
 
+def family(n, core=600, tail=76):
+    """Documents that share a passage and lie just under the threshold, so that nothing is linked."""
+    shared = " ".join(f"core{k}" for k in range(core))
+    return [(i, shared + " " + " ".join(f"t{i}x{k}" for k in range(tail))) for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [100, 200, 400])
+def test_what_is_stored_of_a_family_near_the_threshold(spark, monkeypatch, n):
+    stored = []
+
+    def counted(frame):
+        """Rows, and elements of arrays in them."""
+        frame = kept(frame)
+        lists = [c for c, kind in frame.dtypes if kind.startswith("array")]
+        stored.append(frame.count() + sum(frame.selectExpr(f"sum(size(`{c}`))").first()[0] or 0 for c in lists))
+        return frame
+
+    kept = neardup.checkpointed
+    monkeypatch.setattr(neardup, "checkpointed", counted)
+    monkeypatch.setattr(neardup, "BLOCK", 60)
+    monkeypatch.setattr(neardup, "written", lambda df, label, w=neardup.written: stored.append((frame := w(df, label)).count()) or frame)
+    rows = family(n)
+    assert got(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80)) == {i: (673, i) for i, _ in rows}
+    assert max(stored) <= n * neardup.bands_for(80) * -(-n // 60)  # a row for each block that a member meets
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_exact_links_join_what_brute_force_joins(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(40):
+        base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+        sets = [np.unique(np.r_[rng.choice(base, rng.integers(20, 60), replace=False), rng.integers(0, 2**63, rng.integers(0, 15), dtype=np.uint64)]) for _ in range(40)]
+        labels = rng.integers(0, 30, 40)
+        meets = rng.random((2, 40)) < 0.7
+        for roles in (None, meets):
+            want, found = neardup.Joined(labels), neardup.Joined(labels)
+            for i in range(40):
+                for k in range(i):
+                    both = len(np.intersect1d(sets[i], sets[k]))
+                    met = roles is None or roles[0, i] & roles[1, k] | roles[0, k] & roles[1, i]
+                    if met and 100 * both >= percent * (len(sets[i]) + len(sets[k]) - both):
+                        want.join(i, k)
+            links = neardup.exact_links(sets, labels, percent, roles)
+            assert all(found.join(i, k) for i, k in links)  # none is needless
+            same = lambda x: [x.root(i) == x.root(k) for i in range(40) for k in range(i)]
+            assert same(found) == same(want)
+
+
+def test_links_that_no_star_has(spark, monkeypatch):
+    """Groups of which most pairs are a little under the threshold and few over it, in blocks smaller than they are."""
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    rng = np.random.default_rng(9)
+    core = [f"c{k}" for k in range(100)]
+    rows = []
+    for i in range(150):
+        tail = [f"t{i // 2 if i % 10 < 4 else 1000 + i}x{k}" for k in range(14)]
+        at = sorted(rng.choice(14, 2, replace=False))
+        for k in at:
+            tail[k] = f"y{i}"
+        rows.append((i, " ".join(core + tail)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert got(neardup.near_duplicates(frame, 4, 80)) == brute(rows, 4, 80)
+
+
 def test_cases(spark):
     found = neardup.near_duplicates(cases.frame(spark)).collect()
     assert len(found) == len(cases.rows())
