@@ -1,19 +1,24 @@
 """Language-model scoring with a log-frequency Bloom filter of quantised bigram counts.
 
-**Counts.** Words are counted over all training texts (partial counts in each task, then a shuffled sum); a text ends
-in one end token. The commonest words, at most `HEAD`, are broadcast with their counts; the others' counts stay a table
-and reach the texts by a shuffled join. So common words never meet in one task, and what is broadcast is bounded.
+**Tokens.** Words (runs of bytes other than white space, A-Z in lower case) are known by 64-bit hashes, which are made for
+whole batches of text at once: a word's bytes, each a random number, are a polynomial's coefficients, so all words' values
+come from one running sum. A text ends in one end token; what comes before its first word is an end token as well.
+
+**Counts.** One pass over the training texts counts words and bigrams within each task and deals them to parts by their
+hashes, as blobs of bytes; a part's blobs are merged into exact counts. A common word comes at most once from each chunk of a
+task, so it makes no large group. The commonest words, at most `HEAD`, are broadcast with their counts; all words' exact
+counts stay a table, which rarer words of a text reach by a shuffled join (for the base score and n_known).
 
 **Model.** A bigram model of all words: P(word | word before) is a Dirichlet mixture of bigram counts and unigram shares.
-A bigram, named by a hash of its two words' hashes, has its count c quantised to q = 1 + floor(log_b c); the filter holds
-(bigram, 1) ... (bigram, q), and the largest j that is still a member gives the count back, to the middle of its interval.
-The filter holds all words' own counts as well, for those that aren't broadcast. A factor for each broadcast first word
-scales its bigrams to its true total, one more the shares of the other words to theirs. The counts of other first words
-are small, where quantisation is exact or nearly so; they go unscaled.
+A bigram's count c is quantised to a level q, one of the two around it: a hash of the bigram draws which, so that the level
+stands for c in the mean, and sums over bigrams come out right. Levels are a fifth apart. The filter holds (bigram, 1)
+... (bigram, q), and the largest j up to which all are members gives the count back. It holds the words' own counts as
+well, for those that aren't broadcast.
 
-**Filter.** Its size follows from the counted levels, `LEVEL_BITS` bits each, so that it is a member by mistake in 0.9 percent
-of questions, at every input's size. Its parts are built by groups of events and broadcast in slices of `SLICE_BITS` at
-most. A task asks one slice after the other, so its memory is bounded and nothing is cut.
+**Filter.** Its size follows from the counted levels, `LEVEL_BITS` bits each, so that it is a member by mistake in 0.1
+percent of questions, at every input's size. It is built by parts and broadcast in slices of `SLICE_BITS` at most. A task
+asks one slice after the other, so its memory is bounded and nothing is cut; the more slices there are, the more text (up to
+`GATHERED` bytes) it gathers before it asks them.
 
 Null text is empty (its end token alone). A null doc_id is trained on, and kept. Repeated rows are scored each. With
 nothing to train on, every token is unseen. An empty table gives an empty result.
@@ -23,8 +28,6 @@ from __future__ import annotations
 
 import math
 import pickle
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,37 +36,104 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import arrow_rows, written
+from sieveline.llm.common import written
 
 HEAD = 1 << 18
-PARTS, PROBES = 256, 2
-#: Bits of the filter for each level that it holds: (1 - exp(-2 / 20)) ** 2 is 0.009. Bits that are broadcast at once.
-LEVEL_BITS, SLICE_BITS = 20, 1 << 28
-#: Base of the quantisation, weight of the class unigrams, and what is added to unigram counts.
-QUANTUM, PRIOR, ADDED = 1.5, 300.0, 0.1
-#: Distinct words or bigrams that a task counts before it passes them on.
-FLUSH = 1_000_000
+#: Parts of the filter at least; bytes of training text for each, where that makes more.
+PARTS, PART_BYTES = 256, 1 << 22
+#: Bits of the filter for each level that it holds, and probes: (1 - exp(-4 / 20)) ** 4 is 0.0011. Bits that are broadcast at once.
+LEVEL_BITS, PROBES, SLICE_BITS = 20, 4, 1 << 28
+#: Weight of the unigrams, and what is added to unigram counts.
+PRIOR, ADDED = 300.0, 0.1
+#: What the levels stand for: whole numbers, each the next or a fifth more than the one before.
+QUANTUM = 1.2
+LEVELS = np.unique(np.concatenate([[0.0], np.ceil(QUANTUM ** np.arange(220) - 1e-9)]))
+#: Tokens that a task counts before it passes them on.
+FLUSH = 1 << 21
 #: Steps of the histogram by which the least count of the broadcast words is found, to a factor of e.
 STEPS = 64
-#: Bytes of text for which a task asks all slices in turn, where there are several.
-GATHERED = 1 << 22
-#: Tokens for each part of the filter, where that makes more than `PARTS`.
-PART_TOKENS = 1 << 19
+#: Bytes of text that a task scores at once: with one slice, for each further slice, and at most.
+SCORED, GATHERED = 1 << 22, 1 << 25
+#: Bytes of text that are hashed in one sum.
+SPAN = 1 << 20
 
 # The end token can't be a word, as it has white space in it.
 END_WORD = b" "
 _U = np.uint64
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C17
 
 
-def words(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
-
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
-def word_hash(word: bytes) -> int:
-    import xxhash
 
-    h = xxhash.xxh3_64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+class WordHashes:
+    """Hashes of the words of texts: sums of random numbers, one for each byte, times powers of an odd base, modulo 2**64."""
+
+    def __init__(self, span: int = SPAN):
+        self.span = span
+        self.byte = _mixed(np.arange(1, 257).astype(_U) * _U(0xD1B54A32D192ED03)) | _U(1)
+        self.byte[_SPACE] = 0
+        self.power, self.inverse = (self._powers(x) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+    def _powers(self, base: int) -> np.ndarray:
+        out, k = np.ones(self.span, _U), 1
+        while k < self.span:
+            n = min(k, self.span - k)
+            out[k : k + n] = out[:n] * _U(pow(base, k, 1 << 64))
+            k += n
+        return out
+
+    def _spans(self, data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool, bool]]:
+        """Sums, starts and lengths of the words' parts in each span of the data; whether its first and last byte are in words."""
+        for at in range(0, len(data), self.span):
+            b = np.frombuffer(data, np.uint8, min(self.span, len(data) - at), at)
+            inside = ~_SPACE[b]
+            edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+            edges = np.concatenate([[0] if inside[0] else [], edges, [len(b)] if inside[-1] else []]).astype(np.int64)
+            start, end = edges[::2], edges[1::2]
+            sums = self.byte[b]
+            sums *= self.power[: len(b)]
+            sums = np.concatenate([np.zeros(1, _U), np.cumsum(sums, dtype=_U)])
+            yield (sums[end] - sums[start]) * self.inverse[start], start + at, end - start, bool(inside[0]), bool(inside[-1])
+
+    def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' hashes, one text after the other, and how many words each text has."""
+        data = b"\n".join(x or b"" for x in texts).lower()
+        hashes, starts = [np.empty(0, _U)], [np.empty(0, np.int64)]
+        length, opened = 0, False  # bytes of the last word so far; whether it may go on
+        for h, start, size, first, last in self._spans(data):
+            if opened and first:  # what lies in this span is added behind what lay before
+                hashes[-1][-1:] += h[:1] * _U(pow(_BASE, length, 1 << 64))
+                length, h, start, size = (length + int(size[0]) if len(h) == 1 else 0), h[1:], start[1:], size[1:]
+            if len(h):
+                hashes.append(h)
+                starts.append(start)
+                length = int(size[-1])
+            opened = last
+        ends = np.cumsum([len(x or b"") + 1 for x in texts])
+        before = np.searchsorted(np.concatenate(starts), np.concatenate([[0], ends]).astype(np.int64))
+        return _mixed(np.concatenate(hashes)), np.diff(before)
+
+    def tokens(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens' hashes, an end token after each text, and how many tokens each text has."""
+        words, n = self.of(texts)
+        out = np.full(len(words) + len(texts), word_hash(END_WORD), _U)
+        keep = np.ones(len(out), bool)
+        keep[np.cumsum(n + 1) - 1] = False
+        out[keep] = words
+        return out, n + 1
+
+
+def word_hash(word: bytes) -> np.uint64:
+    """The hash of one word, or of the end token."""
+    if word == END_WORD:
+        return _U(0x5D1E1E4B5D1E1E4B)
+    return WordHashes(max(1, len(word))).of([word])[0][0]
 
 
 def held_out(modulus: int = 10, remainder: int = 0) -> Column:
@@ -71,270 +141,210 @@ def held_out(modulus: int = 10, remainder: int = 0) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+#: Bytes of an event's name. Two events meet by chance far more rarely than the filter errs.
+EVENT_BYTES = 6
+
+
+def pair_events(tokens: np.ndarray) -> np.ndarray:
+    """Names of the bigrams that end in each of the tokens; before the first there is an end token."""
+    before = np.concatenate([np.array([word_hash(END_WORD)], _U), tokens[:-1]])
+    return _mixed(_mixed(before + _U(0x9E3779B97F4A7C15)) * _U(3) + tokens) >> _U(64 - 8 * EVENT_BYTES)
+
+
+def word_events(hashes: np.ndarray) -> np.ndarray:
+    """Names of words among the bigrams."""
+    return _mixed(hashes ^ _U(0xD1B54A32D192ED03)) >> _U(64 - 8 * EVENT_BYTES)
+
+
+def part_of(events: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the filter, by an event's highest bits: sorted events are sorted by part. `parts` is a power of two."""
+    return (events >> _U(8 * EVENT_BYTES - parts.bit_length() + 1)).astype(np.int64)
 
 
 class LogFrequencyFilter:
-    """Bits in `parts` parts, a slice of all `of` from `first` on; all that is asked of an event lies in one part."""
+    """Bits of `n` parts from `first` on, of `parts` in all; all that is asked of an event lies in one part."""
 
-    def __init__(self, bits: np.ndarray, quantum: float = QUANTUM, probes: int = PROBES, parts: int = PARTS, first: int = 0, of: int | None = None):
-        self.bits, self.quantum, self.probes, self.first, self.of = bits, quantum, probes, first, of or parts
-        self.part_bits = len(bits) * 8 // parts
+    def __init__(self, bits: np.ndarray, parts: int = PARTS, first: int = 0, n: int | None = None):
+        self.bits, self.parts, self.first = bits, parts, first
+        self.part_bits = len(bits) * 8 // (n or parts)
 
     @staticmethod
-    def part(events: np.ndarray, parts: int = PARTS) -> np.ndarray:
-        return (_mixed(events.astype(np.uint64) + _U(1)) >> _U(40)) % _U(parts)
+    def middle(q: np.ndarray) -> np.ndarray:
+        """The counts that levels stand for; 0 for 0."""
+        return LEVELS[q]
 
     @staticmethod
-    def quantised(counts: np.ndarray, quantum: float = QUANTUM) -> np.ndarray:
-        return 1 + np.floor(np.log(counts) / math.log(quantum) + 1e-9).astype(np.int64)
-
-    def middle(self, q: np.ndarray) -> np.ndarray:
-        """The middle of the counts that are quantised to q; 0 for 0."""
-        low, high = np.ceil(self.quantum ** (q - 1.0) - 1e-6), np.ceil(self.quantum ** (q + 0.0) - 1e-6) - 1
-        return np.where(q > 0, (low + np.maximum(low, high)) / 2, 0.0)
+    def quantised(counts: np.ndarray, events: np.ndarray) -> np.ndarray:
+        """A level for each count from 1: of the two around it, drawn by the event's hash so that it is the count in the mean."""
+        q = np.searchsorted(LEVELS, counts, side="right") - 1
+        low, high = LEVELS[q], LEVELS[np.minimum(q + 1, len(LEVELS) - 1)]
+        chance = np.where(high > low, (counts - low) / np.maximum(high - low, 1e-9), 0.0)
+        return q + ((_mixed(events + _U(0x2545F4914F6CDD1D)) >> _U(11)).astype(np.float64) * 2.0**-53 < chance)
 
     @staticmethod
     def places(events: np.ndarray, level: int, probe: int, part_bits: int) -> np.ndarray:
-        salted = events.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + _U((level * 2 + probe + 1) * 0xD1B54A32D192ED03 % (1 << 64))
+        salted = events * _U(0x9E3779B97F4A7C15) + _U((level * PROBES + probe + 1) * 0xD1B54A32D192ED03 % (1 << 64))
         return _mixed(salted) % _U(part_bits)
 
     @classmethod
-    def build_part(cls, events: np.ndarray, q: np.ndarray, part_bits: int, probes: int = PROBES) -> np.ndarray:
+    def build_part(cls, events: np.ndarray, q: np.ndarray, part_bits: int) -> np.ndarray:
         flags = np.zeros(part_bits, np.uint8)
         for level in range(1, int(q.max(initial=0)) + 1):
-            held = events[q >= level]
-            for probe in range(probes):
-                flags[cls.places(held, level, probe, part_bits)] = 1
+            events, q = events[q >= level], q[q >= level]
+            for probe in range(PROBES):
+                flags[cls.places(events, level, probe, part_bits)] = 1
         return np.packbits(flags)
 
     def levels(self, events: np.ndarray) -> np.ndarray:
         """The largest level up to which all are members: repeated probes, of those still in."""
         q = np.zeros(len(events), np.int64)
-        at, start = np.arange(len(events)), (self.part(events, self.of) - _U(self.first)) * _U(self.part_bits)
+        at, start = np.arange(len(events)), (part_of(events, self.parts) - self.first).astype(_U) * _U(self.part_bits)
         level = 0
         while len(at):
             level += 1
-            inside = np.ones(len(at), bool)
-            for probe in range(self.probes):
-                place = start[at] + self.places(events[at], level, probe, self.part_bits)
-                inside &= (self.bits[place >> _U(3)] >> (_U(7) - (place & _U(7))).astype(np.uint8) & 1).astype(bool)
-            at = at[inside]
+            for probe in range(PROBES):
+                place = start + self.places(events, level, probe, self.part_bits)
+                inside = (self.bits[place >> _U(3)] >> (_U(7) - (place & _U(7))).astype(np.uint8) & 1).astype(bool)
+                at, start, events = at[inside], start[inside], events[inside]
             q[at] = level
         return q
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """h (the word's hash), c: of all words and the end token."""
+def packed(values: np.ndarray, width: int) -> np.ndarray:
+    """Whole numbers in so many bytes each, a row for each."""
+    return np.ascontiguousarray(values).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
 
-        def out() -> pa.RecordBatch:
-            h = np.fromiter(map(word_hash, seen), np.int64, len(seen))
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.fromiter(seen.values(), np.int64, len(seen)))], ["h", "c"])
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(words(text))
-            seen[END_WORD] += batch.num_rows
-            if len(seen) > FLUSH:
-                yield out()
-                seen.clear()
-        if seen:
-            yield out()
-
-    return train.select("text").mapInArrow(counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-class Head:
-    """The commonest words by rank, with their counts; `rank` gives -1 for the rest."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        order = np.lexsort((hashes, -counts))
-        self.counts = counts[order]
-        by = np.argsort(hashes[order], kind="stable")
-        self.hashes, self.ranks = hashes[order][by], by
-
-    def rank(self, h: int) -> int:
-        i = int(np.searchsorted(self.hashes, h))
-        return int(self.ranks[i]) if i < len(self.hashes) and self.hashes[i] == h else -1
-
-
-class Words(dict):
-    """Word to its place in the lists of hashes and ranks, remembered."""
-
-    def __init__(self, head: Head):
-        super().__init__()
-        self.head, self.hashes, self.ranks = head, array("q"), array("q")
-
-    def __missing__(self, word: bytes) -> int:
-        h = word_hash(word)
-        self[word] = at = len(self.hashes)
-        self.hashes.append(h), self.ranks.append(self.head.rank(h))
-        return at
-
-    def of(self, listed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and ranks."""
-        if len(self) > FLUSH:
-            self.clear()
-            self.hashes, self.ranks = array("q"), array("q")
-        if not listed:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        at = np.fromiter(map(self.__getitem__, listed), np.int64, len(listed))
-        return np.frombuffer(self.hashes, np.int64)[at], np.frombuffer(self.ranks, np.int64)[at]
-
-
-def head_words(counts: DataFrame, most: int) -> Head:
-    """The words over a least count that leaves at most `most` of them; it is found from a histogram of logarithms."""
-    step = F.floor(F.log(F.col("c").cast("double")) * STEPS)
-    rest = counts.where(F.col("h") != word_hash(END_WORD))
-    histogram = sorted(((r["step"], r["n"]) for r in rest.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    total, least = 0, None
-    for at, n in histogram:
-        if total + n > most:
-            break
-        total, least = total + n, at
-    if least is None:
-        return Head(np.empty(0, np.int64), np.empty(0, np.int64))
-    rows = rest.where(step >= least).select("h", "c").toArrow()
-    return Head(rows["h"].to_numpy(), rows["c"].to_numpy())
+def unpacked(data: list[bytes], width: int) -> np.ndarray:
+    rows = np.frombuffer(b"".join(data), np.uint8).reshape(-1, width)
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, :width] = rows
+    return out.reshape(-1).view("<u8")
 
 
-def classes_of(ranks: np.ndarray, classes: int) -> np.ndarray:
-    """Class numbers: 0 the rest, 1 the end and, before the first word, the start; then by rank."""
-    return np.where((ranks >= 0) & (ranks < classes), ranks + 2, 0)
+def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Equal keys in one, in order, with the sums of their counts (1 each, if none are given)."""
+    if not len(keys):
+        return keys, np.empty(0, np.int64)
+    if counts is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[at], np.diff(np.append(at, len(keys))) if counts is None else np.add.reduceat(counts, at)
 
 
-#: Bytes of an event and of a class number. Two events meet by chance far more rarely than the filter errs.
-EVENT_BYTES, CLASS_BYTES = 6, 3
+#: `words`: whether the keys are 8-byte hashes of words, else 6-byte names of bigrams; counts have 4 bytes.
+BLOBS = "part long, words boolean, keys binary, counts binary"
 
 
-def pair_events(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Names of bigrams, of the hashes of their words."""
-    mixed = _mixed(_mixed(first.astype(np.uint64) + _U(0x9E3779B97F4A7C15)) * _U(3) + second.astype(np.uint64))
-    return (mixed >> _U(64 - 8 * EVENT_BYTES)).astype(np.int64)
+def dealt(keys: np.ndarray, counts: np.ndarray, words: bool, parts: int) -> pa.RecordBatch:
+    """A row for each part of the filter, its keys in bytes: rows of a table would cost more than what they hold."""
+    part = part_of(word_events(keys) if words else keys, parts)
+    if words:
+        order = np.argsort(part, kind="stable")
+        keys, counts, part = keys[order], counts[order], part[order]
+    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else part
+    ends = [*at[1:].tolist(), len(keys)]
+    columns = [[rows[a:b].tobytes() for a, b in zip(at.tolist(), ends, strict=False)] for rows in (packed(keys, 8 if words else EVENT_BYTES), packed(counts, 4))]
+    return pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array([words] * len(at), pa.bool_()), *(pa.array(x, pa.binary()) for x in columns)], ["part", "words", "keys", "counts"])
 
 
-def word_events(hashes: np.ndarray) -> np.ndarray:
-    """Names of words among the bigrams."""
-    return (_mixed(hashes.astype(np.uint64) ^ _U(0xD1B54A32D192ED03)) >> _U(64 - 8 * EVENT_BYTES)).astype(np.int64)
+def counted(train: DataFrame, parts: int) -> DataFrame:
+    """`BLOBS` of the words and bigrams of `train` (text: bytes), summed within chunks of `FLUSH` tokens."""
 
+    def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = WordHashes(), [], 0
 
-def packed(values: np.ndarray, width: int) -> bytes:
-    """Whole numbers in so many bytes each."""
-    return values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
+        def out() -> Iterator[pa.RecordBatch]:
+            tokens = np.concatenate(held)
+            held.clear()
+            yield dealt(*summed(pair_events(tokens)), False, parts)
+            yield dealt(*summed(tokens), True, parts)
+
+        for table in gathered(batches, SCORED):
+            held.append(hashes.tokens(table.column(0).to_pylist())[0])
+            size += len(held[-1])
+            if size >= FLUSH:
+                yield from out()
+                size = 0
+        if held:
+            yield from out()
 
-def unpacked(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.reshape(-1).view("<i8")
+    return train.select("text").mapInArrow(counting, BLOBS)
 
 
-def summed(e: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Equal events in one, in order."""
-    order = np.argsort(e)
-    e, first, n = e[order], first[order], n[order]
-    at = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]])) if len(e) else order
-    return e[at], first[at], np.add.reduceat(n, at) if len(at) else n
+MERGED = "part long, words binary, word_counts binary, events binary, q binary, total long, n_words long, levels long"
 
 
-BLOBS = "part long, e binary, first binary, c binary"
+def merged(blobs: DataFrame) -> DataFrame:
+    """A row for each part: its words' hashes and counts, its events (words' own among them) and their levels, and sums of these."""
 
+    def merging(table: pa.Table) -> pa.Table:
+        own = np.array(table.column("words").to_pylist(), bool)
+        keys, counts = (table.column(c).to_pylist() for c in ("keys", "counts"))
+        pick = lambda x, which: [v for v, w in zip(x, own.tolist(), strict=True) if w == which]
+        words, n = summed(unpacked(pick(keys, True), 8), unpacked(pick(counts, True), 4).astype(np.int64))
+        events, c = summed(unpacked(pick(keys, False), EVENT_BYTES), unpacked(pick(counts, False), 4).astype(np.int64))
+        events, c = np.concatenate([events, word_events(words)]), np.concatenate([c, n])
+        q = LogFrequencyFilter.quantised(c, events)
+        row = [int(table.column("part")[0].as_py()), words.tobytes(), n.tobytes(), packed(events, EVENT_BYTES).tobytes(), q.astype(np.uint8).tobytes(), int(n.sum()), len(words), int(q.sum())]
+        kinds = [pa.int64(), *[pa.binary()] * 4, *[pa.int64()] * 3]
+        return pa.Table.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [x.split()[0] for x in MERGED.split(", ")])
 
-def dealt(e: np.ndarray, first: np.ndarray, n: np.ndarray, parts: int) -> pa.RecordBatch:
-    """A row per part of the filter, its events in bytes: rows of a table would cost more than what they hold."""
-    part = LogFrequencyFilter.part(e, parts).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    e, first, n, part = e[order], first[order], n[order], part[order]
-    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    columns = [[packed(x[a:b], w) for a, b in zip(at.tolist(), [*at[1:].tolist(), len(e)], strict=True)] for x, w in ((e, EVENT_BYTES), (first, CLASS_BYTES), (n, 8))]
-    return pa.RecordBatch.from_arrays([pa.array(part[at]), *(pa.array(x, pa.binary()) for x in columns)], ["part", "e", "first", "c"])
+    return blobs.groupBy("part").applyInArrow(merging, MERGED)
 
 
-def bigram_counts(train: DataFrame, head, classes: int, parts: int) -> DataFrame:
-    """`BLOBS` of bigrams: their names, classes of the first words, counts in some of the training texts."""
+def words_of(parts: DataFrame) -> DataFrame:
+    """h (the word's hash) and c of all words and the end token."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words(pickle.loads(head.value))
-        end = np.array([word_hash(END_WORD)])
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, np.int64)), pa.array(np.frombuffer(c, np.int64))], ["h", "c"])
 
-        def out() -> pa.RecordBatch:
-            e, first = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            return dealt(*summed(e, first, np.ones(len(e), np.int64)), parts)
+    return parts.select("words", "word_counts").mapInArrow(listed, "h long, c long")
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                h, r = known.of(words(text))
-                held.append((pair_events(np.concatenate([end, h]), np.concatenate([h, end])), np.concatenate([[1], classes_of(r, classes)])))
-                size += len(h) + 1
-                if size > 2 * FLUSH:
-                    yield out()
-                    size = 0
-        if held:
-            yield out()
 
-    return train.select("text").mapInArrow(counted, BLOBS)
+def head_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the words over a least count that leaves at most `most` of them; it is found from a histogram of logarithms."""
+    step = F.floor(F.log(F.col("c").cast("double")) * STEPS)
+    histogram = sorted(((r["step"], r["n"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    total, least = 0, None
+    for at, n in histogram:
+        if total + n > most:
+            break
+        total, least = total + n, at
+    if least is None:
+        return np.empty(0, _U), np.empty(0, np.int64)
+    rows = counts.where(step >= least).select("h", "c").toArrow()
+    hashes, c = rows["h"].to_numpy().view(_U), rows["c"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], c[order]
 
 
-def merged_counts(blobs: DataFrame) -> DataFrame:
-    """A row per part: its events, their levels q, the sum of these, and by class what quantisation takes from its bigrams."""
+class Model:
+    """What scoring needs but for the filter's slices: the broadcast words' exact counts and the totals."""
 
-    def merged(table: pa.Table) -> pa.Table:
-        e, first, n = (unpacked(b"".join(table.column(c).to_pylist()), w) for c, w in (("e", EVENT_BYTES), ("first", CLASS_BYTES), ("c", 8)))
-        e, first, n = summed(e, first, n)
-        q = LogFrequencyFilter.quantised(n)
-        lost = n - LogFrequencyFilter(np.zeros(0, np.uint8)).middle(q)
-        at = (lost != 0) & (first > 0)
-        own, place = np.unique(first[at], return_inverse=True)
-        row = {"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "e": pa.array([packed(e, EVENT_BYTES)], pa.binary()), "q": pa.array([q.astype(np.uint8).tobytes()], pa.binary()), "levels": pa.array([int(q.sum())], pa.int64())}
-        row |= {"first": pa.array([own], pa.list_(pa.int64())), "lost": pa.array([np.bincount(place, lost[at], len(own))], pa.list_(pa.float64()))}
-        return pa.table(row)
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, prior: float = PRIOR):
+        self.hashes, self.counts, self.prior = hashes, counts.astype(np.float64), prior
+        self.mass = total + ADDED * (distinct + 1)
 
-    return blobs.groupBy("part").applyInArrow(merged, "part long, e binary, q binary, levels long, first array<long>, lost array<double>")
+    def exact(self, tokens: np.ndarray) -> np.ndarray:
+        """Counts of broadcast words; -1 for the rest."""
+        if not len(self.hashes):
+            return np.full(len(tokens), -1.0)
+        at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == tokens, self.counts[at], -1.0)
 
+    def log_base(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + ADDED) / self.mass)
 
-class Model:
-    """What scoring needs but for the filter's slices, bounded in size: arrays over head words and classes, those with exact counts."""
-
-    def __init__(self, head: Head, total: int, distinct: int, ends: int, classes: int, bits: np.ndarray, sums: dict[int, float], prior: float, rare_scale: float = 1.0):
-        self.head, self.classes, self.prior = head, min(classes, len(head.counts)), prior
-        mass = total + ADDED * (distinct + 1)
-        self.log_base = np.log10((head.counts + ADDED) / mass) if len(head.counts) else np.empty(0)
-        self.log_end = math.log10((ends + ADDED) / mass)
-        k = self.classes + 2
-        self.totals = np.zeros(k)
-        self.totals[1] = ends
-        self.totals[2:] = head.counts[: self.classes]
-        self.totals[0] = total - self.totals.sum()
-        self.unigram = np.zeros(k)
-        self.unigram[1:] = (self.totals[1:] + ADDED) / mass
-        self.unigram[0] = max(1 - self.unigram.sum(), 1e-12)
-        self.mass, self.rare_scale = mass, rare_scale
-        self.filter = LogFrequencyFilter(bits)
-        self.scale = np.ones(k)
-        for first, middle in sums.items():
-            self.scale[first] = self.totals[first] / middle if middle else 1.0
-
-    def log_bigrams(self, events: np.ndarray) -> np.ndarray:
-        """log10 P(second class | first class), of events that are first class << 20 | second class."""
-        first, second = events >> 20, events & 0xFFFFF
-        held = self.filter.middle(self.filter.levels(events)) * self.scale[first]
-        return np.log10((held + self.prior * self.unigram[second]) / (self.totals[first] + self.prior))
-
-    def log_pairs(self, q: np.ndarray, first: np.ndarray, second: np.ndarray, q_first: np.ndarray, q_second: np.ndarray) -> np.ndarray:
-        """log10 P(word | word before) from the level of the pair, both classes and, for words of class 0, their own levels."""
-        total = np.where(first > 0, self.totals[first], self.filter.middle(q_first))
-        share = np.where(second > 0, self.unigram[second], np.minimum((self.filter.middle(q_second) * self.rare_scale + ADDED) / self.mass, 1.0))
-        held = np.minimum(self.filter.middle(q) * np.where(first > 0, self.scale[first], 1.0), total)  # a pair isn't commoner than its first word
-        return np.log10((held + self.prior * share) / (total + self.prior))
+    def log_pairs(self, pair: np.ndarray, before: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """log10 P(word | word before) from the counts of the pair, of the word before and of the word."""
+        held = np.minimum(pair, before)  # a pair isn't commoner than its first word
+        return np.log10((held + self.prior * np.minimum((own + ADDED) / self.mass, 1.0)) / (before + self.prior))
 
 
 #: First part, number of parts, parts of the whole filter, and the broadcast bits of a slice.
@@ -357,18 +367,20 @@ def slices_of(spark, built: DataFrame, parts: int, part_bits: int, slice_bits: i
 
 def levels_in(slices: list[Slice], events: np.ndarray) -> np.ndarray:
     """The levels of events, by asking each slice for its own."""
-    q, part = np.zeros(len(events), np.int64), LogFrequencyFilter.part(events, slices[0][2]).astype(np.int64)
-    for first, n, parts, bits in slices:
-        at = np.flatnonzero((part >= first) & (part < first + n))
-        if len(at):
-            q[at] = LogFrequencyFilter(bits.value, parts=n, first=first, of=parts).levels(events[at])
-        if len(slices) > 1:
-            bits.__dict__.pop("_value", None)  # read again from the executor's disk when it is needed
+    q = np.zeros(len(events), np.int64)
+    of = np.searchsorted(np.array([first for first, *_ in slices]), part_of(events, slices[0][2]), side="right") - 1
+    order = np.argsort(of.astype(np.uint16 if len(slices) < 1 << 16 else np.int64), kind="stable")
+    ends = np.cumsum(np.bincount(of, minlength=len(slices)))
+    for (first, n, parts, bits), a, b in zip(slices, np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+        if b > a:
+            q[order[a:b]] = LogFrequencyFilter(bits.value, parts, first, n).levels(events[order[a:b]])
+            if len(slices) > 1:
+                bits.__dict__.pop("_value", None)  # read again from the executor's disk when it is needed
     return q
 
 
 def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
-    """Batches together up to about so many bytes."""
+    """Batches together, up to about so many bytes."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if batch.num_rows:
@@ -380,88 +392,61 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def score(docs: DataFrame, head_size: int = HEAD, classes: int = HEAD, bits: int | None = None, prior: float = PRIOR, slice_bits: int = SLICE_BITS) -> DataFrame:
+_TAIL = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
+
+
+def tails(text: np.ndarray, tokens: np.ndarray, n: int) -> pa.Array:
+    """For each of n texts the distinct tokens and how often they occur in it, from each token's text."""
+    order = np.lexsort((tokens, text))
+    text, tokens = text[order], tokens[order]
+    at = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (tokens[1:] != tokens[:-1])])) if len(text) else text
+    times = np.diff(np.append(at, len(text)))
+    offsets = np.searchsorted(text[at], np.arange(n + 1)).astype(np.int32)
+    rows = pa.StructArray.from_arrays([pa.array(tokens[at].view(np.int64)), pa.array(times.astype(np.int64))], ["h", "n"])
+    return pa.ListArray.from_arrays(pa.array(offsets), rows).cast(_TAIL)
+
+
+def score(docs: DataFrame, head_size: int = HEAD, bits: int | None = None, prior: float = PRIOR, slice_bits: int = SLICE_BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of `docs` (doc_id, text).
 
-    The commonest `classes` of the broadcast words have exact counts in the pairs, the others those of the filter. `bits` fixes
-    the filter's size, which else follows from what it holds.
+    `bits` fixes the filter's size, which else follows from what it holds.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), held_out().alias("held_out"))
     train = narrow.where("not held_out")
-    vocabulary = written(word_counts(train), "words")
-    total, distinct = (int(x or 0) for x in vocabulary.agg(F.sum("c"), F.count("*")).first())
-    ends = vocabulary.where(F.col("h") == word_hash(END_WORD)).first()
-    head = head_words(vocabulary, head_size)
-    shared_head = spark.sparkContext.broadcast(cloudpickle.dumps(head))  # by value, as executors may lack this package
-    parts = max(PARTS, 1 << (total // PART_TOKENS).bit_length())
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield dealt(word_events(batch.column(0).to_numpy()), np.zeros(batch.num_rows, np.int64), batch.column(1).to_numpy(), parts)
-
-    # Words in large batches, as each batch makes a row for each part.
-    named_words = vocabulary.select("h", "c").mapInArrow(lambda batches: named(b for t in gathered(batches, 1 << 23) for b in t.combine_chunks().to_batches()), BLOBS)
-    events = written(merged_counts(bigram_counts(train, shared_head, min(classes, len(head.counts)), parts).unionByName(named_words)), "bigrams")
-    levels = events.agg(F.sum("levels")).first()[0] or 0
-    lost = events.select(F.explode(F.arrays_zip("first", "lost")).alias("x")).groupBy("x.first").agg(F.sum("x.lost").alias("lost")).toArrow()  # a row per class
-    blank = Model(head, total, distinct, ends["c"] if ends else 0, classes, np.zeros(0, np.uint8), {}, prior)
-    # A first word's bigrams sum to its count, less what quantisation takes.
-    middles = blank.totals.copy()
-    middles[lost.column("first").to_numpy()] -= lost.column("lost").to_numpy()
-    blank.scale = np.where(middles > 0, blank.totals / np.maximum(middles, 1e-9), 1.0)
-    q = F.floor(F.log(F.col("c").cast("double")) / math.log(QUANTUM) + 1e-9) + 1
-    low, high = F.ceil(F.pow(F.lit(QUANTUM), q - 1) - 1e-6), F.ceil(F.pow(F.lit(QUANTUM), q) - 1e-6) - 1
-    of_words = vocabulary.agg(F.sum((low + F.greatest(low, high)) / 2)).first()[0] or 0
-    own = blank.totals[1:][blank.totals[1:] > 0]
-    rare_middle = of_words - blank.filter.middle(LogFrequencyFilter.quantised(own)).sum()
-    blank.rare_scale = float(blank.totals[0] / rare_middle) if rare_middle > 0 and blank.totals[0] > 0 else 1.0
+    size = train.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).first()[0] or 0
+    parts = max(PARTS, 1 << (size // PART_BYTES).bit_length())
+    counts = written(merged(counted(train, parts)), "counts")
+    total, distinct, levels = (int(x or 0) for x in counts.agg(F.sum("total"), F.sum("n_words"), F.sum("levels")).first())
+    vocabulary = written(words_of(counts), "words")
+    model = spark.sparkContext.broadcast(cloudpickle.dumps(Model(*head_words(vocabulary, head_size), total, distinct, prior)))  # by value, as executors may lack this package
     part_bits = max(1024, -(-(levels * LEVEL_BITS if bits is None else bits) // (parts * 8)) * 8)
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, e, q in zip(*(batch.column(i) for i in range(3)), strict=True):
-                held = LogFrequencyFilter.build_part(unpacked(e.as_py(), EVENT_BYTES), np.frombuffer(q.as_py(), np.uint8), part_bits)
+                held = LogFrequencyFilter.build_part(unpacked([e.as_py()], EVENT_BYTES), np.frombuffer(q.as_py(), np.uint8), part_bits)
                 yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int64()), pa.array([held.tobytes()], pa.binary())], ["part", "bits"])
 
-    slices = slices_of(spark, written(events.select("part", "e", "q").mapInArrow(built, "part long, bits binary"), "filter"), parts, part_bits, slice_bits)
-    model = spark.sparkContext.broadcast(cloudpickle.dumps(blank))
+    slices = slices_of(spark, written(counts.select("part", "events", "q").mapInArrow(built, "part long, bits binary"), "filter"), parts, part_bits, slice_bits)
+    at_once = min(GATHERED, SCORED * len(slices))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = pickle.loads(model.value)
-        ranks, end = Words(m.head), np.array([word_hash(END_WORD)])
-        for table in gathered(batches, GATHERED if len(slices) > 1 else 0):
-            n, known, base, hashes, classed, tails = [], [], [], [], [], []
-            for text in table.column(2).to_pylist():
-                listed = words(text)
-                h, r = ranks.of(listed)
-                seen = r >= 0
-                n.append(len(listed) + 1)
-                known.append(int(seen.sum()) + int(m.totals[1] > 0))
-                base.append(m.log_base[r[seen]].sum() + m.log_end)
-                hashes += [end, h]
-                classed += [np.array([1]), classes_of(r, m.classes)]
-                tail, k = np.unique(h[~seen], return_counts=True)
-                tails.append([{"h": x, "n": y} for x, y in zip(tail.tolist(), k.tolist(), strict=True)])
-            # Of texts in a row, each with the end before it: what follows the last word is the end again.
-            first, h = np.concatenate(classed), np.concatenate(hashes)
-            starts = np.cumsum([0] + n[:-1])
-            follows = np.arange(1, len(h) + 1)
-            follows[np.cumsum(n) - 1] = starts
-            pairs, at_pair = np.unique(pair_events(h, h[follows]), return_inverse=True)
-            rare = np.flatnonzero(first == 0)
-            own, at_own = np.unique(word_events(h[rare]), return_inverse=True)
-            q = levels_in(slices, np.concatenate([pairs, own]))
-            q_word = np.zeros(len(h), np.int64)
-            q_word[rare] = q[len(pairs) :][at_own]
-            by_pair = m.log_pairs(q[: len(pairs)][at_pair], first, first[follows], q_word, q_word[follows])
-            scores = np.add.reduceat(by_pair, starts)
-            yield from pa.Table.from_arrays(
-                [table.column(0), table.column(1), table.column(3), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array(tails, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))],
-                ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "pairs", "tail"],
-            ).combine_chunks().to_batches()
+        m, hashes = pickle.loads(model.value), WordHashes()
+        for table in gathered(batches, at_once):
+            tokens, n = hashes.tokens(table.column(2).to_pylist())
+            starts = np.cumsum(n) - n
+            own = m.exact(tokens)
+            known = own >= 0
+            rare = np.flatnonzero(~known)
+            base = np.add.reduceat(np.where(known, m.log_base(np.maximum(own, 0)), 0.0), starts)
+            tail = tails(np.searchsorted(starts, rare, side="right") - 1, tokens[rare], len(n))
+            count = LogFrequencyFilter.middle(levels_in(slices, np.concatenate([pair_events(tokens), word_events(tokens[rare])])))
+            own[rare] = count[len(tokens) :]
+            before = np.append(own[n[0] - 1], own[:-1])  # before the first text there is an end token too
+            pairs = np.add.reduceat(m.log_pairs(count[: len(tokens)], before, own), starts)
+            columns = [table.column(0), table.column(1), table.column(3), pa.array(n), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(base), pa.array(pairs), tail]
+            yield from pa.Table.from_arrays(columns, ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "pairs", "tail"]).combine_chunks().to_batches()
 
     numbered = narrow.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", "held_out")
     local = written(numbered.mapInArrow(scored, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, pairs double, tail array<struct<h:long,n:long>>"), "scores")
