@@ -53,7 +53,7 @@ FLUSH = 1 << 21
 #: Steps of the histogram by which the least count of the broadcast words is found, to a factor of e.
 STEPS = 64
 #: Bytes of text that a task scores at once: with one slice, for each further slice, and at most.
-SCORED, GATHERED = 1 << 22, 1 << 25
+SCORED, GATHERED = 1 << 22, 1 << 24
 #: Bytes of text that are hashed in one sum.
 SPAN = 1 << 20
 
@@ -367,10 +367,10 @@ def slices_of(spark, built: DataFrame, parts: int, part_bits: int, slice_bits: i
 
 def levels_in(slices: list[Slice], events: np.ndarray) -> np.ndarray:
     """The levels of events, by asking each slice for its own."""
-    q = np.zeros(len(events), np.int64)
+    q = np.zeros(len(events), np.uint8)
     of = np.searchsorted(np.array([first for first, *_ in slices]), part_of(events, slices[0][2]), side="right") - 1
-    order = np.argsort(of.astype(np.uint16 if len(slices) < 1 << 16 else np.int64), kind="stable")
     ends = np.cumsum(np.bincount(of, minlength=len(slices)))
+    order = np.argsort(of.astype(np.uint16 if len(slices) <= 1 << 16 else np.int64), kind="stable").astype(np.uint32)
     for (first, n, parts, bits), a, b in zip(slices, np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
         if b > a:
             q[order[a:b]] = LogFrequencyFilter(bits.value, parts, first, n).levels(events[order[a:b]])
@@ -434,19 +434,26 @@ def score(docs: DataFrame, head_size: int = HEAD, bits: int | None = None, prior
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, hashes = pickle.loads(model.value), WordHashes()
         for table in gathered(batches, at_once):
-            tokens, n = hashes.tokens(table.column(2).to_pylist())
-            starts = np.cumsum(n) - n
-            own = m.exact(tokens)
-            known = own >= 0
-            rare = np.flatnonzero(~known)
-            base = np.add.reduceat(np.where(known, m.log_base(np.maximum(own, 0)), 0.0), starts)
-            tail = tails(np.searchsorted(starts, rare, side="right") - 1, tokens[rare], len(n))
-            count = LogFrequencyFilter.middle(levels_in(slices, np.concatenate([pair_events(tokens), word_events(tokens[rare])])))
-            own[rare] = count[len(tokens) :]
-            before = np.append(own[n[0] - 1], own[:-1])  # before the first text there is an end token too
-            pairs = np.add.reduceat(m.log_pairs(count[: len(tokens)], before, own), starts)
-            columns = [table.column(0), table.column(1), table.column(3), pa.array(n), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(base), pa.array(pairs), tail]
-            yield from pa.Table.from_arrays(columns, ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "pairs", "tail"]).combine_chunks().to_batches()
+            # In short runs of texts, but the filter is asked for all of them together.
+            runs, asked = [], []
+            for part in gathered(iter(table.to_batches(64)), SCORED // 4):
+                tokens, n = hashes.tokens(part.column(2).to_pylist())
+                own, starts = m.exact(tokens), np.cumsum(n) - n
+                rare = np.flatnonzero(own < 0)
+                base = np.add.reduceat(np.where(own >= 0, m.log_base(np.maximum(own, 0)), 0.0), starts)
+                known = np.add.reduceat((own >= 0).astype(np.int64), starts)
+                tail = tails(np.searchsorted(starts, rare, side="right") - 1, tokens[rare], len(n))
+                runs.append((part.select([0, 1, 3]), own, n, starts, rare, [pa.array(n), pa.array(known), pa.array(base)], tail))
+                asked += [pair_events(tokens), word_events(tokens[rare])]
+            q = levels_in(slices, np.concatenate(asked))
+            ends = np.cumsum([len(x) for x in asked]).tolist()
+            asked.clear()
+            for k, (part, own, n, starts, rare, columns, tail) in enumerate(runs):
+                own[rare] = LEVELS[q[ends[2 * k] : ends[2 * k + 1]]]
+                before = np.append(own[n[0] - 1], own[:-1])  # before the first text there is an end token too
+                pairs = np.add.reduceat(m.log_pairs(LEVELS[q[ends[2 * k] - len(own) : ends[2 * k]]], before, own), starts)
+                columns = [*part.columns, *columns, pa.array(pairs), tail]
+                yield from pa.Table.from_arrays(columns, ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "pairs", "tail"]).combine_chunks().to_batches()
 
     numbered = narrow.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", "held_out")
     local = written(numbered.mapInArrow(scored, "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, pairs double, tail array<struct<h:long,n:long>>"), "scores")
