@@ -80,9 +80,9 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = ARROW_ROWS) -> Iterato
             yield batch.slice(at, most)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """`df` as a Parquet table in the shared folder: lineage is cut, and a lost executor costs no recomputation."""
-    path = shared_path(df.sparkSession, label)
+    path = path or shared_path(df.sparkSession, label)
     with small_batches(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

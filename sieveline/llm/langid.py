@@ -3,9 +3,12 @@
 The network reads windows of `WINDOW` bytes in both directions and labels every position; a document's probabilities
 are the mean of its positions' over the bytes of letters (ASCII letters and all bytes of other characters), of the
 whole text. It is trained by backpropagation through time, on the driver, on a sample of stated size: at most
-`SAMPLE_DOCS` documents of each of the `LANGUAGES` commonest languages, a passage of `PASSAGE` characters of each.
+`SAMPLE_DOCS` documents of each language, a passage of `PASSAGE` characters of each.
 Prediction is a map over Arrow batches with the weights (a few kilobytes) in the closure: no shuffle.
 
+`thresholds` gives a least score for each language from held-out labelled documents, which tells text in no learned language
+from text in one.
+
 Null texts and texts without a letter are `und` with score 0; so is everything where nothing could be learned. Null
 languages are never learned from; repeated rows are predicted each; an empty table gives an empty result.
 """
@@ -20,13 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sieveline.llm.common import slices
+from sieveline.llm.common import join_spread, slices, written
 
 UNKNOWN = "und"
 WINDOW = 96
 HIDDEN = 8
-#: The training sample: languages, documents of each, and characters of each document.
-LANGUAGES, SAMPLE_DOCS, PASSAGE = 64, 300, 600
+#: The training sample: documents of each language, and characters of each document.
+SAMPLE_DOCS, PASSAGE = 300, 600
+#: Of a language's held-out documents that are predicted rightly, the share whose scores its threshold may reach; how far it
+#: lies from a blind guess (0) to the least of the others' scores (1); and the documents that are needed to say so.
+LOW, REACH, ENOUGH = 0.005, 0.9, 100
 STEPS, BATCH, RATE, SEED = 320, 128, 0.02, 11
 #: Windows that the network reads at once.
 STRIDE = 2048
@@ -156,7 +162,7 @@ def held_out(modulus: int = 4, remainder: int = 2) -> Column:
 def train(docs: DataFrame, seed: int = SEED) -> Network | None:
     """A network fitted to the sample of rows of `docs` (doc_id, text, lang) that aren't held out; None without any."""
     usable = docs.where("lang is not null and text is not null and text rlike '\\\\p{L}'").where(~held_out())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     key = F.xxhash64("doc_id", "text", F.lit(seed))
@@ -198,3 +204,22 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return narrow.mapInArrow(labelled, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def thresholds(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """lang_pred and `least`, a row per language: the score under which a prediction is doubted.
+
+    From the rows of `found` (as of `identify`) that are held out and agree with the lang of `docs` (doc_id, lang): a low
+    quantile of their scores, drawn a little towards that of a blind guess. A language with too few has no row.
+    """
+    known = docs.where("lang is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("lang_pred")).distinct()
+    right = found.where("held_out").join(known, ["doc_id", "lang_pred"])
+    guess = 1.0 / max(1, known.select("lang_pred").distinct().count())
+    low = F.percentile_approx("score", F.lit(LOW), F.lit(10_000))
+    return right.groupBy("lang_pred").agg(F.least(low, guess + REACH * (low - guess)).alias("least"), F.count("*").alias("n")).where(F.col("n") >= ENOUGH).drop("n")
+
+
+def doubted(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of `found` that are in no language, or under their language's threshold."""
+    least = written(thresholds(found, docs), "thresholds")  # a row per language
+    return join_spread(found, least, "lang_pred", ["doc_id", "score"]).where((F.col("lang_pred") == UNKNOWN) | F.coalesce(F.col("score") < F.col("least"), F.lit(False)))

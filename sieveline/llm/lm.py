@@ -36,7 +36,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import written
+from sieveline.llm.common import intermediates, shared_path, written
 
 HEAD = 1 << 18
 #: Parts of the filter at least; bytes of training text for each, where that makes more.
@@ -235,19 +235,25 @@ def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
     return keys[at], np.diff(np.append(at, len(keys))) if counts is None else np.add.reduceat(counts, at)
 
 
-#: `words`: whether the keys are 8-byte hashes of words, else 6-byte names of bigrams; counts have 4 bytes.
+#: `words`: whether the keys are 8-byte hashes of words, else 6-byte names of bigrams. Counts have one byte; larger ones repeat their key.
 BLOBS = "part long, words boolean, keys binary, counts binary"
 
 
 def dealt(keys: np.ndarray, counts: np.ndarray, words: bool, parts: int) -> pa.RecordBatch:
     """A row for each part of the filter, its keys in bytes: rows of a table would cost more than what they hold."""
+    if len(keys) and counts.max() > 255:
+        times = -(-counts // 255)
+        last = np.cumsum(times) - 1
+        keys, rest = np.repeat(keys, times), counts - 255 * (times - 1)
+        counts = np.full(len(keys), 255)
+        counts[last] = rest
     part = part_of(word_events(keys) if words else keys, parts)
     if words:
         order = np.argsort(part, kind="stable")
         keys, counts, part = keys[order], counts[order], part[order]
     at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else part
     ends = [*at[1:].tolist(), len(keys)]
-    columns = [[rows[a:b].tobytes() for a, b in zip(at.tolist(), ends, strict=False)] for rows in (packed(keys, 8 if words else EVENT_BYTES), packed(counts, 4))]
+    columns = [[rows[a:b].tobytes() for a, b in zip(at.tolist(), ends, strict=False)] for rows in (packed(keys, 8 if words else EVENT_BYTES), packed(counts, 1))]
     return pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array([words] * len(at), pa.bool_()), *(pa.array(x, pa.binary()) for x in columns)], ["part", "words", "keys", "counts"])
 
 
@@ -285,8 +291,8 @@ def merged(blobs: DataFrame) -> DataFrame:
         own = np.array(table.column("words").to_pylist(), bool)
         keys, counts = (table.column(c).to_pylist() for c in ("keys", "counts"))
         pick = lambda x, which: [v for v, w in zip(x, own.tolist(), strict=True) if w == which]
-        words, n = summed(unpacked(pick(keys, True), 8), unpacked(pick(counts, True), 4).astype(np.int64))
-        events, c = summed(unpacked(pick(keys, False), EVENT_BYTES), unpacked(pick(counts, False), 4).astype(np.int64))
+        words, n = summed(unpacked(pick(keys, True), 8), unpacked(pick(counts, True), 1).astype(np.int64))
+        events, c = summed(unpacked(pick(keys, False), EVENT_BYTES), unpacked(pick(counts, False), 1).astype(np.int64))
         events, c = np.concatenate([events, word_events(words)]), np.concatenate([c, n])
         q = LogFrequencyFilter.quantised(c, events)
         row = [int(table.column("part")[0].as_py()), words.tobytes(), n.tobytes(), packed(events, EVENT_BYTES).tobytes(), q.astype(np.uint8).tobytes(), int(n.sum()), len(words), int(q.sum())]
@@ -347,6 +353,19 @@ class Model:
         return np.log10((held + self.prior * np.minimum((own + ADDED) / self.mass, 1.0)) / (before + self.prior))
 
 
+def filter_of(counts: DataFrame, parts: int, bits: int) -> tuple[DataFrame, int, int]:
+    """The bits of each part, the number of parts, and how many bits each has."""
+    part_bits = max(1024, -(-bits // (parts * 8)) * 8)
+
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, e, q in zip(*(batch.column(i) for i in range(3)), strict=True):
+                held = LogFrequencyFilter.build_part(unpacked([e.as_py()], EVENT_BYTES), np.frombuffer(q.as_py(), np.uint8), part_bits)
+                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int64()), pa.array([held.tobytes()], pa.binary())], ["part", "bits"])
+
+    return written(counts.select("part", "events", "q").mapInArrow(built, "part long, bits binary"), "filter"), parts, part_bits
+
+
 #: First part, number of parts, parts of the whole filter, and the broadcast bits of a slice.
 Slice = tuple[int, int, int, object]
 
@@ -416,19 +435,13 @@ def score(docs: DataFrame, head_size: int = HEAD, bits: int | None = None, prior
     train = narrow.where("not held_out")
     size = train.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).first()[0] or 0
     parts = max(PARTS, 1 << (size // PART_BYTES).bit_length())
-    counts = written(merged(counted(train, parts)), "counts")
-    total, distinct, levels = (int(x or 0) for x in counts.agg(F.sum("total"), F.sum("n_words"), F.sum("levels")).first())
-    vocabulary = written(words_of(counts), "words")
+    path = shared_path(spark, "words")
+    with intermediates(spark):
+        counts = written(merged(counted(train, parts)), "counts")
+        total, distinct, levels = (int(x or 0) for x in counts.agg(F.sum("total"), F.sum("n_words"), F.sum("levels")).first())
+        vocabulary = written(words_of(counts), "words", path)
+        slices = slices_of(spark, *filter_of(counts, parts, levels * LEVEL_BITS if bits is None else bits), slice_bits)
     model = spark.sparkContext.broadcast(cloudpickle.dumps(Model(*head_words(vocabulary, head_size), total, distinct, prior)))  # by value, as executors may lack this package
-    part_bits = max(1024, -(-(levels * LEVEL_BITS if bits is None else bits) // (parts * 8)) * 8)
-
-    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, e, q in zip(*(batch.column(i) for i in range(3)), strict=True):
-                held = LogFrequencyFilter.build_part(unpacked([e.as_py()], EVENT_BYTES), np.frombuffer(q.as_py(), np.uint8), part_bits)
-                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int64()), pa.array([held.tobytes()], pa.binary())], ["part", "bits"])
-
-    slices = slices_of(spark, written(counts.select("part", "events", "q").mapInArrow(built, "part long, bits binary"), "filter"), parts, part_bits, slice_bits)
     at_once = min(GATHERED, SCORED * len(slices))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -66,3 +66,21 @@ def test_cases(spark):
             assert (r.lang_pred == "und") == (not any(x.isalpha() for x in texts[r.doc_id] or ""))
             assert (r.score == 0) == (r.lang_pred == "und")
     assert langid.identify(cases.empty(spark), langid.train(cases.empty(spark))).count() == 0
+
+
+def test_thresholds_keep_held_out_documents_and_doubt_the_rest(spark):
+    import random
+    import zlib
+
+    rng = random.Random(4)
+    words = {"en": cases.EN.split(), "fr": cases.FR.split()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(60)), lang) for i in range(1200) for lang in [("en", "fr")[i % 2]]]
+    others = [(5000 + i, x, None) for i, x in enumerate(["".join(rng.choice("0123456789ABCDEFabcdef") for _ in range(400)), "Привет мир это русский текст о погоде " * 5, "漢字の文章です今日は天気がいい" * 9, " ".join(rng.choice(["zażółć", "gęślą", "jaźń"]) for _ in range(60))])]
+    docs = spark.createDataFrame([*rows, *others, (9000, "123", None)], "doc_id long, text string, lang string")
+    found = langid.identify(docs, langid.train(docs))
+    least = {r.lang_pred: r.least for r in langid.thresholds(found, docs).collect()}
+    assert least.keys() == {"en", "fr"} and all(0.5 <= x <= 1 for x in least.values())
+    out = {r.doc_id for r in langid.doubted(found, docs).collect()}
+    clean = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert 9000 in out and len(out & set(clean)) <= 0.02 * len(clean)
+    assert langid.thresholds(found.limit(0), docs).count() == 0
