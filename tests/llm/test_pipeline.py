@@ -19,25 +19,35 @@ def sf_dir(spark, tmp_path_factory):
 def test_stages_decide_as_their_operators(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, labels = docs.columns, spark.read.parquet(f"{sf_dir}/labels.parquet")
-    ids = lambda d: Counter(r.doc_id for r in d.select("doc_id").collect())
+    ids = lambda d: Counter(r.doc_id for r in corpus_pipeline.judged(d).collect())
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["quality rules", "language ID", "MinHash near-dedup", "mixing sources", "best-fit packing"]
+    view = corpus_pipeline.judged(docs)
+    assert all(r.doc_id is not None for r in view.collect()) and sum(i >= 1 << 62 for i in ids(docs)) == 2
 
     after = stages["quality rules"](spark, docs, sf_dir)
-    bad = {r.doc_id for r in quality.judge(docs, labels).collect() if not r.kept}
-    assert after.columns == columns and ids(after) == Counter({i: n for i, n in ids(docs).items() if i is None or i not in bad})
+    bad = {r.doc_id for r in quality.judge(view, labels).collect() if not r.kept}
+    assert any(i >= 1 << 62 for i in bad)  # junk without an id goes too
+    assert after.columns == columns and ids(after) == Counter({i: n for i, n in ids(docs).items() if i not in bad})
 
     after = stages["language ID"](spark, docs, sf_dir)
-    found = langid.identify(docs, langid.train(docs)).collect()
-    bad = {r.doc_id for r in found if r.lang_pred == "und" or r.score < corpus_pipeline.LEAST_SCORE}
-    assert after.columns == columns and ids(after) == Counter({i: n for i, n in ids(docs).items() if i is None or i not in bad})
+    found = langid.identify(view, langid.train(view))
+    bad = {r.doc_id for r in langid.doubted(found, view).collect()}
+    assert bad >= {r.doc_id for r in found.collect() if r.lang_pred == "und"}
+    assert after.columns == columns and ids(after) == Counter({i: n for i, n in ids(docs).items() if i not in bad})
 
     after = stages["MinHash near-dedup"](spark, docs, sf_dir)
-    kept = {r.doc_id for r in neardup.near_duplicates(docs).collect() if r.kept}
-    assert after.columns == columns and ids(after) == Counter({i: n if i is None else 1 for i, n in ids(docs).items() if i is None or i in kept})
+    kept = {r.doc_id for r in neardup.near_duplicates(view).collect() if r.kept}
+    assert after.columns == columns and ids(after) == Counter(kept)
 
     after = stages["mixing sources"](spark, docs, sf_dir)
-    assert after.columns == columns and ids(after) == ids(mixing.replicated(docs))
+    assert after.columns == columns and ids(after) == ids(mixing.replicated(docs).select(columns))
+
+
+def test_a_column_with_a_dot_is_kept(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("bucket", "a.b")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf_dir).columns == docs.columns
 
 
 def test_the_whole(spark, sf_dir):
@@ -51,6 +61,6 @@ def test_the_whole(spark, sf_dir):
 
 def test_shuffled_rejections_give_the_same(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    one = sorted(r.doc_id or -1 for r in corpus_pipeline.quality_rules(spark, docs, sf_dir).collect())
+    one = sorted(-1 if r.doc_id is None else r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, sf_dir).collect())
     monkeypatch.setattr(corpus_pipeline, "BROADCAST_IDS", 0)
-    assert one == sorted(r.doc_id or -1 for r in corpus_pipeline.quality_rules(spark, docs, sf_dir).collect())
+    assert one == sorted(-1 if r.doc_id is None else r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, sf_dir).collect())
