@@ -48,7 +48,7 @@ def sites(spark: SparkSession, d: str) -> DataFrame:
     return findings.sites(_found(spark, d), _auto())
 
 
-@query(f"{_F}{_SITES} SELECT *, row_number() OVER (ORDER BY worst DESC, findings DESC, score DESC, file, class_name, method, line) AS place FROM sites ORDER BY place LIMIT 50")
+@query(f"{_F}{_SITES} SELECT *, row_number() OVER (ORDER BY worst DESC, findings DESC, score DESC, file, class_name, method, line) AS place FROM sites")
 def sites_by_severity(spark: SparkSession, d: str) -> DataFrame:
     order = [F.desc("worst"), F.desc("findings"), F.desc("score"), *findings.SITE]
     return findings.placed(findings.sites(_found(spark, d), _auto()), order)
@@ -64,7 +64,7 @@ def hotspots(spark: SparkSession, d: str) -> DataFrame:
     return findings.hotspots(_found(spark, d), 5)
 
 
-_MODEL = ", model AS (SELECT file, class_name, line, smell_type, score / 100 AS probability FROM findings WHERE finding_id % 3 = 0), rules AS (SELECT * FROM findings WHERE finding_id % 3 = 1 AND line < 20)"
+_MODEL = ", model AS (SELECT file, class_name, line, smell_type, score / 100 AS probability FROM findings WHERE severity < 2), rules AS (SELECT * FROM findings WHERE severity >= 2 OR severity IS NULL)"
 
 
 def _model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -116,15 +116,15 @@ def refusal_rates(spark: SparkSession, d: str) -> DataFrame:
     return findings.rates(_found(spark, d), ["smell_type", "severity"], F.col("line") < 20, F.col("line") >= 30)
 
 
-@query("SELECT o_custkey AS repository, count(*) AS samples FROM orders GROUP BY o_custkey ORDER BY samples DESC, repository LIMIT 100")
+@query("SELECT o_custkey AS repository, count(*) AS samples FROM orders GROUP BY o_custkey")
 def group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("repository")).agg(F.count("*").alias("samples")).orderBy(F.desc("samples"), "repository")
 
 
-@query("""WITH p AS (SELECT doc_id, list_distinct(string_split(left(text, 200), ' ')) AS old, list_distinct(string_split(left(text, 400), ' ')) AS new FROM documents)
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), p AS (SELECT doc_id, list_distinct(w[1:len(w) // 2]) AS old, list_distinct(w) AS new FROM w)
     SELECT doc_id, array_to_string(list_sort(list_filter(new, lambda x: NOT list_contains(old, x))), ' ') AS members FROM p""")
 def introduced_members(spark: SparkSession, d: str) -> DataFrame:
-    """Words of the whole text that its first half doesn't have; the SQL compares 200 characters with 400."""
+    """Words of the whole text that its first half doesn't have."""
     words = F.split("text", " ")
     sides = table(spark, d, "documents").select("doc_id", words.alias("new")).select("doc_id", F.slice("new", F.lit(1), F.floor(F.size("new") / 2).cast("int")).alias("old"), "new")
     return sides.select("doc_id", F.array_join(setops.introduced(F.col("old"), F.col("new")), " ").alias("members"))
@@ -190,7 +190,7 @@ def ordinal_in_file(spark: SparkSession, d: str) -> DataFrame:
     return _found(spark, d).withColumn("ordinal", at.cast("long")).where("severity = 3").select("finding_id", "file", "ordinal")
 
 
-@query(f"{_F} SELECT finding_id, upper(left(smell_type, 3)) || '-' || lpad((row_number() OVER (PARTITION BY smell_type ORDER BY finding_id))::VARCHAR, 5, '0') AS label FROM findings WHERE line < 5")
+@query(f"{_F} SELECT finding_id, upper(left(smell_type, 3)) || '-' || printf('%05d', row_number() OVER (PARTITION BY smell_type ORDER BY finding_id)) AS label FROM findings")
 def review_labels(spark: SparkSession, d: str) -> DataFrame:
     at = F.row_number().over(Window.partitionBy("smell_type").orderBy("finding_id"))
     number = at.cast("string")
@@ -204,8 +204,8 @@ def diff_context(spark: SparkSession, d: str) -> DataFrame:
     return setops.context(lines, "conv_id", "turn", "changed", 1).select("conv_id", "turn", "role")
 
 
-@query("""SELECT 'cited' AS side, count(*) AS n FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 10 < 6) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 1000)
-    UNION ALL SELECT 'listed', count(*) FROM customer WHERE c_acctbal > 1000 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 10 < 6)""")
+@query("""SELECT 'cited' AS side, count(*) AS n FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 1000)
+    UNION ALL SELECT 'listed', count(*) FROM customer WHERE c_acctbal > 1000 AND c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def referential_audit(spark: SparkSession, d: str) -> DataFrame:
     cited = table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct()
     listed = table(spark, d, "customer").where("c_acctbal > 1000").select(F.col("c_custkey").alias("k"))

@@ -84,7 +84,7 @@ def reweighted_rate(spark: SparkSession, d: str) -> DataFrame:
     return strata.agg(F.round(F.try_divide(F.sum(F.col("size") * F.col("ok") / F.col("judged")), F.sum("size")), 6).alias("rate"), F.sum("judged").alias("judged"))
 
 
-@query("""WITH v AS (SELECT o_orderpriority AS verdict, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS accepted FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1)
+@query("""WITH v AS (SELECT o_orderpriority AS verdict, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS accepted FROM orders GROUP BY 1)
     SELECT p.verdict, coalesce(v.n, 0) AS n, coalesce(v.accepted, 0) AS accepted FROM (SELECT DISTINCT o_orderpriority AS verdict FROM orders UNION SELECT 'unknown') p LEFT JOIN v ON v.verdict = p.verdict""")
 def accept_by_verdict(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders")

@@ -97,7 +97,7 @@ def repo_moves(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", F.coalesce(moved, name).alias("repository"))
 
 
-@query(with_sql("findings") + """, r AS (SELECT file, class_name, bool_or(smell_type IN ('click', 'view')) AS fired FROM findings WHERE line < 10 GROUP BY ALL)
+@query(with_sql("findings") + """, r AS (SELECT file, class_name, bool_or(smell_type IN ('click', 'view')) AS fired FROM findings GROUP BY ALL)
     SELECT DISTINCT f.file, f.class_name, coalesce(r.fired, false) AS fired FROM findings f LEFT JOIN r ON r.file = f.file AND r.class_name = f.class_name""")
 def external_verdicts(spark: SparkSession, d: str) -> DataFrame:
     found = binding.findings(spark, d)

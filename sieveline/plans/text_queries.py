@@ -60,17 +60,17 @@ def similar_ratio(spark: SparkSession, d: str) -> DataFrame:
     return diffs.alike(table(spark, d, "benchmark"), "item_id", "text", share=0.1, ratio=0.2).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("""WITH l AS (SELECT doc_id, string_split(left(text, 400), chr(10)) AS lines FROM documents) SELECT doc_id AS key, len(lines)::BIGINT AS removed, (len(lines) + 1)::BIGINT AS added FROM l WHERE doc_id % 2 = 0
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) SELECT doc_id AS key, len(lines)::BIGINT AS removed, (len(lines) + 1)::BIGINT AS added FROM l WHERE doc_id % 2 = 0
     UNION ALL SELECT doc_id, 0, 1 FROM l WHERE doc_id % 2 = 1""")
 def line_differences(spark: SparkSession, d: str) -> DataFrame:
-    """Every second text with all its lines changed, the others with one line more; whole texts, where the SQL takes 400 characters."""
+    """Every second text with all its lines changed, the others with one line more."""
     text = F.col("text")
     changed = F.concat(F.lit("# "), F.replace(text, F.lit("\n"), F.lit("\n# ")))
     texts = table(spark, d, "documents").select("doc_id", text.alias("old"), F.concat(F.when(F.col("doc_id") % 2 == 0, changed).otherwise(text), F.lit("\n#")).alias("new"))
     return diffs.differences(texts, "doc_id", "old", "new").groupBy("key").agg(F.count_if(F.col("op") == "removed").alias("removed"), F.count_if(F.col("op") == "added").alias("added"))
 
 
-@query("SELECT doc_id, lower(strip_accents(left(text, 300))) AS folded FROM documents WHERE lang IN ('fr', 'es')")
+@query("SELECT doc_id, lower(strip_accents(text)) AS folded FROM documents")
 def folded_names(spark: SparkSession, d: str) -> DataFrame:
-    """Whole texts of every language; the SQL takes 300 characters of two."""
+    """Whole texts of every language."""
     return table(spark, d, "documents").select("doc_id", diffs.folded(F.col("text")).alias("folded"))
