@@ -81,3 +81,18 @@ def greedy_folds(sizes: list[tuple[str, int]], k: int) -> dict[str, int]:
         out[name] = at
         load[at] += n
     return out
+
+
+def paired_differences(cells: DataFrame, group: str, draws: DataFrame, predictor: str, reference: str) -> DataFrame:
+    """Intervals of the reference's MCC less each other predictor's, on the same draws.
+
+    `cells` has predictor, group and tp..tn. A draw in which either score isn't defined is dropped for that difference.
+    """
+    summed = draws.join(cells, group).groupBy(predictor, "draw").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in scores.COUNTS])
+    scored = summed.select(predictor, "draw", scores.mcc().alias("mcc")).where("mcc is not null")
+    base = scored.where(F.col(predictor) == reference).select("draw", F.col("mcc").alias("base"))
+    rows = scored.where(F.col(predictor) != reference).join(base, "draw").withColumn("difference", F.col("base") - F.col("mcc"))
+    p = F.percentile("difference", [0.025, 0.5, 0.975])
+    out = rows.groupBy(predictor).agg(F.count("*").alias("draws"), p.alias("p"), F.avg((F.col("difference") > 0).cast("double")).alias("above"))
+    low, high = F.round(F.get("p", 0), 6), F.round(F.get("p", 2), 6)
+    return out.select(predictor, "draws", low.alias("low"), F.round(F.get("p", 1), 6).alias("median"), high.alias("high"), F.round("above", 6).alias("above"), ((low > 0) | (high < 0)).alias("excludes_zero"))

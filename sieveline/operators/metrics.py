@@ -100,15 +100,24 @@ def noc(classes: DataFrame) -> DataFrame:
 
 
 def dit(classes: DataFrame, doublings: int = 6) -> DataFrame:
-    """Depth below the furthest ancestor, counting a parent outside the relation; 0 in a cycle.
+    """Depth below the furthest ancestor, counting a parent outside the relation; 0 in a cycle or below one.
 
     Pointers are doubled: a round joins each class to the ancestor of its ancestor, so depths under 2 ** doublings take
-    that many joins, and what still has an ancestor then is in a cycle.
+    that many joins. Where classes still have an ancestor then, `doublings` more rounds follow, until there are none, or
+    until the rounds have covered as many steps as there are classes: what has an ancestor then is in a cycle.
     """
     at = classes.select("class_id", F.col("superclass").alias("up"), F.when(F.col("superclass").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    for _ in range(doublings):
-        over = at.select(F.col("class_id").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
-        at = at.join(over, "up", "left").select("class_id", F.col("further").alias("up"), (F.col("depth") + zero("more")).alias("depth"))
+    rounds, most = 0, None
+    while True:
+        for _ in range(doublings):
+            over = at.select(F.col("class_id").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
+            at = at.join(over, "up", "left").select("class_id", F.col("further").alias("up"), (F.col("depth") + zero("more")).alias("depth"))
+        rounds += doublings
+        at = at.checkpoint() if classes.sparkSession.sparkContext.getCheckpointDir() else at.persist()
+        left = at.where("up is not null").limit(1).count()
+        most = classes.count() if left and most is None else most
+        if not left or 2**rounds > most:
+            break
     return at.select("class_id", F.when(F.col("up").isNull(), F.col("depth")).otherwise(0).alias("dit"))
 
 
