@@ -104,20 +104,26 @@ def parse_header(piece: bytes) -> tuple[dict[str, str], int, int] | None:
 
 
 def parse_block(fields: dict[str, str], block: bytes) -> dict:
-    """What a record says, and the digest of its payload as read."""
-    at = block.find(b"\r\n\r\n")
+    """What a record says, and the digest of its payload as read. A digest is tested where one is given as SHA-1."""
+    http = fields.get("content-type", "").lower().startswith("application/http")
+    at = block.find(b"\r\n\r\n") if http else -1
     head, payload = (block[:at], block[at + 4 :]) if at >= 0 else (b"", block)
-    said = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    number = lambda x: None if (y := x.removeprefix(f"<{PAGE}").removesuffix(">")) in ("null", "") else str(int(y))  # noqa: E731  text, as pandas would make floats of numbers beside nulls
+    label, _, said = fields.get("warc-payload-digest", "").partition(":")
+    said = said.upper() if label.lower() == "sha1" else ""
+    ident, refers = fields.get("warc-record-id", ""), fields.get("warc-refers-to")
+    number = lambda x: y if (x or "").startswith(f"<{PAGE}") and (y := x.removeprefix(f"<{PAGE}").removesuffix(">")).lstrip("-").isdigit() else None  # noqa: E731  text, as pandas would make floats of numbers beside nulls
     if fields.get("warc-type") == "revisit":
-        sizes = [x.partition(b":")[2] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-        size, digest = (int(sizes[0]) if sizes else None), said
+        sizes = [x.partition(b":")[2].strip() for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        size, digest = (int(sizes[0]) if sizes and sizes[0].isdigit() else None), said
     else:
-        size, digest = len(payload), b32encode(hashlib.sha1(payload).digest()).decode()
-    return {"page_id": number(fields.get("warc-record-id", "")), "payload_bytes": size, "payload_digest": digest, "record_type": fields.get("warc-type"), "refers_to": number(fields.get("warc-refers-to", "")), "sound": digest == said}
+        data = hashlib.sha1(payload)
+        size, digest = len(payload), b32encode(data.digest()).decode()
+        if said == data.hexdigest().upper():  # some writers use base 16
+            said = digest
+    return {"page_id": number(ident), "payload_bytes": size, "payload_digest": digest, "record_type": fields.get("warc-type"), "refers_to": number(refers), "record_id": ident, "refers_to_id": refers, "sound": not said or digest == said}
 
 
-_CANDIDATE = "file string, size long, block long, ordinal long, at long, bytes long, span long, whole boolean, page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, sound boolean"
+_CANDIDATE = "file string, size long, block long, ordinal long, at long, bytes long, span long, whole boolean, page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, record_id string, refers_to_id string, sound boolean"
 _KINDS = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
 _FIELDS = [x.split() for x in _CANDIDATE.split(", ")]
 
@@ -177,6 +183,8 @@ def chained(found: DataFrame) -> DataFrame:
             kept[real] = reachable(offset[real], np.where(span[real] < 0, -1, offset[real] + span[real]))
         chain = np.flatnonzero(kept)
         size = int(rows["size"].iloc[0])
+        if size and rows["file"].iloc[0].lower().endswith(".gz"):  # that is the compressed size; Spark's reader has joined the members
+            size = int(offset[-1] + len(MAGIC) + rows["bytes"].iloc[-1])
         if size and (not len(chain) or offset[chain[-1]] + span[chain[-1]] != size):
             raise ValueError(f"{rows['file'].iloc[0]}: the chain of records breaks off before the end, after offset {offset[chain[-1]] if len(chain) else 0}")
         before = np.searchsorted(chain, np.arange(len(rows)), side="right") - 1
@@ -221,18 +229,25 @@ def assembled(spark: SparkSession, path: str, cuts: DataFrame) -> DataFrame:
     return grouped.select("span", "parts").mapInArrow(read, ", ".join(f"{n} {t}" for n, t in _FIELDS if n in _RESULT))
 
 
-_RESULT = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "sound")
+_RESULT = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_id", "sound")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record of the archives in `path`: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    """`records` without the ids' texts."""
+    return records(spark, path).drop("record_id", "refers_to_id")
 
-    Raises if a chain breaks off before a file's end or a response's payload has another digest than its header says.
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """A row per record of the archives in `path`: page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, refers_to_id.
+
+    Archives of other writers are read too, plain or gzipped (`.gz`, any members): ids are text, page_id and refers_to are
+    null where an id isn't one of ours, records of all types are rows, and a record without a SHA-1 has none to test.
+    Raises if a chain breaks off before a file's end or a payload has another digest than its header says.
     """
     found = written(chained(candidates(pieces(spark, path))), "records")
     broken = found.where("parted")
-    records = found.where("chain and not parted").select(*_RESULT)
+    whole = found.where("chain and not parted").select(*_RESULT)
     if not broken.isEmpty():
-        records = records.unionByName(assembled(spark, path, broken))
-    tested = F.when(F.coalesce("sound", F.lit(False)), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("the payload's digest is another: page "), F.coalesce("page_id", F.lit("null")))))
-    return records.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", tested.alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+        whole = whole.unionByName(assembled(spark, path, broken))
+    tested = F.when(F.coalesce("sound", F.lit(False)), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("the payload's digest is another: "), F.coalesce("record_id", F.lit("null")))))
+    return whole.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", tested.alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"), "record_id", "refers_to_id")

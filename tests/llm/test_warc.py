@@ -70,3 +70,35 @@ def test_pointer_jumping_equals_walking():
             i = int(np.searchsorted(offset, at))
             want[i], at = True, int(successor[i])
         assert (warc.reachable(offset, successor) == want).all()
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    import gzip
+    from base64 import b32encode
+    from hashlib import sha1
+
+    def record(kind, ident, block, content="application/http; msgtype=response", **more):
+        fields = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{ident}>", "WARC-Date": "2024-01-01T00:00:00Z", "Content-Type": content, **{k.replace("_", "-"): v for k, v in more.items()}, "Content-Length": str(len(block))}
+        return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    body = b"<p>WARC/1.0\r\nWARC-Type: response\r\n\r\n</p>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\n"
+    records = [
+        record("warcinfo", "a", b"software: x\r\n\r\nmore", "application/warc-fields"), record("request", "b", b"GET / HTTP/1.1\r\n\r\n", "application/http; msgtype=request"),
+        record("response", "c", http + body, WARC_Payload_Digest="sha1:" + b32encode(sha1(body).digest()).decode()), record("response", "d", http + b"plain"),
+        record("response", "e", http + b"hex", WARC_Payload_Digest="sha1:" + sha1(b"hex").hexdigest()), record("metadata", "f", b"", "text/plain", WARC_Payload_Digest="sha256:00"),
+        record("revisit", "g", http, WARC_Refers_To="<urn:uuid:c>", WARC_Payload_Digest="sha1:ABC"),
+    ]
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "gz").mkdir()
+    (tmp_path / "plain/x.warc").write_bytes(b"".join(records))
+    (tmp_path / "gz/x.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    want = {"a": ("warcinfo", 19), "b": ("request", 0), "c": ("response", len(body)), "d": ("response", 5), "e": ("response", 3), "f": ("metadata", 0), "g": ("revisit", 9)}
+    for folder in ("plain", "gz"):
+        got = warc.records(spark, str(tmp_path / folder)).collect()
+        assert {r.record_id[10:-1]: (r.record_type, r.payload_bytes) for r in got} == want and len(got) == 7
+        assert all(r.page_id is None and r.refers_to is None for r in got) and {r.refers_to_id for r in got} == {None, "<urn:uuid:c>"}
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/x.warc").write_bytes(record("response", "h", http + b"x", WARC_Payload_Digest="sha1:" + "A" * 32))
+    with pytest.raises(Exception, match="digest is another"):
+        warc.records(spark, str(tmp_path / "bad")).collect()
