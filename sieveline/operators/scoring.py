@@ -53,10 +53,16 @@ def severity_matrix(rows: DataFrame, first: str, second: str, levels: list[int])
 
 
 def nearest_rank(values: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """v[min(n-1, int(q*n))] of the sorted values of each group, by ranks: no group is gathered."""
+    """v[min(n-1, int(q*n))] of the sorted values of each group (nulls first).
+
+    Values are counted in part by every task, so only a group's distinct values are ranked within one task.
+    """
     w = Window.partitionBy(*by)
-    ranked = values.withColumn("rank_", F.row_number().over(w.orderBy(value)) - 1).withColumn("n_", F.count("*").over(w))
-    at = lambda q: F.max(F.when(F.col("rank_") == F.least(F.col("n_") - 1, F.floor(F.lit(q) * F.col("n_"))), F.col(value)))
+    cells = values.groupBy(*by, value).agg(F.count("*").alias("here_"))
+    upto = F.sum("here_").over(w.orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = cells.withColumn("upto_", upto).withColumn("n_", F.sum("here_").over(w))
+    place = lambda q: F.least(F.col("n_") - 1, F.floor(F.lit(q) * F.col("n_")))
+    at = lambda q: F.max(F.when((place(q) >= F.col("upto_") - F.col("here_")) & (place(q) < F.col("upto_")), F.col(value)))
     return ranked.groupBy(*by).agg(*[at(q).alias(k) for k, q in shares.items()])
 
 
