@@ -25,6 +25,21 @@ def effective_loc(text: Column) -> Column:
     return F.aggregate(F.split(text, "\n"), start, step, lambda a: a["n"])
 
 
+#: Fixed value: the most lines that are read around a finding.
+MOST_LINES = 400
+
+
+def source_range(text: Column, start: Column, end: Column, most: int = MOST_LINES) -> Column:
+    """start_line, end_line, truncated and lines of a range (from 1, both ends in), at most `most` lines; a range that ends before it starts is null."""
+    split = F.split(text, "\r\n|\r|\n")
+    lines = F.when(F.element_at(split, -1) == "", F.slice(split, 1, F.size(split) - 1)).otherwise(split)
+    n = F.size(lines)
+    first = F.least(start, n).cast("int")
+    last = F.least(end, first + most - 1, n).cast("int")
+    read = F.when(n == 0, F.array().cast("array<string>")).otherwise(F.slice(lines, F.greatest(first, F.lit(1)), F.greatest(last - first + 1, F.lit(0))))
+    return F.when(end >= start, F.struct(first.alias("start_line"), last.alias("end_line"), (last < F.least(end, n)).alias("truncated"), read.alias("lines")))
+
+
 def normalised_path(path: Column) -> Column:
     """Backslashes become slashes; slashes at the ends go."""
     return F.regexp_replace(F.translate(path, "\\", "/"), "^/+|/+$", "")

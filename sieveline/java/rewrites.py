@@ -309,7 +309,32 @@ def verdict(parses: Column, before: Column, after: Column) -> Column:
     )
 
 
+#: Fixed value: what follows a line that ends a file without a newline.
+NO_NEWLINE = "\\ No newline at end of file"
+
+
 def unified(before: str, after: str, file: str, around: int = 3) -> Iterator[str]:
+    """The lines of a unified diff, each with its newline."""
     import difflib
 
-    return difflib.unified_diff(before.splitlines(True), after.splitlines(True), f"a/{file}", f"b/{file}", n=around)
+    for line in difflib.unified_diff(before.splitlines(True), after.splitlines(True), f"a/{file}", f"b/{file}", n=around):
+        yield line if line.endswith("\n") else f"{line}\n{NO_NEWLINE}\n"
+
+
+def patches(files: DataFrame, around: int = 3) -> DataFrame:
+    """`patch` of each row of `files` (file, before, after: texts or bytes); rows that aren't UTF-8, lack a text or don't change are left out."""
+
+    def texts(column: pa.Array) -> Iterator[str | None]:
+        for x in column.to_pylist():
+            try:
+                yield x.decode() if isinstance(x, bytes) else x
+            except UnicodeDecodeError:
+                yield None
+
+    def of_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, befores, afters = (texts(batch.column(k)) for k in range(3))
+            out = [(f, "".join(unified(a, b, f, around))) for f, a, b in zip(names, befores, afters, strict=True) if f is not None and a is not None and b is not None and a != b]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(2)], ["file", "patch"])
+
+    return files.select("file", "before", "after").mapInArrow(of_files, "file string, patch string")

@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -70,24 +70,88 @@ def scored(predictions: DataFrame, cut: float = 0.5) -> DataFrame:
     return counted.select(*scores.COUNTS, *scores.all_scores())
 
 
-def permuted(rows: DataFrame, features: list[str], at: int, seed: int) -> DataFrame:
-    """Rows with one feature dealt anew among them: the k-th row by a random order takes the value of the k-th by another."""
-    values = rows.withColumn("x_", vector_to_array("features"))
-    # Ranks are dense within hash buckets, so that no task sorts all rows.
-    bucket = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(64))
-    one, other = (Window.partitionBy("b_").orderBy(F.xxhash64("id", F.lit(seed + k))) for k in (1, 2))
-    numbered = values.withColumn("b_", bucket).withColumn("k_", F.row_number().over(one))
-    donors = numbered.withColumn("k_", F.row_number().over(other)).select("b_", "k_", F.get("x_", at).alias("v_"))
-    parts = [F.col("v_") if i == at else F.get("x_", i) for i in range(len(features))]
-    dealt = numbered.join(donors, ["b_", "k_"]).select("id", "group", "label", "weight", *[p.alias(f) for p, f in zip(parts, features, strict=True)])
-    return VectorAssembler(inputCols=features, outputCol="features").transform(dealt)
-
-
-def importances(model: Model, rows: DataFrame, features: list[str], repeats: int = 3) -> dict[str, float]:
-    """Mean fall of the MCC on held-out rows when a feature is permuted."""
-    mcc = lambda frame: scored(probabilities(model, frame)).first()["mcc"] or 0.0
-    whole = mcc(rows)
-    return {f: whole - sum(mcc(permuted(rows, features, i, SEED + 31 * r)) for r in range(repeats)) / repeats for i, f in enumerate(features)}
+def permuted(rows: DataFrame, features: list[str], repeats: int) -> DataFrame:
+    """Every row once for each feature and repeat, that feature's value taken from another row.
+
+    Within hash buckets, so that no task sorts all rows, each row takes the value of the next in a random order and the
+    last that of the first: one window, no join.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(i).alias("at"), F.lit(r).alias("repeat")) for i, f in enumerate(features) for r in range(repeats)])).alias("e_")
+    values = rows.withColumn("x_", vector_to_array("features")).select("id", "label", "x_", each).select("id", "label", "x_", "e_.*")
+    bucket = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(64))
+    around = Window.partitionBy("feature", "repeat", "b_").orderBy(F.xxhash64("id", "feature", "repeat"), "id")
+    own = F.get("x_", F.col("at"))
+    taken = values.withColumn("b_", bucket).withColumn("v_", F.coalesce(F.lead(own).over(around), F.first(own).over(around)))
+    parts = [F.when(F.col("at") == i, F.col("v_")).otherwise(F.get("x_", i)).alias(f"f_{i}") for i in range(len(features))]
+    return VectorAssembler(inputCols=[f"f_{i}" for i in range(len(features))], outputCol="features").transform(taken.select("id", "label", "feature", "repeat", *parts))
+
+
+def importances(model: Model, rows: DataFrame, features: list[str], repeats: int = 10) -> dict[str, float]:
+    """Mean fall of the MCC on held-out rows when a feature is permuted. All changed rows are scored in one transform."""
+    whole = scored(probabilities(model, rows)).first()["mcc"] or 0.0
+    changed = probabilities(model, permuted(rows, features, repeats)).groupBy("feature", "repeat").agg(*scores.confusion(F.col("label") == 1, F.col("probability") >= 0.5))
+    means = changed.select("feature", *scores.all_scores()).groupBy("feature").agg(F.avg(F.coalesce("mcc", F.lit(0.0))).alias("mcc"))
+    fallen = {r["feature"]: whole - r["mcc"] for r in means.collect()}  # a row per feature
+    return {f: fallen.get(f, 0.0) for f in features}
+
+
+def importances_over_folds(rows: DataFrame, make: Callable[[], Estimator], features: list[str], repeats: int = 10) -> dict[str, float]:
+    """The mean over folds of each feature's importance on the fold held out."""
+    folds = sorted(r["fold"] for r in rows.select("fold").distinct().collect())
+    per = [importances(make().fit(rows.where(F.col("fold") != k)), rows.where(F.col("fold") == k), features, repeats) for k in folds]
+    return {f: sum(x[f] for x in per) / len(per) for f in features} if per else {}
+
+
+def ablation(rows: DataFrame, make: Callable[[], Estimator], features: list[str], dropped: list[str]) -> DataFrame:
+    """The scores under grouped folds with all features, and without those dropped."""
+    kept = [i for i, f in enumerate(features) if f not in dropped]
+    fewer = VectorSlicer(inputCol="all_", outputCol="features", indices=kept).transform(rows.withColumnRenamed("features", "all_")).drop("all_")
+    tried = [scored(cross_validated(r, make)).withColumn("features", F.lit(k)) for k, r in (("all", rows), ("without", fewer))]
+    return tried[0].unionByName(tried[1])
+
+
+class Unavailable(Exception):
+    """A model that can't be served, with the code of the reason."""
+
+    def __init__(self, code: str, said: str) -> None:
+        super().__init__(f"{code}: {said}")
+        self.code = code
+
+
+def running_versions() -> dict[str, str]:
+    import numpy
+    import pyspark
+
+    return {"pyspark": pyspark.__version__, "numpy": numpy.__version__}
+
+
+def save(spark: SparkSession, model: Model, path: str, features: list[str], trained_on: int) -> None:
+    """The model, and beside it a manifest of its features in order, its rows and the libraries it was fitted with."""
+    model.write().overwrite().save(f"{path}/model")
+    libraries = F.create_map(*[F.lit(x) for kv in running_versions().items() for x in kv])
+    manifest = spark.range(1).select(F.array(*map(F.lit, features)).alias("features"), F.lit(trained_on).cast("long").alias("trained_on"), libraries.alias("libraries"))
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def load(spark: SparkSession, path: str, columns: list[str]) -> tuple[Model, list[str], int]:
+    """The model, its features in order and its number of rows; refused where it is missing, was fitted with other libraries, or names a feature not in `columns`."""
+    from pyspark.errors import AnalysisException
+    from pyspark.ml.util import DefaultParamsReader
+
+    try:
+        row = spark.read.json(f"{path}/manifest", schema="features array<string>, trained_on long, libraries map<string, string>").first()
+    except AnalysisException as x:
+        raise Unavailable("not_trained", f"no model at {path}") from x
+    if row is None or not row["features"]:
+        raise Unavailable("not_trained", f"no manifest at {path}")
+    running = running_versions()
+    differing = sorted(k for k, v in (row["libraries"] or {}).items() if running.get(k) != v)
+    if differing:
+        raise Unavailable("library_mismatch", f"fitted with a different {', '.join(differing)}")
+    missing = [f for f in row["features"] if f not in columns]
+    if missing:
+        raise Unavailable("feature_missing", f"not in the table: {', '.join(missing)}")
+    return DefaultParamsReader.loadParamsInstance(f"{path}/model", spark), row["features"], row["trained_on"]
 
 
 def explained(model: Model, rows: DataFrame, features: list[str]) -> DataFrame:

@@ -57,6 +57,19 @@ def guard_clauses(spark: SparkSession, d: str) -> DataFrame:
     return rewrites.planned(sites, files).select(F.col("file").cast("long").alias("o_orderkey"), "refused", "rewritten")
 
 
+@query("""SELECT 'src/C' || c_custkey || '.java' AS file, CASE c_custkey % 3
+    WHEN 0 THEN '@@ -1,3 +1,3 @@' || chr(10) || ' a' || chr(10) || '-' || c_name || chr(10) || '+' || c_name || '!' || chr(10) || ' z' || chr(10)
+    WHEN 1 THEN '@@ -1,3 +1,3 @@' || chr(10) || ' a' || chr(10) || '-' || c_name || chr(10) || '-z' || chr(10) || '\ No newline at end of file' || chr(10) || '+' || c_name || '!' || chr(10) || '+z' || chr(10) END AS hunk FROM customer WHERE c_custkey % 3 < 2""")
+def unified_patch(spark: SparkSession, d: str) -> DataFrame:
+    """The patch of each customer's file without its two lines of names: a changed line, with or without a newline at the end, or no change."""
+    kind, text = F.col("c_custkey") % 3, F.concat(F.lit("a\n"), "c_name")
+    before = F.concat(text, F.when(kind == 1, "\nz").otherwise("\nz\n"))
+    after = F.when(kind == 2, before).otherwise(F.concat(text, F.lit("!\nz\n")))
+    file = F.concat(F.lit("src/C"), F.col("c_custkey").cast("string"), F.lit(".java")).alias("file")
+    made = rewrites.patches(table(spark, d, "customer").select(file, before.alias("before"), after.alias("after")))
+    return made.select("file", F.regexp_replace("patch", r"^--- a/[^\n]*\n\+\+\+ b/[^\n]*\n", "").alias("hunk"))
+
+
 @query("""WITH s AS (SELECT p_type AS stratum, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY md5('7-' || p_type || '-' || p_partkey), p_partkey) AS rn FROM part) SELECT stratum, p_partkey FROM s WHERE rn <= 3""")
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     """Three parts of each type, in the order of a hash of seed, type and key."""
@@ -89,10 +102,17 @@ for _name in ("logistic", "forest", "boosting"):
 
 @query()
 def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
-    """Fall of the MCC on the first fold when a feature is permuted."""
+    """Mean fall of the MCC, over all folds and ten repeats, when a feature is permuted."""
     rows = _training(spark, d).persist()
-    model = models.zoo()["logistic"]().fit(rows.where("fold <> 0"))
-    return spark.createDataFrame(sorted(models.importances(model, rows.where("fold = 0"), FEATURES, 2).items()), "feature string, importance double")
+    found = models.importances_over_folds(rows, models.zoo()["logistic"], FEATURES)
+    rows.unpersist()
+    return spark.createDataFrame(sorted(found.items()), "feature string, importance double")
+
+
+@query()
+def feature_ablation(spark: SparkSession, d: str) -> DataFrame:
+    """Scores with all features of an order, and without its number of items and its quantity."""
+    return models.ablation(_training(spark, d), models.zoo()["logistic"], FEATURES, ["items", "quantity"])
 
 
 @query()

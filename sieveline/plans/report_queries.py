@@ -11,8 +11,9 @@ from sieveline.functions.scores import COUNTS
 from sieveline.operators import comparison, detectors, inference, replay, reports
 from sieveline.plans import metric_queries as mq
 from sieveline.plans.registry import query
-from sieveline.sources import binding
+from sieveline.sources import binding, files
 from sieveline.sources.binding import table, with_sql
+from sieveline.streaming import ingest
 
 _F = with_sql("findings")
 _J = with_sql("judged")
@@ -174,3 +175,29 @@ def library_versions(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT source AS target, count(*) AS files, sum(strlen(text))::BIGINT AS bytes, count(*) <= 300 AND coalesce(sum(strlen(text)), 0) <= 1000000 AS allowed FROM documents GROUP BY source")
 def scan_budget(spark: SparkSession, d: str) -> DataFrame:
     return comparison.over_budget(table(spark, d, "documents").withColumnRenamed("source", "target"), ["target"], F.octet_length("text"), 300, 1_000_000)
+
+
+@query("""SELECT 'r' || s_suppkey AS repository, s_name AS commit_hash, 'd/' || s_suppkey AS directory, s_nationkey % 2 = 0 AS done, CASE WHEN s_nationkey % 2 = 0 THEN s_nationkey ELSE 0 END::BIGINT AS java_files, 0::BIGINT AS bytes_written,
+    CASE WHEN s_nationkey % 2 = 0 THEN '' ELSE 'timeout' END AS reason FROM supplier""")
+def fetch_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Manifests of one repository each, written as JSON and read again; a failed one lacks its count, a good one its reason."""
+    ok, key = F.col("s_nationkey") % 2 == 0, F.col("s_suppkey").cast("string")
+    name = F.concat(F.lit("r"), key)
+    status = F.struct(name.alias("repository"), F.col("s_name").alias("commit_hash"), F.concat(F.lit("d/"), key).alias("directory"), ok.alias("ok"), F.when(ok, F.col("s_nationkey")).alias("java_files"), F.when(~ok, "timeout").alias("reason"))
+    return files.manifest(table(spark, d, "supplier").select(F.to_json(F.create_map(name, status)).alias("value")))
+
+
+@query("""WITH r AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus = 'F' END AS label, o_totalprice >= 50000 AS whole FROM orders)
+    SELECT count(*) FILTER (label IS NULL) AS unlabelled, count(*) FILTER (label IS NOT NULL AND NOT whole) AS incomplete, count(*) FILTER (label IS NOT NULL AND whole) AS usable, count(*) FILTER (label AND whole) AS positive FROM r""")
+def completeness(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select(F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias("label"), F.col("o_orderkey").alias("a"), F.when(F.col("o_totalprice") >= 50000, F.col("o_totalprice")).alias("b"))
+    return files.complete(rows, ["a", "b"], "label")
+
+
+@query("""WITH w AS (SELECT time_bucket(INTERVAL 5 minutes, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL)
+    SELECT start, event_type, n, total FROM w WHERE start + INTERVAL 15 minutes <= (SELECT date_trunc('milliseconds', max(ts)) FROM events)""")
+def windowed_events(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of the events, counted by type and window; windows that may still get rows, ten minutes before the last, aren't written."""
+    stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    counted = ingest.events_by_minute(stream.withColumn("ts", F.col("ts").cast("timestamp")))  # a watermark needs an instant
+    return ingest.landed(spark, counted).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -44,6 +44,16 @@ def source_range(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(lines).cast("long").alias("lines"), F.size(F.filter(lines, lambda x: F.length(F.trim(x)) > 0)).cast("long").alias("filled"), F.slice(lines, 1, 2).alias("head"))
 
 
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a, 1 + doc_id % 7 AS s, doc_id % 900 AS e FROM documents), m AS (SELECT doc_id, CASE WHEN a[-1] = '' THEN a[:len(a) - 1] ELSE a END AS a, s, e FROM l),
+    r AS (SELECT *, least(s, len(a)) AS first FROM m WHERE e >= s), x AS (SELECT *, least(e, first + 399, len(a)) AS last FROM r)
+    SELECT doc_id, first::BIGINT AS start_line, last::BIGINT AS end_line, last < least(e, len(a)) AS truncated, CASE WHEN len(a) = 0 THEN '' ELSE array_to_string(a[first:last], chr(10)) END AS lines FROM x""")
+def source_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines around a place in each document; the texts hold no carriage returns."""
+    read = text.source_range(F.col("text"), 1 + F.col("doc_id") % 7, F.col("doc_id") % 900).alias("r")
+    found = table(spark, d, "documents").select("doc_id", read).where("r is not null")
+    return found.select("doc_id", F.col("r.start_line").cast("long").alias("start_line"), F.col("r.end_line").cast("long").alias("end_line"), "r.truncated", F.array_join("r.lines", "\n").alias("lines"))
+
+
 @query("""WITH e AS (SELECT event_id, ['// smell:ignore(' || event_type || ')', CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN 'int x;' ELSE '// plain' END, 'void m() {'] AS lines, event_id, event_type FROM events)
     SELECT event_id, event_id % 3 <> 1 AND event_type IN ('click', 'view') AS hidden FROM e""")
 def suppression(spark: SparkSession, d: str) -> DataFrame:

@@ -83,6 +83,16 @@ def baseline(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode(checked).alias("fingerprint"))
 
 
+STATUS = "repository string, commit_hash string, directory string, ok boolean, java_files long, bytes_written long, reason string"
+
+
+def manifest(documents: DataFrame, column: str = "value") -> DataFrame:
+    """A row per repository of manifests (a JSON object of statuses by name); `done` only if it succeeded, so failures are tried again."""
+    entries = documents.select(F.explode(F.from_json(column, f"map<string, struct<{STATUS.replace(' ', ':').replace(',:', ', ')}>>")).alias("name", "status"))
+    zero = lambda c: F.coalesce(F.col(f"status.{c}"), F.lit(0).cast("long")).alias(c)
+    return entries.select(F.col("name").alias("repository"), "status.commit_hash", "status.directory", F.coalesce("status.ok", F.lit(False)).alias("done"), zero("java_files"), zero("bytes_written"), F.coalesce("status.reason", F.lit("")).alias("reason"))
+
+
 def thresholds(path: str) -> Thresholds:
     """Limits from a TOML file on the driver."""
     with open(path, "rb") as file:

@@ -6,6 +6,9 @@ batch is written once: its number names its folder, and a repeated batch overwri
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sieveline.java import facts
@@ -28,3 +31,15 @@ def events_by_minute(events: DataFrame, late: str = "10 minutes", window: str =
     from pyspark.sql import functions as F
 
     return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def landed(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """What a stream appends from all that is there now, as a table in the folder that the cluster shares; it resumes from its checkpoint if a task is lost."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: there is no folder that the executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='stream')}"
+    out = f"{base}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
