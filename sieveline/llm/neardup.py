@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import checkpointed, intermediates, join_spread, slices, written
+from sieveline.llm.common import BROADCAST_ROWS, checkpointed, intermediates, join_spread, slices, written
 from sieveline.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -288,26 +288,27 @@ def blocks(edges: DataFrame, labels: DataFrame, held: DataFrame) -> DataFrame:
     """The members of the buckets that hold several components, as (bucket, i, j, doc_id, label, asks, outside, n_shingles).
 
     Each is in its block i with every block j of outsiders; an outsider also asks, from its block j, every block i.
+    Every sort and hash table of a task takes pages of 16 MB however few its rows are, so members and sizes are written
+    between the joins, and each join is made once: a task has one of them at a time.
     """
-    label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}"))
-    told = edges.join(label("a"), "a", "left").join(label("b"), "b", "left").select("bucket", "a", "b", F.coalesce("l_a", "a").alias("l_a"), F.coalesce("l_b", "b").alias("l_b"))
-    told = checkpointed(told)
-    # A bucket of two is its star's one pair, which has been tested.
-    mixed = told.groupBy("bucket").agg(F.count("*").alias("n"), F.max((F.col("l_a") != F.col("l_b")).cast("int")).alias("mixed")).where("mixed = 1 and n > 1")
-    inside = told.join(mixed.select("bucket"), "bucket")
-    members = inside.select("bucket", F.col("a").alias("doc_id"), F.col("l_a").alias("label")).union(inside.select("bucket", "b", "l_b")).distinct()
-    members = checkpointed(members.join(held.select("doc_id", "n_shingles"), "doc_id"))
+    told = labels.select(F.col("node").alias("doc_id"), "label")
+    few = told.count() <= BROADCAST_ROWS
+    described = held.select("doc_id", "n_shingles").join(F.broadcast(told) if few else told, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    described = checkpointed(described)
+    members = checkpointed(edges.select("bucket", F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    members = checkpointed(members.join(described, "doc_id").select("bucket", "doc_id", "label", "n_shingles"))
     by_label = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("t"))
-    sizes = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max(F.struct("n", "label", "t")).alias("x"), F.sum("n").alias("n"), F.sum("t").alias("t"))
+    sizes = by_label.groupBy("bucket").agg(F.max(F.struct("n", "label", "t")).alias("x"), F.sum("n").alias("n"), F.sum("t").alias("t"), F.count("*").alias("labels"))
     parts = lambda n, t: F.greatest(F.ceil(n / BLOCK), F.ceil(t / BLOCK_SHINGLES)).cast("int")
-    sizes = sizes.select("bucket", "most", parts(F.col("n"), F.col("t")).alias("own"), parts(F.col("n") - F.col("x.n"), F.col("t") - F.col("x.t")).alias("asking"))
-    placed = members.join(sizes, "bucket").withColumn("outside", F.col("label") != F.col("most"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # A bucket of two is its star's one pair, which has been tested.
+    sizes = sizes.where("labels > 1 and n > 2").select("bucket", F.col("x.label").alias("most"), parts(F.col("n"), F.col("t")).alias("own"), parts(F.col("n") - F.col("x.n"), F.col("t") - F.col("x.t")).alias("asking"))
+    placed = join_spread(members, checkpointed(sizes), "bucket", ["doc_id"]).where("own is not null").withColumn("outside", F.col("label") != F.col("most"))
     one = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
-    own = placed.withColumn("i", one("own", 1)).withColumn("j", every("asking")).withColumn("asks", F.lit(False))
-    asking = placed.where("outside").withColumn("i", every("own")).withColumn("j", one("asking", 2)).withColumn("asks", F.lit(True))
-    columns = ["bucket", "i", "j", "doc_id", "label", "asks", "outside", "n_shingles"]
-    return own.select(columns).union(asking.select(columns))
+    meeting = lambda i, j, asks: F.struct(i.alias("i"), j.alias("j"), F.lit(asks).alias("asks"))
+    own = F.transform(F.sequence(F.lit(0), F.col("asking") - 1), lambda j: meeting(one("own", 1), j, False))
+    asking = F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda i: meeting(i, one("asking", 2), True))
+    met = placed.withColumn("at", F.explode(F.when(F.col("outside"), F.concat(own, asking)).otherwise(own)))
+    return met.select("bucket", "at.i", "at.j", "doc_id", "label", "at.asks", "outside", "n_shingles")
 
 
 _TAKING_PART = "bucket long, i int, j int, doc_id long, label long, asks boolean, outside boolean"
@@ -440,7 +441,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     sets = drawn.where("doc_id is not null and n_shingles > 0")
     equal = checkpointed(sets.groupBy("n_shingles", "sig1", "sig2").agg(F.min("doc_id").alias("class"), F.count("*").alias("n")).where("n > 1").select(F.struct("n_shingles", "sig1", "sig2").alias("sig"), "class"))
     named = join_spread(sets.withColumn("sig", F.struct("n_shingles", "sig1", "sig2")), equal, "sig", ["doc_id"]).withColumn("class", F.coalesce("class", "doc_id"))
-    held = written(named.where("class = doc_id").select("doc_id", "n_shingles", "registers"), "classes").dropDuplicates(["doc_id"])
+    # One row of a doc_id is taken here, once: every use of `held` would sort its registers for it, and might take another.
+    held = written(named.where("class = doc_id").select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id"]), "classes")
     with intermediates(docs.sparkSession):
         links = all_links(held, docs, words, percent, bands, rows)
     labels = components(links).select(F.col("node").alias("class"), "label")

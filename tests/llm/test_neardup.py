@@ -170,3 +170,28 @@ def test_components(spark):
     assert {r.node: r.label for r in components(frame).collect()} == want
     assert {r.node: r.label for r in in_rounds(frame.where("a <> b")).collect()} == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_task_makes_one_join_of_buckets_at_a_time(spark, monkeypatch):
+    """Sorts take pages of 16 MB each, however few rows they have: a plan of `blocks` has one join, and none sorts registers."""
+    import sieveline.llm.common as common
+
+    plans, seen = [], []
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0, raising=False)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+
+    def blocks(edges, labels, held, make=neardup.blocks, kept=neardup.checkpointed):
+        seen.append(plan(held))
+        monkeypatch.setattr(neardup, "checkpointed", lambda df: plans.append(plan(df)) or kept(df))
+        placed = make(edges, labels, held)
+        monkeypatch.setattr(neardup, "checkpointed", kept)
+        plans.append(plan(placed))
+        return placed
+
+    monkeypatch.setattr(neardup, "blocks", blocks)
+    rows = list(enumerate(copies(60, 60, 12, 5))) + [(3, "a row of the same number")]
+    found = got(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80))
+    assert found.keys() == set(range(60)) and len(set(found.values())) > 1
+    assert plans and max(p.count("Join ") for p in plans) == 1
+    assert "Aggregate" not in seen[0]
