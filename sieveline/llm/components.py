@@ -57,12 +57,15 @@ def in_rounds(links: DataFrame) -> DataFrame:
             return labels
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, stored: bool = False) -> DataFrame:
     """`links` (a, b) -> node, label: the smallest node that each node of a link reaches.
 
     A round gives every node the least label of its neighbours (partial minima, so a hub's links make no large group)
     and then its label's label; the rounds grow as the logarithm of the longest path. A short list of links is joined
     so within one task. Only counts reach the driver. Links of a node with itself don't count.
+    Links that the caller has `stored` aren't written again: for each file that it makes, an executor starts processes (Hadoop's
+    chmod, without its native library), and until such a process runs its own program it counts the executor's memory again.
     """
-    links = checkpointed(links.select("a", "b").where("a <> b"))
+    links = links.select("a", "b").where("a <> b")
+    links = links if stored else checkpointed(links)
     return in_one_task(links) if links.count() <= ONE_TASK else in_rounds(links)

@@ -294,8 +294,8 @@ def blocks(edges: DataFrame, labels: DataFrame, held: DataFrame) -> DataFrame:
     told = labels.select(F.col("node").alias("doc_id"), "label")
     few = told.count() <= BROADCAST_ROWS
     described = held.select("doc_id", "n_shingles").join(F.broadcast(told) if few else told, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    described = checkpointed(described)
-    members = checkpointed(edges.select("bucket", F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    described = described if few else checkpointed(described)
+    members = edges.select("bucket", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     members = checkpointed(members.join(described, "doc_id").select("bucket", "doc_id", "label", "n_shingles"))
     by_label = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("t"))
     sizes = by_label.groupBy("bucket").agg(F.max(F.struct("n", "label", "t")).alias("x"), F.sum("n").alias("n"), F.sum("t").alias("t"), F.count("*").alias("labels"))
@@ -425,13 +425,13 @@ def confirmed_within(taking: DataFrame, docs: DataFrame, words: int, percent: in
 
 
 def all_links(held: DataFrame, docs: DataFrame, words: int, percent: int, bands: int, rows: int) -> DataFrame:
-    """Links (a, b) whose components are those of all links between the representatives `held`."""
+    """Links (a, b) whose components are those of all links between the representatives `held`; they are stored."""
     m = bands * rows + MORE
     edges = written(stars(held, bands, rows), "stars")
     pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = checkpointed(confirmed(checkpointed(likely(pairs, held, percent, m)), docs, words, percent))
-    placed = blocks(edges, checkpointed(components(links)), held)
-    return checkpointed(links.union(confirmed_within(taking_part(placed, held, percent, bands, rows), docs, words, percent)))
+    placed = blocks(edges, checkpointed(components(links, stored=True)), held)
+    return links.union(checkpointed(confirmed_within(taking_part(placed, held, percent, bands, rows), docs, words, percent)))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
@@ -445,7 +445,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     held = written(named.where("class = doc_id").select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id"]), "classes")
     with intermediates(docs.sparkSession):
         links = all_links(held, docs, words, percent, bands, rows)
-    labels = components(links).select(F.col("node").alias("class"), "label")
+    labels = components(links, stored=True).select(F.col("node").alias("class"), "label")
     classes = named.select("doc_id", "class").where("class <> doc_id").distinct()
     member = classes.join(labels, "class", "left").select("doc_id", F.coalesce("label", "class").alias("component_id"))
     known = labels.select(F.col("class").alias("doc_id"), F.col("label").alias("component_id")).union(member)

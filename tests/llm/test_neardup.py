@@ -195,3 +195,13 @@ def test_a_task_makes_one_join_of_buckets_at_a_time(spark, monkeypatch):
     assert found.keys() == set(range(60)) and len(set(found.values())) > 1
     assert plans and max(p.count("Join ") for p in plans) == 1
     assert "Aggregate" not in seen[0]
+
+
+def test_links_are_stored_once(spark, monkeypatch):
+    from sieveline.llm import components as module
+
+    again = []
+    monkeypatch.setattr(module, "checkpointed", lambda df, kept=module.checkpointed: again.append(df.columns) or kept(df))
+    rows = list(enumerate(copies(60, 60, 12, 5)))
+    assert got(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80)) == brute(rows, 4, 80)
+    assert not again
