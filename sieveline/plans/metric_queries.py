@@ -76,7 +76,7 @@ def rfc(spark: SparkSession, d: str) -> DataFrame:
 
 @query(METRICS_SQL + "SELECT class_id, round(woc, 9) AS woc FROM cm")
 def woc(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.woc(_methods(spark, d), binding.fields(spark, d)).withColumn("woc", F.round("woc", 9))
+    return metrics.woc(binding.classes(spark, d), _methods(spark, d), binding.fields(spark, d)).withColumn("woc", F.round("woc", 9))
 
 
 @query(with_sql("classes") + "SELECT c.class_id, count(k.class_id) AS noc FROM classes c LEFT JOIN classes k ON k.superclass = c.class_id GROUP BY c.class_id")
