@@ -7,14 +7,14 @@ and the set of the project's types, which is joined, as a project's types grow w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sieveline.java.scanner import scan
+from sieveline.java.shapes import column, shapes_of
 
 #: Folders that never hold sources, and those that do only below a folder named src.
 NEVER, OUTPUT, ROOT = (".git", "node_modules", ".idea", ".venv"), ("target", "build", "out", "bin"), "src"
@@ -32,27 +32,9 @@ _TYPE = f"struct<name:string,kind:string,modifiers:array<string>,superclass:stri
 UNITS = f"file string, package string, imports array<string>, effective_loc int, has_syntax_errors boolean, types array<{_TYPE}>".replace("\n", " ")
 
 
-def _row(file: str, text: str) -> dict:
-    package, imports, types, loc, broken = scan(text)
-    pairs = lambda x: [{"receiver": r, "member": m} for r, m in sorted(x)]
-    return {
-        "file": file, "package": package, "imports": imports, "effective_loc": loc, "has_syntax_errors": broken,
-        "types": [
-            {
-                "name": t.name, "kind": t.kind, "modifiers": t.modifiers, "superclass": t.superclass, "interfaces": t.interfaces, "start_line": t.start_line, "end_line": t.end_line, "loc": t.loc,
-                "fields": [dict(zip(("name", "type_name", "modifiers", "line"), f, strict=True)) for f in t.fields],
-                "methods": [
-                    {
-                        "name": m.name, "return_type": m.return_type, "parameters": [{"name": n, "type_name": k} for n, k in m.parameters], "modifiers": m.modifiers, "start_line": m.start_line, "end_line": m.end_line,
-                        "is_constructor": m.is_constructor, "cc": m.cc, "nesting": m.nesting, "mloc": m.mloc, "declared_locals": sorted(m.locals), "local_types": {k: v for k, v in m.locals.items() if v is not None},
-                        "names": sorted(m.names), "this_accesses": sorted(m.this_accesses), "field_accesses": pairs(m.field_accesses), "qualified_calls": pairs(m.qualified_calls), "calls": sorted(m.calls), "types": sorted(m.types),
-                    }
-                    for m in t.methods
-                ],
-            }
-            for t in types
-        ],
-    }
+#: The parts that counts of methods, decisions and lines are made of, and those that foreign accesses are.
+SIZES = "file string, package string, has_syntax_errors boolean, types array<struct<name:string,methods:array<struct<cc:int,nesting:int,mloc:int>>>>"
+ACCESSES = f"file string, package string, has_syntax_errors boolean, types array<struct<name:string,fields:array<struct<name:string,type_name:string>>,methods:array<struct<local_types:map<string,string>,field_accesses:{_PAIR},qualified_calls:{_PAIR}>>>>"
 
 
 def java_files(spark: SparkSession, root: str) -> DataFrame:
@@ -67,23 +49,25 @@ def java_files(spark: SparkSession, root: str) -> DataFrame:
     return read.where(kept).select(F.array_join(F.slice(parts, depth + 1, F.size(parts)), "/").alias("file"), "content")
 
 
-def units(files: DataFrame) -> DataFrame:
-    """A row per file (file, content: bytes or text): package, imports, lines, errors, and its types with their methods."""
-    schema = pa.schema(_arrow(files.sparkSession))
+def units(files: DataFrame, parts: str = UNITS) -> DataFrame:
+    """A row per file (file, content: bytes or text): package, imports, lines, errors, and its types with their methods; of these, the `parts` named."""
+    schema = pa.schema(_arrow(parts))
+    of = pa.struct([f for f in schema if f.name != "file"])
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = shapes_of(of)
         for batch in batches:
-            rows = [_row(f, (c or b"").decode("utf-8", "replace")) for f, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            found = column(of, [shapes.values((c or b"").decode("utf-8", "replace")) for c in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found.flatten()], schema=schema)
 
-    return files.select("file", F.col("content").cast("binary").alias("content")).mapInArrow(scanned, UNITS)
+    return files.select(F.col("file").cast("string").alias("file"), F.col("content").cast("binary").alias("content")).mapInArrow(scanned, parts)
 
 
-def _arrow(spark: SparkSession) -> pa.Schema:
+def _arrow(parts: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(UNITS))
+    return to_arrow_schema(StructType.fromDDL(parts))
 
 
 def entities(scanned: DataFrame) -> DataFrame:
@@ -95,22 +79,50 @@ def _has(modifiers: Column, name: str) -> Column:
     return F.array_contains(modifiers, name)
 
 
+def _typed(of: Callable[[str], Column], field_types: Column, class_name: Column) -> Column:
+    """A method's accesses to other classes, with the receivers' types; `of` has its parts by name."""
+    candidates = F.array_union(of("field_accesses"), F.filter(of("qualified_calls"), lambda c: c["member"].rlike(ACCESSORS)))
+
+    def receiver_type(receiver: Column) -> Column:
+        word = receiver.rlike("^[\\p{L}_$][\\p{L}\\p{N}_$]*$")
+        return F.when(word, F.coalesce(F.try_element_at(of("local_types"), receiver), F.try_element_at(field_types, receiver), F.when(F.upper(F.substring(receiver, 1, 1)) == F.substring(receiver, 1, 1), F.when(F.substring(receiver, 1, 1).rlike("\\p{Lu}"), receiver))))
+
+    typed = F.transform(candidates, lambda c: F.struct(receiver_type(c["receiver"]).alias("receiver"), c["member"].alias("member")))
+    return F.array_distinct(F.filter(typed, lambda c: c["receiver"].isNotNull() & (c["receiver"] != class_name)))
+
+
+def _field_types() -> Column:
+    """The first type of each name of a field."""
+    return F.map_from_entries(F.transform(F.array_distinct("fields.name"), lambda n: F.struct(n, F.get(F.transform(F.filter("fields", lambda f: f["name"] == n), lambda f: f["type_name"]), 0))))
+
+
+def foreign_counts(types: DataFrame) -> DataFrame:
+    """Per name of a class with methods: these, and their foreign accesses if the project's types are known (`in_project`), and if not (`alone`), as `methods` has them.
+
+    Files are scanned once: what a class declares and what it accesses, counted by receivers, come from one table.
+    """
+    rows = types.select("name", "methods", "fields", _field_types().alias("field_types"))
+    receivers = F.flatten(F.transform("methods", lambda m: F.transform(_typed(lambda part: m[part], F.col("field_types"), F.col("name")), lambda c: c["receiver"])))
+    # A row for the class itself, without a receiver, and one for each access.
+    rows = rows.select("name", F.size("methods").alias("methods"), F.explode(F.concat(F.array(F.lit(None).cast("string")), receivers)).alias("receiver"))
+    counted = rows.groupBy("name", "receiver").agg(F.sum(F.when(F.col("receiver").isNull(), F.col("methods")).otherwise(1)).alias("n"))
+    counted = counted.checkpoint() if types.sparkSession.sparkContext.getCheckpointDir() else counted.persist()
+    declared, accessed = counted.where("receiver is null"), counted.where("receiver is not null")
+    alone = accessed.where(~F.col("receiver").isin(*IGNORED_TYPES)).groupBy("name").agg(F.sum("n").alias("alone"))
+    known = accessed.join(declared.select(F.col("name").alias("receiver")), "receiver", "left_semi").groupBy("name").agg(F.sum("n").alias("in_project"))
+    out = declared.where("n > 0").select("name", F.col("n").alias("methods")).join(known, "name", "left").join(alone, "name", "left")
+    return out.select(F.col("name").alias("class_name"), "methods", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("in_project", "alone")])
+
+
 def methods(types: DataFrame, known: bool = True) -> DataFrame:
     """A row per method with its own and foreign accesses, in the columns that metrics and strategies read.
 
     With `known`, an access is foreign if its receiver's type is one of the project's; else if it isn't an ignored one.
     """
-    rows = types.select("class_id", "file", F.col("name").alias("class_name"), F.col("fields.name").alias("field_names"), F.map_from_entries(F.transform(F.array_distinct("fields.name"), lambda n: F.struct(n, F.get(F.transform(F.filter("fields", lambda f: f["name"] == n), lambda f: f["type_name"]), 0)))).alias("field_types"), F.posexplode("methods").alias("i", "m"))
+    rows = types.select("class_id", "file", F.col("name").alias("class_name"), F.col("fields.name").alias("field_names"), _field_types().alias("field_types"), F.posexplode("methods").alias("i", "m"))
     rows = rows.select("class_id", "file", "class_name", "field_names", "field_types", F.col("i").cast("long").alias("i"), "m.*")
     own = F.array_union(F.array_intersect(F.array_except("names", "declared_locals"), "field_names"), F.array_intersect("this_accesses", "field_names"))
-    candidates = F.array_union("field_accesses", F.filter("qualified_calls", lambda c: c["member"].rlike(ACCESSORS)))
-
-    def receiver_type(receiver: Column) -> Column:
-        word = receiver.rlike("^[\\p{L}_$][\\p{L}\\p{N}_$]*$")
-        return F.when(word, F.coalesce(F.try_element_at("local_types", receiver), F.try_element_at("field_types", receiver), F.when(F.upper(F.substring(receiver, 1, 1)) == F.substring(receiver, 1, 1), F.when(F.substring(receiver, 1, 1).rlike("\\p{Lu}"), receiver))))
-
-    typed = F.filter(F.transform(candidates, lambda c: F.struct(receiver_type(c["receiver"]).alias("receiver"), c["member"].alias("member"))), lambda c: c["receiver"].isNotNull() & (c["receiver"] != F.col("class_name")))
-    rows = rows.withColumn("own", own).withColumn("typed", F.array_distinct(typed))
+    rows = rows.withColumn("own", own).withColumn("typed", _typed(F.col, F.col("field_types"), F.col("class_name")))
     if known:
         project = types.select(F.col("name").alias("receiver")).distinct()
         wanted = rows.select("class_id", "i", F.explode("typed").alias("x")).withColumn("receiver", F.col("x.receiver")).join(project, "receiver", "left_semi").groupBy("class_id", "i").agg(F.sort_array(F.collect_list("x")).alias("foreign"))

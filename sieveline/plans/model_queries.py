@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,21 +14,23 @@ from sieveline.sources.binding import table
 
 def java_texts(spark: SparkSession, d: str) -> DataFrame:
     """A class per order and a method per line item: some decisions each, and two accesses to the class of another order."""
-    items = table(spark, d, "lineitem")
-    key, q = F.col("l_orderkey").cast("string"), (F.col("l_quantity").cast("long") % 4).cast("int")
-    name = F.concat(F.lit("m"), F.col("l_linenumber").cast("string"), F.lit("_"), F.col("l_partkey").cast("string"), F.lit("_"), F.col("l_suppkey").cast("string"), F.lit("_"), F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"))
-    body = F.concat(F.lit("    total += other.getTotal() + other.total; // if (x) while (y)\n"), F.repeat(F.lit("    if (total > a) { total++; }\n"), q))
-    method = F.concat(F.lit("  public void "), name, F.lit("(int a, O"), (F.col("l_orderkey") * 2).cast("string"), F.lit(" other) {\n"), body, F.lit("  }\n"))
-    per = items.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(method)), "").alias("methods"))  # an order has few lines
-    key = F.col("l_orderkey").cast("string")
-    return per.select(F.concat(F.lit("src/O"), key, F.lit(".java")).alias("file"), F.concat(F.lit("package shop;\n/* class Not {} */\npublic class O"), key, F.lit(" {\n  private int total = 0;\n"), "methods", F.lit("}\n")).alias("content"))
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"), (F.col("l_quantity").cast("long") % 4).cast("int").alias("q"))
+    per = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("items"))  # an order has few lines; their texts are written after the shuffle
+
+    def method(x: Column) -> Column:
+        name = F.concat(F.lit("m"), x["l_linenumber"].cast("string"), F.lit("_"), x["l_partkey"].cast("string"), F.lit("_"), x["l_suppkey"].cast("string"), F.lit("_"), x["price"].cast("string"))
+        body = F.concat(F.lit("    total += other.getTotal() + other.total; // if (x) while (y)\n"), F.repeat(F.lit("    if (total > a) { total++; }\n"), x["q"]))
+        return F.concat(F.lit("  public void "), name, F.lit("(int a, O"), (F.col("l_orderkey") * 2).cast("string"), F.lit(" other) {\n"), body, F.lit("  }\n"))
+
+    key, written = F.col("l_orderkey").cast("string"), F.array_join(F.sort_array(F.transform("items", method)), "")
+    return per.select(F.concat(F.lit("src/O"), key, F.lit(".java")).alias("file"), F.concat(F.lit("package shop;\n/* class Not {} */\npublic class O"), key, F.lit(" {\n  private int total = 0;\n"), written, F.lit("}\n")).alias("content"))
 
 
 @query("""SELECT 'O' || l_orderkey AS name, count(*) AS nom, sum(1 + l_quantity::BIGINT % 4)::BIGINT AS wmc, max((l_quantity::BIGINT % 4 > 0)::INT)::BIGINT AS deepest, sum(2 + l_quantity::BIGINT % 4)::BIGINT AS lines FROM lineitem GROUP BY l_orderkey""")
 def java_parse(spark: SparkSession, d: str) -> DataFrame:
-    types = facts.entities(facts.units(java_texts(spark, d)))
-    of = types.select("name", F.explode("methods").alias("m"))
-    return of.groupBy("name").agg(F.count("*").alias("nom"), F.sum(F.col("m.cc").cast("long")).alias("wmc"), F.max(F.col("m.nesting").cast("long")).alias("deepest"), F.sum(F.col("m.mloc").cast("long")).alias("lines"))
+    types = facts.entities(facts.units(java_texts(spark, d), facts.SIZES)).where("size(methods) > 0")
+    total = lambda part: F.sum(F.aggregate("methods", F.lit(0).cast("long"), lambda n, m: n + m[part]))
+    return types.groupBy("name").agg(F.sum(F.size("methods")).alias("nom"), total("cc").alias("wmc"), F.max(F.array_max("methods.nesting").cast("long")).alias("deepest"), total("mloc").alias("lines"))
 
 
 @query("""WITH k AS (SELECT DISTINCT l_orderkey FROM lineitem) SELECT 'O' || l_orderkey AS class_name, count(*) AS methods, (count(*) * CASE WHEN l_orderkey * 2 IN (SELECT l_orderkey FROM k) AND l_orderkey > 0 THEN 2 ELSE 0 END)::BIGINT AS in_project,
