@@ -37,9 +37,7 @@ def java_parse(spark: SparkSession, d: str) -> DataFrame:
     (count(*) * CASE WHEN l_orderkey > 0 THEN 2 ELSE 0 END)::BIGINT AS alone FROM lineitem GROUP BY l_orderkey""")
 def context_shift(spark: SparkSession, d: str) -> DataFrame:
     """Foreign accesses when the project's types are known, and when each file is measured alone."""
-    types = facts.entities(facts.units(java_texts(spark, d)))
-    sums = lambda known, name: facts.methods(types, known).groupBy("class_name").agg(F.count("*").alias("methods"), F.sum(F.size("foreign")).alias(name))
-    return sums(True, "in_project").join(sums(False, "alone").drop("methods"), "class_name").select("class_name", "methods", "in_project", "alone")
+    return facts.foreign_counts(facts.entities(facts.units(java_texts(spark, d), facts.ACCESSES)))
 
 
 _HEAD = "'class O' || o_orderkey || ' {' || chr(10) || '  ' || CASE o_orderstatus WHEN 'P' THEN 'int' ELSE 'void' END || ' run(int a) {' || chr(10)"
